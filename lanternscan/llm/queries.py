@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, substring_dedup
+from . import decontamination, quality_rules, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    """Operators that SQL cannot express are tested against brute force in tests/llm instead."""
     return {
         "op1_quality_rules": quality_rules.ORACLE_SQL,
+        "op5_benchmark_decontamination": decontamination.ORACLE_SQL,
         "op8_substring_dedup": substring_dedup.ORACLE_SQL,
     }
