@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, quality_rules, substring_dedup
+from . import decontamination, packing, quality_rules, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     }
