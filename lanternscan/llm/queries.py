@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality_rules, substring_dedup
+from . import decontamination, language_id, packing, quality_rules, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+        "op10_language_id": language_id.op10_language_id,
     }
 
 
