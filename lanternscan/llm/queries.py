@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, packing, quality_rules, substring_dedup
+from . import decontamination, language_id, license_scan, packing, quality_rules, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
+        "op6_license_scans": license_scan.op6_license_scans,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op10_language_id": language_id.op10_language_id,
     }
