@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, license_scan, packing, pii, quality_rules, substring_dedup, toxicity
+from . import decontamination, language_id, license_scan, ngram_jaccard, packing, pii, quality_rules, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_ngram_jaccard_join": ngram_jaccard.op4_ngram_jaccard_join,
         "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
         "op6_license_scans": license_scan.op6_license_scans,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
@@ -26,6 +27,7 @@ def oracle_sql() -> dict[str, str]:
     """Operators that SQL cannot express are tested against brute force in tests/llm instead."""
     return {
         "op1_quality_rules": quality_rules.ORACLE_SQL,
+        "op4_ngram_jaccard_join": ngram_jaccard.ORACLE_SQL,
         "op5_benchmark_decontamination": decontamination.ORACLE_SQL,
         "op8_substring_dedup": substring_dedup.ORACLE_SQL,
     }
