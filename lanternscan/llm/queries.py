@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, license_scan, ngram_jaccard, packing, pii, quality_rules, substring_dedup, toxicity
+from . import decontamination, language_id, license_scan, ngram_jaccard, packing, pii, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_jaccard_join": ngram_jaccard.op4_ngram_jaccard_join,
         "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
         "op6_license_scans": license_scan.op6_license_scans,
+        "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_pii": pii.op9_pii,
         "op10_language_id": language_id.op10_language_id,
