@@ -95,6 +95,18 @@ def map_documents(
     return docs.select(*columns).mapInArrow(run, schema)
 
 
+def filter_documents(docs: DataFrame, build: Callable[[], Callable[[list[bytes | None]], list[bool]]]) -> DataFrame:
+    """The rows, with all their columns, whose text the function that ``build()`` makes keeps."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = build()
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at).cast(pa.binary()).to_pylist()), type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def text_bytes(name: str = "text"):
     return F.col(name).cast("binary").alias("data")
 

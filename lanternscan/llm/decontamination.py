@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import covered, item_words, map_documents, runs, table, text_bytes
+from .common import covered, filter_documents, item_words, map_documents, runs, table, text_bytes
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -131,6 +131,26 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     return out
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, with all their columns, in which no window of the benchmark occurs."""
+    for block in item_blocks(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast([r[1] for r in block])
+
+        def build(shared=shared):
+            tables = build_tables(shared.value, window)
+
+            def clean(data: bytes | None) -> bool:
+                words, hits = item_words(data or b""), []
+                for t in tables:
+                    t.search(words, hits, set())
+                return not hits
+
+            return lambda texts: list(map(clean, texts))
+
+        docs = filter_documents(docs, build)
+    return docs
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The per-document digest of find_hits()."""
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))

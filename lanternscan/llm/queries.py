@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, language_id, license_scan, ngram_jaccard, packing, pii, quality_rules, substring_dedup, suffix_dedup, toxicity
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_pii": pii.op9_pii,
         "op10_language_id": language_id.op10_language_id,
+        "pipeline": corpus_pipeline.run,
     }
 
 

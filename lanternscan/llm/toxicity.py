@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_documents, table, text_bytes, token_hashes, window_hashes
+from .common import filter_documents, map_documents, table, text_bytes, token_hashes, window_hashes
 
 TRAIN_DOCS = 20_000
 FOLDS, HELD_OUT_FOLD = 5, 0
@@ -298,9 +298,25 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, that score below the threshold."""
+    stems, weights = model.grammar.stems, model.weights
+
+    def build():
+        mine = Model(Grammar(stems), weights)
+        return lambda texts: [mine.score(None if x is None else x.decode("utf-8", "replace")) < threshold for x in texts]
+
+    return filter_documents(docs, build)
+
+
+def learn_from_fold(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of the rows outside the held-out fold."""
+    train = fold(FOLDS) != HELD_OUT_FOLD
+    return learn(docs.filter(train), labels.filter(train))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    train = fold(FOLDS) != HELD_OUT_FOLD
-    model = learn(docs.filter(train), table(spark, sf_dir, "labels").filter(train))
+    model = learn_from_fold(docs, table(spark, sf_dir, "labels"))
     held = F.coalesce(fold(FOLDS) == HELD_OUT_FOLD, F.lit(False))
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
