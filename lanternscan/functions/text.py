@@ -20,13 +20,24 @@ def column(c: Column | str) -> Column:
 
 
 def shannon_entropy(c: Column | str) -> Column:
-    """Bits per character (code point) of a string; 0 for the empty one."""
-    chars = F.filter(F.split(column(c), ""), lambda x: x != "")
+    """Bits per character (code point) of a string; 0 for the empty one.
+
+    One fold over the sorted characters: log2(n) - sum(k * log2(k)) / n over the counts k.
+    """
+    chars = F.array_sort(F.filter(F.split(column(c), ""), lambda x: x != ""))
     n = F.size(chars)
-    share = lambda x: F.size(F.filter(chars, lambda y: y == x)) / n
-    return F.when(n <= 0, F.lit(0.0)).otherwise(
-        F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, x: s - share(x) * F.log2(share(x)))
-    )
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
+    part = lambda k: F.when(k > 1, k * F.log2(k.cast("double"))).otherwise(F.lit(0.0))
+
+    def step(s: Column, x: Column) -> Column:
+        same = s.last == x
+        return F.struct(
+            x.alias("last"), F.when(same, s.run + 1).otherwise(F.lit(1)).alias("run"),
+            F.when(same, s.sum).otherwise(s.sum + part(s.run)).alias("sum"),
+        )
+
+    total = F.aggregate(chars, start, step, lambda s: s.sum + part(s.run))
+    return F.when(n <= 0, F.lit(0.0)).otherwise(F.log2(n.cast("double")) - total / n)
 
 
 def byte_prefix(c: Column, n: Column) -> Column:
