@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternscan.llm import decontamination, ngram_jaccard, packing, pii, toxicity
-from lanternscan.llm.common import table
+from lanternscan.llm.common import shared_folder, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,12 +57,6 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; the warehouse where none is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents; what a stage returns is written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents")

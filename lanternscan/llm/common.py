@@ -6,6 +6,7 @@ bytes: ``bytes.split()`` splits exactly at ``[\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -115,15 +116,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+#: Bits of a membership filter: a fixed 4 MB, whatever the input.
+FILTER_BITS = 1 << 24
+
+
+def only_likely(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose long column may be among ``wanted(column)``; a join behind it shuffles less.
 
-    ``spark.checkpoint.dir`` names it; only where it is unset (as in tests) a folder of the warehouse is used.
+    The filter is a hashed bitmap of a fixed size, which is what makes it safe to broadcast. False hits only cost work.
     """
+    place = lambda c: f"pmod(xxhash64(`{c}`), {FILTER_BITS}L)"
+    bit = lambda c: F.expr(f"shiftleft(1L, cast({place(c)} % 64 AS INT))")
+    word = lambda c: F.expr(f"{place(c)} div 64")
+    bits = wanted.groupBy(word(column).alias("_word")).agg(F.bit_or(bit(column)).alias("_bits"))
+    kept = df.join(F.broadcast(bits), word(column) == F.col("_word"))
+    return kept.filter(F.col("_bits").bitwiseAND(bit(column)) != 0).drop("_word", "_bits")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir``; the warehouse where none is named, as in tests."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints").rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder: compressed, where a checkpoint is not."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(
-            sc.getConf().get("spark.checkpoint.dir")
-            or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        )
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, MIX, cut, map_documents, table, text_bytes, token_hashes, window_hashes
+from .common import BASE, MIX, cut, map_documents, only_likely, table, text_bytes, token_hashes, window_hashes
 from .components import components
 
 SHINGLE = 3
@@ -134,8 +134,8 @@ def tile_links(percent: int):
     return fn
 
 
-def document_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key of the set, and its part keys."""
+def document_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, parts: bool = True) -> DataFrame:
+    """doc_id, n_shingles, a 128-bit key of the set and, if wanted, its part keys."""
 
     def build():
         def fn(ids, texts):
@@ -145,7 +145,7 @@ def document_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
                 cols[0].append(len(s))
                 cols[1].append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
                 cols[2].append(int(mix(s ^ MIX).sum(dtype=np.uint64).view(np.int64)))
-                cols[3].append(part_keys(s, percent).view(np.int64) if len(s) else [])
+                cols[3].append(part_keys(s, percent).view(np.int64) if parts and len(s) else [])
             return [ids, *cols]
 
         return fn
@@ -158,10 +158,12 @@ def document_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
 
 def class_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, block: int) -> DataFrame:
     """Spanning links (a, b) between class representatives."""
-    keyed = classes.select("rep", "set_a", F.explode("parts").alias("part"))
-    heads = keyed.groupBy("part").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last").drop("last")
-    found = keyed.join(heads.hint("shuffle_hash"), "part").select("head", "rep", "set_a").distinct()
-    tiles = cut(found)  # every member with the heads of its tiles, the heads themselves included
+    keyed = classes.select("rep", F.explode("parts").alias("part"))
+    heads = keyed.groupBy("part").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last")
+    heads = cut(heads.drop("last"))  # a bare side, so that a hot part can be split in the join
+    found = keyed.join(heads.hint("shuffle_hash"), "part").select("head", "rep").distinct()
+    # every member with the heads of its tiles, the heads themselves included
+    tiles = cut(found.join(classes.select("rep", "set_a"), "rep"))
 
     def build():
         def fn(ids, wanted, texts):
@@ -175,9 +177,9 @@ def class_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int,
         return fn
 
     wanted = tiles.select("rep", "set_a").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
-    sets = map_documents(texts, ("rep", "set_a", text_bytes()), "rep long, set_a long, shingles binary", build)
-    sets = cut(sets.dropDuplicates(["rep", "set_a"]))
+    texts = only_likely(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep", wanted)
+    texts = texts.join(wanted, "rep").withColumn("hash", F.xxhash64("text")).dropDuplicates(["rep", "set_a", "hash"])
+    sets = cut(map_documents(texts, ("rep", "set_a", text_bytes()), "rep long, set_a long, shingles binary", build))
 
     blocks = tiles.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     placed = tiles.join(blocks, "head").withColumn("block", F.pmod(F.xxhash64("rep", "head"), F.col("blocks")).cast("int"))
@@ -219,10 +221,11 @@ def class_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int,
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id of the component) of every document."""
-    sets = cut(document_sets(docs, shingle, percent))
-    usable = sets.filter("n_shingles > 0 and doc_id is not null")
+    some = "n_shingles > 0 and doc_id is not null"
+    sets = cut(document_sets(docs, shingle, percent, parts=False))
+    usable = sets.filter(some)
     classes = cut(
-        usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("parts").alias("parts"))
+        document_sets(docs, shingle, percent).filter(some).groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("parts").alias("parts"))
     )
     links = class_links(docs, classes, shingle, percent, block)
     # rows that share a doc_id are one node: their other sets hang together through it
