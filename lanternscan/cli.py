@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from collections.abc import Sequence
 from pathlib import Path
@@ -25,6 +26,11 @@ def _between(low: int, high: int):
     return number
 
 
+def local(path: str) -> str:
+    """A path that exists here, made absolute: the JVM's working folder may be another one."""
+    return os.path.abspath(path) if path and os.path.exists(path) else path
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lanternscan")
     p.add_argument("path", nargs="?", default=".")
@@ -52,8 +58,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         report = safe_relative(a.report) if a.report else ""
         spark = spark or SparkSession.builder.appName("lanternscan").getOrCreate()
         result = scan(spark, ScanOptions(
-            path=a.path, config=a.config, baseline=a.baseline, ignore_file=a.ignore_file, branch=a.branch, skip_history=a.skip_history,
-            staged=a.staged, stdin=a.stdin, max_file_mb=a.max_file_size, max_decode_depth=a.max_decode_depth,
+            path=local(a.path), config=a.config, baseline=local(a.baseline), ignore_file=local(a.ignore_file), branch=a.branch,
+            skip_history=a.skip_history, staged=a.staged, stdin=local(a.stdin), max_file_mb=a.max_file_size, max_decode_depth=a.max_decode_depth,
             max_archive_depth=a.max_archive_depth, max_findings=a.max_findings, enabled_rules=a.enable_rule, platform=a.platform,
         ))
         found = redact(result.findings, a.redact).persist()

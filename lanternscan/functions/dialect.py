@@ -7,6 +7,7 @@ line feed only, case folding covers Unicode, and ``[`` or ``&&`` mean nothing sp
 from __future__ import annotations
 
 import re
+import warnings
 from functools import lru_cache
 
 SPACE = r"\t\n\f\r "
@@ -55,7 +56,9 @@ def _class(p: str, i: int) -> tuple[str, int]:
 def to_java(pattern: str) -> str:
     """The pattern for Java's engine with the same matches."""
     try:
-        re.compile(re.sub(r"\(\?P?<", "(?P<", pattern).replace(r"\z", r"\Z"))
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", FutureWarning)
+            re.compile(re.sub(r"\(\?P?<", "(?P<", pattern).replace(r"\z", r"\Z"))
     except re.error as e:
         raise PatternError(f"bad pattern {pattern!r}: {e}") from e
     out, i, multi = "", 0, False

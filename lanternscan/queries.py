@@ -398,15 +398,24 @@ def _encoded_sql(kind: str) -> str:
     return {"base64": f"to_base64(encode({plain}))", "base64url": f"translate(to_base64(encode({plain})), '+/', '-_')", "hex": f"lower(hex(encode({plain})))", "percent": "replace(replace(" + plain + ", '=', '%3D'), '/', '+')"}[kind]
 
 
-def _decode_query(kind: str, decode) -> None:
+def _coded(kind: str):
     plain = F.expr("'key=' || substr(h, 1, 20) || '/' || substr(h, 21, 7)")
-    coded = {
-        "base64": F.base64(plain.cast("binary")), "base64url": F.translate(F.base64(plain.cast("binary")), "+/", "-_"),
-        "hex": F.lower(F.hex(plain.cast("binary"))), "percent": F.replace(F.replace(plain, F.lit("="), F.lit("%3D")), F.lit("/"), F.lit("+")),
-    }[kind]
-    expect = "'key=' || substr(h, 1, 20) || '/' || substr(h, 21, 7)" if kind != "percent" else "'key=' || substr(h, 1, 20) || ' ' || substr(h, 21, 7)"
+    if kind == "hex":
+        return F.lower(F.hex(plain.cast("binary")))
+    if kind == "percent":
+        return F.replace(F.replace(plain, F.lit("="), F.lit("%3D")), F.lit("/"), F.lit("+"))
+    coded = F.base64(plain.cast("binary"))
+    return F.translate(coded, "+/", "-_") if kind == "base64url" else coded
+
+
+def _decode_query(kind: str, decode) -> None:
+    expect = f"'key=' || substr(h, 1, 20) || '{' ' if kind == 'percent' else '/'}' || substr(h, 21, 7)"
     sql = f"WITH {SPIKED} SELECT doc_id, {_encoded_sql(kind)} AS coded, {expect} AS value, CAST(NULL AS VARCHAR) AS broken FROM spiked"
-    query(f"decode_{kind}", sql)(lambda spark, d: spiked(spark, d).select("doc_id", coded.alias("coded"), decode(coded).alias("value"), decode(F.concat(coded, F.lit("%"))).alias("broken")))
+
+    @query(f"decode_{kind}", sql)
+    def decoded(spark, d):
+        rows = spiked(spark, d).select("doc_id", _coded(kind).alias("coded"))
+        return rows.select("doc_id", "coded", decode("coded").alias("value"), decode(F.concat("coded", F.lit("%"))).alias("broken"))
 
 
 for _kind, _fn in (("base64", T.decode_base64), ("base64url", T.decode_base64url), ("hex", T.decode_hex), ("percent", T.decode_percent)):
