@@ -7,8 +7,9 @@ words that follow, range-partitioned over the cluster, so that also a gram in a
 Neighbours in that order are compared and extended to the right and to the left; a match of at least MIN_WORDS words marks the
 span of both. Neighbours at the edges of partitions are compared in a second, small step.
 
-A suffix carries MIN_WORDS words to either side, which is enough to prove a match; longer passages are the union of the
-matches of their minimisers. Spans of a document are merged.
+A suffix carries MIN_WORDS + GRAM words from its place on and MIN_WORDS - GRAM before it. Minimisers are at most SPAN words
+apart, so that is enough to prove a match and to reach its ends; longer passages are the union of the matches of their
+minimisers. Each suffix is compared with the NEIGHBOURS before it, as the one that shares most to the left need not be next.
 
 Null, empty and short texts have no suffixes and no spans. Rows that repeat doc_id and text count as one document here. A null
 doc_id is kept apart by its text. Repeats inside one document count too, unless they overlap themselves completely.
@@ -16,17 +17,20 @@ doc_id is kept apart by its text. Repeats inside one document count too, unless
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_documents, runs, table, text_bytes, token_hashes, window_hashes
+from .common import cut, map_documents, only_likely, runs, stored, table, text_bytes, token_hashes, window_hashes
 
 MIN_WORDS = 50
 GRAM = 20
+NEIGHBOURS = 4
 SPAN = MIN_WORDS - GRAM + 1
 
 
@@ -84,25 +88,29 @@ def shared_prefix(a: bytes, b: bytes, width: int = 4) -> int:
 
 
 CONTEXT = "doc_id long, text_hash long, gram long, at int, right binary, left binary"
+CONTEXT_NAMES = [c.split()[0] for c in CONTEXT.split(", ")]
 SPANS = "doc_id long, text_hash long, lo int, hi int"
+#: Spans (edge 0), and the first and last suffix of a sorted partition (edge 1 and 2) with the partition's number.
+COMPARED = SPANS + ", edge int, part int, gram long, at int, right binary, left binary"
+COMPARED_KINDS = (*(pa.int64(),) * 2, *(pa.int32(),) * 4, pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
 
-def contexts(docs: DataFrame, places: DataFrame, gram: int, words: int) -> DataFrame:
-    """The suffixes with the 32-bit hashes of ``words`` words after (from the place on) and before them (nearest first)."""
+def contexts(docs: DataFrame, places: DataFrame, gram: int, min_words: int) -> DataFrame:
+    """The suffixes with the 32-bit hashes of the words from their place on, and of those before it (nearest first)."""
     wanted = places.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("at", "gram"))).alias("s"))
-    wanted = wanted.select("doc_id", "text_hash", F.col("s.at").alias("ats"), F.col("s.gram").alias("grams"))
+    wanted = stored(wanted.select("doc_id", "text_hash", F.col("s.at").alias("ats"), F.col("s.gram").alias("grams")))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = only_likely(texts, "text_hash", wanted)
     joined = texts.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
 
     def build():
         def fn(ids, hashes, texts, ats, grams):
             for doc_id, text_hash, data, at, gs in zip(ids, hashes, texts, ats, grams):
                 tokens = (token_hashes(data.split()) >> np.uint64(32)).astype(">u4")
-                back = tokens[::-1]
-                n = len(tokens)
+                back, n = tokens[::-1], len(tokens)
                 yield [
-                    [doc_id] * len(at), [text_hash] * len(at), gs, at,
-                    [tokens[i : i + words + gram].tobytes() for i in at], [back[n - i : n - i + words].tobytes() for i in at],
+                    [doc_id] * len(at), [text_hash] * len(at), gs, at, [tokens[i : i + min_words + gram].tobytes() for i in at],
+                    [back[n - i : n - i + min_words - gram].tobytes() for i in at],
                 ]
 
         return fn
@@ -118,21 +126,28 @@ def pair_spans(a: tuple, b: tuple, least: int) -> list[tuple]:
     return [(x[0], x[1], x[3] - left, x[3] + right) for x in (a, b)] if left + right >= least else []
 
 
-def neighbour_spans(least: int):
-    """Compare each suffix of a sorted partition with the one before it."""
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+def compare_neighbours(least: int):
+    """Compare each suffix of a sorted partition with the one before it; the partition's first and last row come out too."""
+    names = [c.split()[0] for c in COMPARED.split(", ")]
+
+    def made(spans: list[tuple], edges: list[tuple[int, tuple]], part: int) -> pa.RecordBatch:
+        rows = [(*s, 0, part, None, None, None, None) for s in spans]
+        rows += [(r[0], r[1], None, None, edge, part, r[2], r[3], r[4], r[5]) for edge, r in edges]
+        cols = list(zip(*rows)) if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, COMPARED_KINDS)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
+        part, first, before = TaskContext.get().partitionId(), None, deque(maxlen=NEIGHBOURS)
         for batch in batches:
             out = []
             for now in zip(*[c.to_pylist() for c in batch.columns]):
-                if before is not None:
-                    out += pair_spans(before, now, least)
-                before = now
-            cols = list(zip(*out)) if out else [[]] * 4
-            names = [c.split()[0] for c in SPANS.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], names=names)
+                for other in before:
+                    out += pair_spans(other, now, least)
+                first = first or now
+                before.append(now)
+            yield made(sorted(set(out)), [], part)
+        if before:
+            yield made([], [(1, first), (2, before[-1])], part)
 
     return run
 
@@ -153,26 +168,26 @@ def border_spans(least: int):
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
     """doc_id, text_hash, starts, ends: merged spans that occur elsewhere too, for documents that have any."""
-    found = cut(suffix_grams(docs, gram, min_words - gram + 1))
-    repeated = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    found = stored(suffix_grams(docs, gram, min_words - gram + 1))
+    repeated = cut(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
     order = ["gram", "right", "left", "doc_id", "at"]
-    cols = [c.split()[0] for c in CONTEXT.split(", ")]
     rows = contexts(docs, found.join(repeated, "gram"), gram, min_words)
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ordered = cut(ordered.withColumn("part", F.spark_partition_id()))
-    inner = ordered.select(*cols).mapInArrow(neighbour_spans(min_words), SPANS)
+    compared = stored(ordered.mapInArrow(compare_neighbours(min_words), COMPARED))
+    inner = compared.filter("edge = 0").select("doc_id", "text_hash", "lo", "hi")
 
     # two rows of each partition: its last, and the first of the next partition that has rows
-    key = F.struct(*order, "text_hash")
-    edges = ordered.groupBy("part").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    key = F.struct(*CONTEXT_NAMES)
+    edges = compared.filter("edge > 0").groupBy("part").agg(
+        F.max(F.when(F.col("edge") == 1, key)).alias("lo"), F.max(F.when(F.col("edge") == 2, key)).alias("hi")
+    )
     after = Window.orderBy("part").rowsBetween(1, 1)
     pairs = edges.select(F.col("hi").alias("a"), F.first("lo").over(after).alias("b")).filter("a.gram = b.gram")
-    pairs = pairs.select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in cols))
+    pairs = pairs.select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in CONTEXT_NAMES))
     border = map_documents(pairs, pairs.columns, SPANS, border_spans(min_words))
 
-    spans = inner.unionByName(border).distinct()
-    merged = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("s"))
+    merged = inner.unionByName(border).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("s"))
 
     def build():
         def fn(ids, hashes, lows, highs):
