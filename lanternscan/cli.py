@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import threading
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -36,12 +37,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("path", nargs="?", default=".")
     for flag in ("config", "baseline", "report", "report-template", "branch", "ignore-file"):
         p.add_argument(f"--{flag}", default="")
-    for flag in ("skip-history", "staged", "verbose"):
+    for flag in ("skip-history", "staged", "verbose", "follow-symlinks"):
         p.add_argument(f"--{flag}", action="store_true")
     p.add_argument("--stdin", default="", help="text file to scan as a pipe")
     p.add_argument("--format", choices=list(formats()), default="json")
     p.add_argument("--redact", type=_between(0, 100), default=0, help="percent of a secret to hide; 0 shows it")
     p.add_argument("--exit-code", type=_between(0, 255), default=1)
+    # a scan that takes longer than --timeout seconds is cancelled and ends as an error
     for flag in ("max-file-size", "max-decode-depth", "max-archive-depth", "max-findings", "timeout"):
         p.add_argument(f"--{flag}", type=int, default=0)
     p.add_argument("--enable-rule", action="append", default=[])
@@ -54,13 +56,20 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         a = parser().parse_args(argv)
     except SystemExit as e:
         return 2 if e.code else 0
+    timer = None
     try:
         report = safe_relative(a.report) if a.report else ""
         spark = spark or SparkSession.builder.appName("lanternscan").getOrCreate()
+        if a.timeout > 0:
+            spark.sparkContext.setJobGroup("scan", "scan", interruptOnCancel=True)
+            timer = threading.Timer(a.timeout, spark.sparkContext.cancelJobGroup, ["scan"])
+            timer.daemon = True
+            timer.start()
         result = scan(spark, ScanOptions(
             path=local(a.path), config=a.config, baseline=local(a.baseline), ignore_file=local(a.ignore_file), branch=a.branch,
             skip_history=a.skip_history, staged=a.staged, stdin=local(a.stdin), max_file_mb=a.max_file_size, max_decode_depth=a.max_decode_depth,
-            max_archive_depth=a.max_archive_depth, max_findings=a.max_findings, enabled_rules=a.enable_rule, platform=a.platform,
+            max_archive_depth=a.max_archive_depth, max_findings=a.max_findings, enabled_rules=a.enable_rule,
+            platform=a.platform, follow_symlinks=a.follow_symlinks,
         ))
         found = redact(result.findings, a.redact).persist()
         text = render(found, a.format, Path(a.report_template).read_text() if a.report_template else "")
@@ -74,6 +83,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     except Exception as e:  # every failure is reported as status 2
         print(f"error: {e}", file=sys.stderr)
         return 2
+    finally:
+        if timer:
+            timer.cancel()
 
 
 if __name__ == "__main__":

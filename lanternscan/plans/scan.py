@@ -17,7 +17,7 @@ from lanternscan.plans.config import Config, load
 from lanternscan.plans.ruleset import RuleSet
 from lanternscan.sources import git
 from lanternscan.sources.archives import archive_lines
-from lanternscan.sources.files import read_baseline, read_files, read_ignore_list, read_lines
+from lanternscan.sources.files import read_baseline, read_files, read_ignore_list, read_lines, read_linked_files
 
 IGNORE_FILE = ".scanignore"
 
@@ -38,6 +38,7 @@ class ScanOptions:
     max_findings: int = 0
     enabled_rules: list[str] = field(default_factory=list)
     platform: str = ""
+    follow_symlinks: bool = False
     marker: str = ALLOW_MARKER
 
 
@@ -67,7 +68,8 @@ def scan(spark: SparkSession, options: ScanOptions) -> ScanResult:
         if options.platform and has_git:
             url = spark.createDataFrame([(git.remote_url(options.path),)], "url string")
             owner, repo = url.select(parse_remote("url").alias("r")).select("r.*").first()
-        files = read_files(spark, options.path, options.max_file_mb, config.exclude_paths)
+        read = read_linked_files if options.follow_symlinks else read_files
+        files = read(spark, options.path, options.max_file_mb, config.exclude_paths)
         sources.append(scan_buffers(files, rs, options.marker, options.platform, owner, repo))
         if options.max_archive_depth > 0:
             inner = scan_lines(archive_lines(files), rs, options.marker)

@@ -20,6 +20,7 @@ from lanternscan.operators.findings import add_decoded_tags, limit_findings, red
 from lanternscan.operators.lines import match_rules, scan_lines, split_lines
 from lanternscan.plans.ruleset import RuleSet
 from lanternscan.rules.model import Allowlist, Required, Rule
+from lanternscan.rules.samples import samples
 from lanternscan.sinks import reports
 from lanternscan.sources.archives import archive_lines
 
@@ -166,6 +167,21 @@ def entropy_filter(spark, d):
     return pairs.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_matched"), F.count(F.when(kept, 1)).alias("n_kept"))
 
 
+_SAMPLES = samples()
+_SAMPLED = "spiked AS (SELECT doc_id, doc_id || '/' || p AS path, '' AS h, coalesce(text, '') || chr(10) || l AS text FROM documents JOIN (VALUES {rows}) AS s(k, p, l) ON doc_id % {n} = k)".format(
+    rows=", ".join(f"({k}, {quote(p)}, {quote(line)})" for k, _, p, line in _SAMPLES), n=len(_SAMPLES)
+)
+
+
+@query("builtin_samples", with_rules(BUILTIN, "SELECT rule_id, path AS file, CAST(line_no AS INTEGER) AS start_line, secret FROM found").replace(SPIKED, _SAMPLED))
+def builtin_samples(spark, d):
+    """The documents, each with a made-up credential of one built-in rule after another."""
+    table = spark.createDataFrame(_SAMPLES, "k int, id string, p string, l string")
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("k", (F.col("doc_id") % len(_SAMPLES)).cast("int"))
+    rows = docs.join(F.broadcast(table), "k").select(F.concat_ws("/", F.col("doc_id").cast("string"), "p").alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), "l").alias("text"))
+    return scan_lines(split_lines(rows), BUILTIN).select("rule_id", "file", "start_line", "secret")
+
+
 # ---------------------------------------------------------------- allowlists
 
 PLAIN = RuleSet.compile().only("aws-access-key-id", "github-pat", "heroku-api-key", "postgresql-connection-string", "slack-bot-token")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +59,39 @@ def read_ignore_list(spark: SparkSession, path: str) -> DataFrame:
     """Fingerprints, one a line; blank lines and comments are left out."""
     value = F.trim("value")
     return spark.read.text(path).select(value.alias("fingerprint")).filter((F.col("fingerprint") != "") & ~F.col("fingerprint").startswith("#"))
+
+
+def linked_paths(root: str) -> list[tuple[str, str]]:
+    """(relative path, real path) of all files below a local folder, links inside it followed, each folder once."""
+    top = os.path.realpath(root)
+    seen: set[str] = set()
+    out = []
+    for folder, dirs, names in os.walk(root, followlinks=True):
+        real = os.path.realpath(folder)
+        if real in seen or os.path.commonpath([top, real]) != top:
+            dirs.clear()
+            continue
+        seen.add(real)
+        dirs[:] = sorted(d for d in dirs if d != ".git")
+        for name in sorted(names):
+            target = os.path.realpath(os.path.join(folder, name))
+            if os.path.isfile(target) and os.path.commonpath([top, target]) == top:
+                out.append((os.path.relpath(os.path.join(folder, name), root), target))
+    return out
+
+
+def read_linked_files(spark: SparkSession, root: str, max_mb: int = 0, exclude: Sequence[str] = (), commit: str = "") -> DataFrame:
+    """read_files() for a local or mounted folder with symbolic links followed; only paths are listed on the driver."""
+    limit = size_limit(max_mb)
+    paths = spark.createDataFrame(linked_paths(root), "path string, real string").filter(~excluded_path("path", exclude))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, real in zip(*[c.to_pylist() for c in batch.columns]):
+                if os.path.getsize(real) <= limit:
+                    with open(real, "rb") as f:
+                        data = f.read()
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data], type=pa.binary()), pa.array([len(data)])], names=["path", "content", "length"])
+
+    tasks = max(1, min(1000, 4 * spark.sparkContext.defaultParallelism))
+    return paths.repartition(tasks).mapInArrow(run, "path string, content binary, length long").withColumn("commit", F.lit(commit))

@@ -49,6 +49,16 @@ def test_builtin_spot_checks(spark, rule_id, line, want):
     assert bool(lines(spark, line, RuleSet.compile().only(rule_id))) == want
 
 
+def test_every_rule_finds_its_sample(spark):
+    from lanternscan.rules.samples import samples
+
+    rows = [(f"{k}/{path}", 1, line) for k, _, path, line in samples()]
+    found = scan_lines(spark.createDataFrame(rows, "path string, line_no int, line string"), RuleSet.compile()).select("rule_id", "file").collect()
+    own = {r.rule_id for r in found if samples()[int(r.file.split("/")[0])][1] == r.rule_id}
+    low = {r.id for r in builtin_rules()} - own
+    assert len(low) <= 12 and all(r.entropy or r.allowlists for r in builtin_rules() if r.id in low), low
+
+
 def test_lines_first_match_columns_and_marker(spark):
     rs = RuleSet((TOKEN,))
     assert lines(spark, "é tok_aaaaaa tok_bbbbbb\r\nx\n", rs) == [(1, 4, 13, "tok_aaaaaa")]

@@ -56,6 +56,19 @@ def test_files_and_side_inputs(spark, tmp_path):
     assert cut.truncated and cut.findings.count() == 1
 
 
+def test_symlinks(spark, tmp_path):
+    root = tmp_path / "root"
+    (root / "real").mkdir(parents=True)
+    (tmp_path / "outside").mkdir()
+    (root / "real/a.txt").write_text(KEY)
+    (tmp_path / "outside/b.txt").write_text(KEY)
+    (root / "loop").symlink_to(root)
+    (root / "away").symlink_to(tmp_path / "outside")
+    (root / "file.txt").symlink_to(root / "real/a.txt")
+    found = scan(spark, ScanOptions(path=str(root), follow_symlinks=True)).findings
+    assert {r.file for r in found.collect()} == {"real/a.txt", "file.txt"}
+
+
 def archives() -> dict[str, bytes]:
     z = io.BytesIO()
     with zipfile.ZipFile(z, "w") as f:
