@@ -242,8 +242,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 def keep_one_per_group(docs: DataFrame, **options) -> DataFrame:
     """The documents, with all their columns, that have the smallest doc_id of their component; rows without a doc_id stay."""
-    found = near_duplicates(docs, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    found = near_duplicates(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 

@@ -187,7 +187,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_docs: int) -> DataFr
         return fn
 
     # the sampled labels are at most about train_docs rows, a documented bound
-    found = docs.filter(F.col("text").isNotNull()).join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
+    found = texts.join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
     keyed = map_documents(found, ("label_id", text_bytes(), "toxic"), "doc_id long, text string, toxic int, near long", build)
     return keyed.dropDuplicates(["near", "toxic"]).drop("near")
 

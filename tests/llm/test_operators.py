@@ -31,7 +31,8 @@ def items(text):
 def frame(spark, texts, ids=None, extra=True):
     ids = range(len(texts)) if ids is None else ids
     df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in zip(ids, texts)], SCHEMA)
-    return df.withColumn("n_words", F.lit("clash")).withColumn("gram", F.lit(1)) if extra else df
+    clash = ("n_words", "gram", "toxic", "label_id", "kept_id", "rep", "starts", "data", "_word", "row_id")
+    return df.withColumns({c: F.lit("clash") for c in clash}) if extra else df
 
 
 def vocabulary(seed, n=60):
