@@ -13,6 +13,9 @@ from functools import lru_cache
 SPACE = r"\t\n\f\r "
 WORD = "[0-9A-Za-z_]"
 BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+#: A boundary before a word character, where one look back is enough.
+WORD_START = f"(?<!{WORD})"
+STARTS_WORD = re.compile(r"\\b(?:\(\?:|\()*[0-9A-Za-z_](?![?*{])")
 NO_BOUNDARY = f"(?:(?<={WORD})(?={WORD})|(?<!{WORD})(?!{WORD}))"
 
 
@@ -66,6 +69,10 @@ def to_java(pattern: str) -> str:
         c = pattern[i]
         if c == "\\" and i + 1 < len(pattern):
             d = pattern[i + 1]
+            if "|" not in pattern and "(?i" not in pattern and STARTS_WORD.match(pattern, i):
+                out += WORD_START
+                i += 2
+                continue
             out += {"s": f"[{SPACE}]", "S": f"[^{SPACE}]", "b": BOUNDARY, "B": NO_BOUNDARY, "z": r"\z"}.get(d, pattern[i : i + 2])
             i += 2
         elif c == "[":

@@ -1,6 +1,6 @@
 """The keyword guard: which rules may match a text at all.
 
-A few keywords become plain ``contains`` expressions. Many (the built-in catalogue has hundreds) are looked up by one
+One or two keywords become plain ``contains`` expressions. More (the built-in catalogue has hundreds) are looked up by one
 automaton pass over each text in Arrow batches, which costs the same for one rule or a thousand. Either way a text comes
 out with the numbers of its candidate rules, so that rules join by number instead of by a nested loop.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from lanternscan.plans.ruleset import RuleSet
 
-NATIVE_KEYWORDS = 24
+NATIVE_KEYWORDS = 2
 
 
 def keyword_lookup(words: dict[str, list[int]], always: list[int]) -> Callable[[str], list[int]]:

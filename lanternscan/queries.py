@@ -156,7 +156,7 @@ def secret_group(spark, d):
 @query("entropy_score", f"WITH {SPIKED}, {LINES} SELECT doc_id, count(*) AS n_lines, round(max({ENTROPY.format('line')}), 6) AS max_entropy FROM lines GROUP BY doc_id")
 def entropy_score(spark, d):
     """Most bits per character of any line of a document."""
-    rows = spiked_lines(spark, d).withColumn("e", T.shannon_entropy("line"))
+    rows = spiked_lines(spark, d).withColumn("e", T.text_entropy()("line"))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.round(F.max("e"), 6).alias("max_entropy"))
 
 

@@ -109,6 +109,7 @@ def test_dialect(spark):
 
     assert not found(r"a\sb", "a\x0bb") and found(r"a\sb", "a\tb")
     assert found(r"\bkey\b", "ékeyé") and not found(r"\bkey\b", "akey")
+    assert found(r"\bab?c", "x ac") and not found(r"\b(?:(a)c)", "xac") and found(r"\ba?-", "x-") and not found(r"\ba?-", " -")
     assert not found("a$", "a\n") and found("a$", "a")
     assert found("a.b", "a\rb") and not found("a.b", "a\nb")
     assert found("(?i)KEY", "Key") and found(r"[^\s]", "\x0b") and found(r"a[\s\S]b", "a\nb")
