@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(),
     "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
-    "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()),
+    "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary()), "array<double>": pa.list_(pa.float64()),
 }
 
 #: An odd multiplier of the rolling polynomial hash (modulo 2**64).

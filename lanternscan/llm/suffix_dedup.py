@@ -2,14 +2,19 @@
 
 Only suffixes at content-selected positions are kept: the minimisers, the smallest hash of ``GRAM`` words in each window of
 ``SPAN`` consecutive ones. A passage of MIN_WORDS >= GRAM + SPAN - 1 words that occurs twice holds the same minimisers both
-times. Gram hashes are counted in Spark; suffixes whose gram occurs once are dropped. The others are sorted by gram and the
-words that follow, range-partitioned over the cluster, so that also a gram in a third of all documents is split between tasks.
-Neighbours in that order are compared and extended to the right and to the left; a match of at least MIN_WORDS words marks the
-span of both. Neighbours at the edges of partitions are compared in a second, small step.
+times. Gram hashes are counted in Spark; suffixes whose gram occurs once are dropped.
 
-A suffix carries MIN_WORDS + GRAM words from its place on and MIN_WORDS - GRAM before it. Minimisers are at most SPAN words
-apart, so that is enough to prove a match and to reach its ends; longer passages are the union of the matches of their
-minimisers. Each suffix is compared with the NEIGHBOURS before it, as the one that shares most to the left need not be next.
+A gram with at most NEIGHBOURS + 1 suffixes is one run in sorted order, and each of its suffixes is compared with all others and
+extended to the right and to the left; a match of at least MIN_WORDS words marks the span of both. Such a suffix carries
+MIN_WORDS + GRAM words from its place on and MIN_WORDS - GRAM before it. Minimisers are at most SPAN words apart, so that is
+enough to prove a match and to reach its ends; longer passages are the union of the matches of their minimisers.
+
+A gram with more suffixes (a line in a third of all documents) has no order in which all partners are near: a match may begin at
+any of the SPAN places up to the gram. There one suffix for each start is sorted instead of the minimiser's own. A start belongs
+to the minimiser of its first MIN_WORDS words only, so equal passages have equal starts and none comes twice. These suffixes are
+ordered by the 64-bit hash of their first MIN_WORDS words, as nothing but equality counts: equal ones are contiguous, so one
+neighbour on each side decides. They are range-partitioned, so that also many equal ones are split between tasks; neighbours at
+the edges of partitions are compared in a second, small step.
 
 Null, empty and short texts have no suffixes and no spans. Rows that repeat doc_id and text count as one document here. A null
 doc_id is kept apart by its text. Repeats inside one document count too, unless they overlap themselves completely.
@@ -34,12 +39,9 @@ NEIGHBOURS = 4
 SPAN = MIN_WORDS - GRAM + 1
 
 
-def minimisers(h: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """Positions of the smallest hash (the last of equal ones) in every window of ``span`` hashes."""
-    if not len(h):
-        return np.empty(0, dtype=np.int64)
-    if len(h) <= span:
-        return np.array([len(h) - 1 - int(np.argmin(h[::-1]))])
+def owners(h: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """For each window of ``span`` hashes (one window if there are fewer), the position of its smallest, the last of equal ones."""
+    span = min(span, len(h))
     # sliding minimum by doubling: least[i] = place of the minimum of h[i : i + width]
     place = np.arange(len(h))
     width = 1
@@ -50,18 +52,23 @@ def minimisers(h: np.ndarray, span: int = SPAN) -> np.ndarray:
     if width < span:
         a, b = place[: len(h) - span + 1], place[span - width : len(h) - width + 1]
         place = np.where(h[a] < h[b], a, b)
-    return np.unique(place)
+    return place
+
+
+def minimisers(h: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """Positions of the smallest hash (the last of equal ones) in every window of ``span`` hashes."""
+    return np.unique(owners(h, span))
 
 
 def suffix_grams(docs: DataFrame, gram: int, span: int) -> DataFrame:
-    """doc_id, text_hash, gram, at: the sampled suffixes of each text."""
+    """doc_id, text_hash, gram, at: the sampled suffixes of each text that is long enough for a match."""
 
     def build():
         def fn(ids, hashes, texts):
             cols = ([], [], [], [])
             for doc_id, text_hash, data in zip(ids, hashes, texts):
                 h = window_hashes(token_hashes((data or b"").split()), gram)
-                at = minimisers(h, span)
+                at = minimisers(h if len(h) >= span else h[:0], span)
                 cols[0].append(np.full(len(at), doc_id if doc_id is not None else -1, dtype=np.int64))
                 cols[1].append(np.full(len(at), text_hash, dtype=np.int64))
                 cols[2].append(h[at].view(np.int64))
@@ -87,107 +94,129 @@ def shared_prefix(a: bytes, b: bytes, width: int = 4) -> int:
     return int(np.argmax(x != y))
 
 
-CONTEXT = "doc_id long, text_hash long, gram long, at int, right binary, left binary"
-CONTEXT_NAMES = [c.split()[0] for c in CONTEXT.split(", ")]
 SPANS = "doc_id long, text_hash long, lo int, hi int"
-#: Spans (edge 0), and the first and last suffix of a sorted partition (edge 1 and 2) with the partition's number.
-COMPARED = SPANS + ", edge int, part int, gram long, at int, right binary, left binary"
-COMPARED_KINDS = (*(pa.int64(),) * 2, *(pa.int32(),) * 4, pa.int64(), pa.int32(), pa.binary(), pa.binary())
+#: For each text: its suffixes of rare grams with their contexts, and its starts under frequent grams with the hashes of their windows.
+PLACED = "doc_id long, text_hash long, grams array<long>, ats array<int>, rights array<binary>, lefts array<binary>, starts array<int>, windows array<long>"
 
 
 def contexts(docs: DataFrame, places: DataFrame, gram: int, min_words: int) -> DataFrame:
-    """The suffixes with the 32-bit hashes of the words from their place on, and of those before it (nearest first)."""
-    wanted = places.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("at", "gram"))).alias("s"))
-    wanted = stored(wanted.select("doc_id", "text_hash", F.col("s.at").alias("ats"), F.col("s.gram").alias("grams")))
+    """PLACED rows. A rare suffix comes with the 32-bit hashes of the words from its place on, and of those before it (nearest first)."""
+    wanted = places.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("at", "gram", "many"))).alias("s"))
+    wanted = stored(wanted.select("doc_id", "text_hash", F.col("s.at").alias("ats"), F.col("s.gram").alias("grams"), F.col("s.many").alias("many")))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     texts = only_likely(texts, "text_hash", wanted)
     joined = texts.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
 
     def build():
-        def fn(ids, hashes, texts, ats, grams):
-            for doc_id, text_hash, data, at, gs in zip(ids, hashes, texts, ats, grams):
-                tokens = (token_hashes(data.split()) >> np.uint64(32)).astype(">u4")
+        def fn(ids, hashes, texts, ats, grams, many):
+            for doc_id, text_hash, data, at, gs, ms in zip(ids, hashes, texts, ats, grams, many):
+                words = token_hashes(data.split())
+                tokens = (words >> np.uint64(32)).astype(">u4")
                 back, n = tokens[::-1], len(tokens)
+                rare = [(i, g) for i, g, m in zip(at, gs, ms) if not m]
+                starts, windows = [], []
+                if any(ms):
+                    own = owners(window_hashes(words, gram), min_words - gram + 1)
+                    starts = np.flatnonzero(np.isin(own, [i for i, m in zip(at, ms) if m])).astype(np.int32)
+                    windows = window_hashes(words, min_words)[starts].view(np.int64)
                 yield [
-                    [doc_id] * len(at), [text_hash] * len(at), gs, at, [tokens[i : i + min_words + gram].tobytes() for i in at],
-                    [back[n - i : n - i + min_words - gram].tobytes() for i in at],
+                    [doc_id], [text_hash], [[g for _, g in rare]], [[i for i, _ in rare]],
+                    [[tokens[i : i + min_words + gram].tobytes() for i, _ in rare]],
+                    [[back[n - i : n - i + min_words - gram].tobytes() for i, _ in rare]], [starts], [windows],
                 ]
 
         return fn
 
-    return map_documents(joined, ("doc_id", "text_hash", text_bytes(), "ats", "grams"), CONTEXT, build)
+    return map_documents(joined, ("doc_id", "text_hash", text_bytes(), "ats", "grams", "many"), PLACED, build)
 
 
 def pair_spans(a: tuple, b: tuple, least: int) -> list[tuple]:
-    """Spans of two neighbours, given as rows of CONTEXT."""
+    """Spans of two suffixes, given as rows of doc_id, text_hash, gram, at, right, left."""
     if a[2] != b[2]:
         return []
     left, right = shared_prefix(a[5], b[5]), shared_prefix(a[4], b[4])
     return [(x[0], x[1], x[3] - left, x[3] + right) for x in (a, b)] if left + right >= least else []
 
 
-def compare_neighbours(least: int):
-    """Compare each suffix of a sorted partition with the one before it; the partition's first and last row come out too."""
-    names = [c.split()[0] for c in COMPARED.split(", ")]
-
-    def made(spans: list[tuple], edges: list[tuple[int, tuple]], part: int) -> pa.RecordBatch:
-        rows = [(*s, 0, part, None, None, None, None) for s in spans]
-        rows += [(r[0], r[1], None, None, edge, part, r[2], r[3], r[4], r[5]) for edge, r in edges]
-        cols = list(zip(*rows)) if rows else [[]] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, COMPARED_KINDS)], names=names)
+def compare_rare(least: int):
+    """Compare each suffix of a partition sorted by gram with those of its gram before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, first, before = TaskContext.get().partitionId(), None, deque(maxlen=NEIGHBOURS)
+        before = deque(maxlen=NEIGHBOURS)
         for batch in batches:
             out = []
             for now in zip(*[c.to_pylist() for c in batch.columns]):
                 for other in before:
                     out += pair_spans(other, now, least)
-                first = first or now
                 before.append(now)
-            yield made(sorted(set(out)), [], part)
-        if before:
-            yield made([], [(1, first), (2, before[-1])], part)
+            cols = list(zip(*sorted(set(out)))) or [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], names=["doc_id", "text_hash", "lo", "hi"])
 
     return run
 
 
-def border_spans(least: int):
-    """The same for pairs of rows that stand on either side of a partition border."""
+START = ["doc_id", "text_hash", "at", "window"]
+#: Starts with an equal neighbour (edge 0), and the first and last of a sorted partition (edge 1 and 2) with the partition's number.
+COMPARED = "doc_id long, text_hash long, at int, window long, edge int, part int"
 
-    def build():
-        def fn(*cols):
-            n = len(cols) // 2
-            out = [s for row in zip(*cols) for s in pair_spans(row[:n], row[n:], least)]
-            return list(zip(*out)) if out else [[]] * 4
 
-        return fn
+def compare_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compare each start of a partition sorted by window with the next; the partition's first and last start come out too."""
+    part, first, last = TaskContext.get().partitionId(), None, None
 
-    return build
+    def made(rows: pa.Table, edge: int) -> list[pa.RecordBatch]:
+        for name, value in (("edge", edge), ("part", part)):
+            rows = rows.append_column(name, pa.array([value] * rows.num_rows, type=pa.int32()))
+        return rows.to_batches()
 
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch.select(START)])
+        first = rows.slice(0, 1) if first is None else first
+        rows = rows if last is None else pa.concat_tables([last, rows])
+        window = rows["window"].to_numpy()
+        equal = np.concatenate(([False], window[1:] == window[:-1], [False]))
+        yield from made(rows.filter(pa.array(equal[1:] | equal[:-1])), 0)
+        last = rows.slice(rows.num_rows - 1)
+    if last is not None:
+        yield from made(first, 1)
+        yield from made(last, 2)
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
-    """doc_id, text_hash, starts, ends: merged spans that occur elsewhere too, for documents that have any."""
-    found = stored(suffix_grams(docs, gram, min_words - gram + 1))
-    repeated = cut(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
-    order = ["gram", "right", "left", "doc_id", "at"]
-    rows = contexts(docs, found.join(repeated, "gram"), gram, min_words)
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    compared = stored(ordered.mapInArrow(compare_neighbours(min_words), COMPARED))
-    inner = compared.filter("edge = 0").select("doc_id", "text_hash", "lo", "hi")
+
+def repeated_starts(starts: DataFrame, min_words: int) -> DataFrame:
+    """SPANS of the starts whose first ``min_words`` words occur at another start too."""
+    order = ["window", "doc_id", "text_hash", "at"]
+    parts = max(1, int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = starts.select(*START).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    compared = stored(ordered.mapInArrow(compare_starts, COMPARED))
 
     # two rows of each partition: its last, and the first of the next partition that has rows
-    key = F.struct(*CONTEXT_NAMES)
+    key = F.struct(*START)
     edges = compared.filter("edge > 0").groupBy("part").agg(
         F.max(F.when(F.col("edge") == 1, key)).alias("lo"), F.max(F.when(F.col("edge") == 2, key)).alias("hi")
     )
     after = Window.orderBy("part").rowsBetween(1, 1)
-    pairs = edges.select(F.col("hi").alias("a"), F.first("lo").over(after).alias("b")).filter("a.gram = b.gram")
-    pairs = pairs.select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in CONTEXT_NAMES))
-    border = map_documents(pairs, pairs.columns, SPANS, border_spans(min_words))
+    pairs = edges.select(F.col("hi").alias("a"), F.first("lo").over(after).alias("b")).filter("a.window = b.window")
+    border = pairs.select(F.explode(F.array("a", "b")).alias("s")).select("s.*")
+    found = compared.filter("edge = 0").select(*START).unionByName(border)
+    return found.select("doc_id", "text_hash", F.col("at").alias("lo"), (F.col("at") + min_words).alias("hi"))
+
+
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+    """doc_id, text_hash, starts, ends: merged spans that occur elsewhere too, for documents that have any."""
+    found = stored(suffix_grams(docs, gram, min_words - gram + 1))
+    counts = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeated = cut(counts.select("gram", (F.col("n") > NEIGHBOURS + 1).alias("many")))
+    placed = stored(contexts(docs, found.join(repeated, "gram"), gram, min_words))
+
+    rows = placed.select("doc_id", "text_hash", F.inline(F.arrays_zip("grams", "ats", "rights", "lefts")))
+    rare = rows.repartition("grams").sortWithinPartitions("grams").mapInArrow(compare_rare(min_words), SPANS)
+    starts = placed.select("doc_id", "text_hash", F.inline(F.arrays_zip("starts", "windows")))
+    frequent = repeated_starts(starts.withColumnsRenamed({"starts": "at", "windows": "window"}), min_words)
 
-    merged = inner.unionByName(border).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("s"))
+    merged = rare.unionByName(frequent).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("s"))
 
     def build():
         def fn(ids, hashes, lows, highs):

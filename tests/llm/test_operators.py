@@ -325,6 +325,28 @@ def test_suffix_spans(spark):
     assert suffix_dedup.find_repeats(frame(spark, [])).count() == 0
 
 
+def test_suffix_spans_of_a_frequent_line(spark):
+    """Pairs that share words before, after or around a line that hundreds of texts hold, exact copies, and one text alone."""
+    r = random.Random(12)
+    some = lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]
+    texts = []
+    for size in (20, 24, 35, 49):
+        line = some(size)
+        texts += [some(r.randint(0, 60)) + line + some(r.randint(0, 60)) for _ in range(300)]
+        for before in range(0, 51 - size + 2):
+            for after in {0, max(0, 49 - size - before), max(0, 50 - size - before)}:
+                shared = some(before) + line + some(after)
+                texts += [some(r.randint(0, 40)) + shared + some(r.randint(0, 40)) for _ in range(2)]
+    texts += [some(10) + texts[0]] * 40
+    texts = [" ".join(t) for t in texts]
+    rows = {x.doc_id: x for x in suffix_dedup.find_repeats(frame(spark, texts)).collect()}
+    count = Counter(tuple(w[i : i + 50]) for t in texts for w in [t.split()] for i in range(len(w) - 49))
+    for k, t in enumerate(texts):
+        w = t.split()
+        want = {j for i in range(len(w) - 49) if count[tuple(w[i : i + 50])] > 1 for j in range(i, i + 50)}
+        assert {j for a, z in zip(rows[k].starts, rows[k].ends) for j in range(a, z)} == want, k
+
+
 def brute_removed(ids, texts, n=20):
     first = {}
     for k, (d, t) in enumerate(zip(ids, texts)):
