@@ -410,6 +410,18 @@ def test_pii(spark):
     assert pii.anonymize(frame(spark, [])).count() == 0
 
 
+def test_pii_upper_case_credentials(spark):
+    """Key words of any case, and hexadecimal values that stay so in their case, also next to the same value in the other case."""
+    low = "9233a8917ea4e9feb9cda83477b57ac2654884f4"
+    texts = [f'TOKEN = "{low.upper()}"', "PASSWORD=Hunter2Hunter2 SECRET: zq81LmPw", "API_KEY=abcDEF12345 APIKEY='ABCDEF12345' aPi_kEy=k3k3k3k3 PassWd: hunter77", f'MY TOKEN={low}', "THE SECRET GARDEN, TOKENS: OF LOVE"]
+    new = {r.doc_id: r.text for r in pii.anonymize(frame(spark, texts)).collect()}
+    for real in (low, "Hunter2", "zq81LmPw", "abcDEF12345", "k3k3k3k3", "hunter77"):
+        assert all(real.lower() not in t.lower() for t in new.values()), real
+    assert re.fullmatch('TOKEN = "[0-9A-F]{40}"', new[0]) and re.fullmatch("MY TOKEN=[0-9a-f]{40}", new[3])
+    assert re.fullmatch(r"PASSWORD=\w{14} SECRET: \w{8}", new[1])
+    assert re.fullmatch(r"API_KEY=\w{11} APIKEY='\w{11}' aPi_kEy=\w{8} PassWd: \w{8}", new[2]) and new[4] == texts[4]
+
+
 def test_pii_distinct(spark):
     """Many entities of a small space stay distinct, and none turns into another real one."""
     real = [f"{a}.{b}.7.9" for a in range(10, 60) for b in range(20)] + [f"u{k}@x.org" for k in range(600)]
