@@ -48,6 +48,17 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in out} == ids[4] and sum(r.length for r in out) == sum(r.length for r in rows)
 
 
+def test_near_duplicates_between_thresholds(spark):
+    """A copy of 100 words with two changed ones: 0.81 of five-word shingles, but 0.885 of three-word ones; with three changed ones it stays."""
+    base = [f"w{k}" for k in range(100)]
+    two = [f"e{k}" if k in (30, 60) else w for k, w in enumerate(base)]
+    three = [f"f{k}" if k in (20, 50, 80) else w for k, w in enumerate(base)]
+    rows = [(k, " ".join(w), "en", "s", None) for k, w in enumerate([base, two, three])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {0, 2}
+    assert {r.doc_id for r in ngram_jaccard.keep_one_per_group(docs).collect()} == {0, 1, 2}
+
+
 def test_registration():
     names = queries.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names} and "pipeline" in names
