@@ -139,11 +139,50 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints").rstrip("/")
 
 
+#: Shuffle files of a finished SQL execution go at once, instead of when the driver's garbage collection finds them.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """Write a Parquet table and read it again; the shuffle files that led to it are removed, as nothing needs them any more."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, "false")
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Intermediate tables of one job, by name, in the shared folder: they cut lineage, survive lost executors, and go when they are dropped."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.folder, self.names = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}", set()
+
+    def store(self, name: str, df: DataFrame) -> DataFrame:
+        self.names.add(name)
+        return write_table(df, f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self.names.discard(name)
+            remove(self.spark, f"{self.folder}/{name}")
+
+    def keep(self, *names: str) -> None:
+        """Drop all other tables."""
+        self.drop(*(self.names - set(names)))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder: compressed, where a checkpoint is not."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return write_table(df, f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Connected components of a graph given as edges, by alternating large-star and small-star steps.
 
 Each step is a grouped minimum (pre-aggregated before the shuffle) and a join back, which adaptive execution can split, so a
-node with very many neighbours does not meet in one task. The edges are cut with a checkpoint after each round.
+node with very many neighbours does not meet in one task. The edges of a round are a stored table, which replaces the one before.
+Rounds go on while edges change; their number grows with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,19 +27,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """node, root for every node of ``edges(a, b)``; the root is the smallest node of the component."""
-    now = cut(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+def components(edges: DataFrame) -> DataFrame:
+    """node, root for every node of ``edges(a, b)``; the root is the smallest node of the component. No edges give no rows."""
+    scratch = Scratch(edges.sparkSession, "components")
+    now = scratch.store(
+        "0", edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )  # every edge points down
-    state = None
-    for _ in range(rounds):
-        now = cut(_small_star(_large_star(now)))
-        row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(row) == state:
+    state, n = None, 0
+    while True:
+        row = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if row == state or not row[0]:
             break
-        state = tuple(row)
-    else:
-        raise ValueError(f"components did not settle in {rounds} rounds")
+        state, n = row, n + 1
+        now = scratch.store(str(n), _small_star(_large_star(now)))
+        scratch.drop(str(n - 1))
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -1,19 +1,25 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures.
 
-1. Each document becomes a set of shingle hashes. Documents with equal sets form a class; one member stands for it.
-2. Sets are banded by size. Two sets of a band that reach the similarity differ in at most d shingles, so if shingles are
-   dealt by a hash into d + 1 parts, one part is equal in both: equal parts lead to a common tile, and no link is lost. A set
-   near the upper end of its band also takes part in the next band.
-3. A tile is the sets that share a part with its smallest member. In a tile, sets in a compatible size range are
-   compared by bitmaps: bits that only one set has bound the overlap from above, and only pairs that pass are
-   intersected exactly as sorted arrays. A pair that is already connected is not compared.
-4. Tiles of more than ``BLOCK`` sets (near copies by the thousand) are dealt into blocks. Blocks are linked inside, then
-   through leaders of their parts, and what is then still apart from the largest part of a tile is compared
-   with every block, so that no pair in different components stays untested.
+1. One pass makes a set of shingle hashes of each document, and the keys of its tiles. Equal sets form a class, which is one node.
+2. Sets are banded by size. Two sets that reach the similarity differ in at most d shingles. Shingles are dealt by a hash into
+   so many parts that, in a usual set, more than d are not empty; then one part that is not empty is equal in both sets, and its
+   content is the key of a common tile. A set near the upper end of its band also takes part in the next band. A set with too
+   few filled parts (a short one) adds its d + 1 smallest shingles as keys: two such sets that overlap share one. So no link is
+   lost, and empty parts lead nowhere.
+3. A tile is the sets that share a key with its smallest member, its head. In a tile, sets in a compatible size range are
+   compared by bitmaps: bits that only one set has bound the overlap from above, and only pairs that pass are intersected
+   exactly as sorted arrays. A pair that is already connected is not compared.
+4. A tile of more than ``BLOCK`` sets is dealt into blocks; the head stands in each. That connects near copies by the thousand in
+   linear time. If such a tile stays in several components (a template with different contents, a passage in a third of all
+   documents), what its members share with the head has told nothing. So their rests, without the head's shingles, get keys
+   of their own and meet in smaller tiles, level by level; each level takes some shingle from every rest, so this ends.
+   Pairs whose rests share nothing can only reach the similarity if both rests are small; of those with the same overlap with
+   the heads, the one with the smallest rest stands for all (who reaches any of them reaches it), and only it is compared.
 5. Links make components; only spanning links are kept, never all pairs of a group.
 
 Null and empty texts have no shingles and are linked with nothing; texts with fewer words than a shingle have one. Rows that
-share a doc_id are one node. A null doc_id is linked with nothing and has a null component. Repeated rows are equal sets.
+share a doc_id are one node of ``near_duplicates``, and separate documents for ``keep_one_per_group``. A null doc_id is linked
+with nothing and has a null component. Repeated rows are equal sets. Sets are told apart by 64-bit and 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,22 +31,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, MIX, cut, map_documents, only_likely, table, text_bytes, token_hashes, window_hashes
+from .common import BASE, MIX, Scratch, map_documents, only_likely, table, text_bytes, token_hashes, window_hashes
 from .components import components
 
 SHINGLE = 3
 PERCENT = 90
 BLOCK = 128
-LEADERS = 3
 BAND_RATIO = 1.3
+#: Salts of the small side where large tiles are looked up, so that one tile does not meet in one task.
+SALTS = 16
+#: Sets that a task remembers, so that it sends the keys of equal sets once.
+SEEN = 200_000
 
 
-@lru_cache(maxsize=1)
-def band_starts() -> np.ndarray:
+@lru_cache(maxsize=4)
+def bands(percent: int = PERCENT) -> tuple[np.ndarray, list[int], list[int]]:
+    """First size, most differing shingles of a linked pair, and number of parts of each band."""
+    ratio = max(BAND_RATIO, 100 / percent)
     starts = [1]
-    while starts[-1] < 1 << 40:
-        starts.append(max(starts[-1] + 1, int(np.ceil(starts[-1] * BAND_RATIO))))
-    return np.array(starts)
+    while starts[-1] < 1 << 34:
+        starts.append(max(starts[-1] + 1, int(np.ceil(starts[-1] * ratio))))
+    most, parts = [], []
+    for low, end in zip(starts, starts[1:]):
+        d = 2 * (end - 1) * (100 - percent) // (100 + percent)  # both sizes are below the end
+        n, p = max(1, low * percent // 100), d + 1
+        # parts until the smallest set of the band fills more than d of them, but for two deviations
+        while p < 2 * d + 1 and p - p * np.exp(-n / p) - 2 * np.sqrt(p * np.exp(-n / p)) < d + 1:
+            p += max(1, p // 64)
+        most.append(d)
+        parts.append(p)
+    return np.array(starts), most, parts
 
 
 def shingle_set(data: bytes | None, k: int = SHINGLE) -> np.ndarray:
@@ -54,19 +74,32 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def part_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Keys of the hash parts of a set, for its band and, near its upper end, the next one."""
-    starts = band_starts()
-    band = int(np.searchsorted(starts, len(s), side="right")) - 1
-    bands = [band] + [band + 1] * (len(s) * 100 >= int(starts[band + 1]) * percent)
+def set_key(s: np.ndarray) -> int:
+    return int(mix(s).sum(dtype=np.uint64).view(np.int64))
+
+
+def allowed(size: int, percent: int) -> int:
+    """Most shingles in which a set of this size may differ from one that it is linked with."""
+    return size * (100 - percent) // percent
+
+
+def tile_keys(s: np.ndarray, size: int, percent: int = PERCENT) -> np.ndarray:
+    """Keys of the tiles of ``s``, a set of ``size`` shingles or what is left of it; two linked sets whose rests overlap share one."""
+    if not len(s):
+        return s
+    starts, most, parts = bands(percent)
+    band = int(np.searchsorted(starts, size, side="right")) - 1
     place, value = mix(s), mix(s ^ BASE)
-    out = []
-    for b in bands:
-        # both sizes are below starts[b + 1]; sd <= (n + m) * (100 - p) / (100 + p)
-        parts = 2 * (int(starts[b + 1]) - 1) * (100 - percent) // (100 + percent) + 1
-        sums = np.zeros(parts, dtype=np.uint64)
-        np.add.at(sums, (place % np.uint64(parts)).astype(np.int64), value)
-        out.append(mix(sums * BASE + np.arange(parts, dtype=np.uint64) + np.uint64(b << 40)))
+    out, enough_filled = [], True
+    for b in [band] + [band + 1] * (size * 100 >= int(starts[band + 1]) * percent):
+        at = (place % np.uint64(parts[b])).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        filled, first = np.unique(at[order], return_index=True)
+        sums = np.add.reduceat(value[order], first)
+        out.append(mix(sums * BASE + filled.astype(np.uint64) + np.uint64(b << 40)))
+        enough_filled &= len(filled) > most[b]
+    if not enough_filled:
+        out.append(mix(s[: allowed(size, percent) + 1] ^ MIX))
     return np.concatenate(out)
 
 
@@ -110,141 +143,242 @@ def link_sets(sets: list[np.ndarray], parts: np.ndarray, percent: int = PERCENT)
     return links
 
 
-def tile_links(percent: int):
-    """Links of one tile. With leaders wanted, each part also names a few members that stand for it."""
+def unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=np.uint64) for x in column.to_pylist()]
+
+
+def compare_group(percent: int):
+    """Links (a, b) of the sets of one group."""
 
-    def fn(tile: pa.Table) -> pa.Table:
-        reps, known = tile["rep"].to_pylist(), tile["part"].to_pylist()
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in tile["shingles"].to_pylist()]
+    def fn(group: pa.Table) -> pa.Table:
+        nodes, known = group["node"].to_pylist(), group["root"].to_pylist()
         _, parts = np.unique(np.array(known, dtype=np.int64), return_inverse=True)
-        links = link_sets(sets, parts, percent)
-        a, b = [reps[i] for i, _ in links], [reps[j] for _, j in links]
-        lead = [i for p in np.unique(parts) for i in np.flatnonzero(parts == p)[:LEADERS]]
-        heads = tile["head"].to_pylist()
-        kinds = ["link"] * len(links) + ["leader"] * len(lead)
-        return pa.table(
-            [
-                pa.array(kinds, type=pa.string()),
-                pa.array(a + [reps[i] for i in lead], type=pa.int64()),
-                pa.array(b + [heads[i] for i in lead], type=pa.int64()),
-            ],
-            names=["kind", "a", "b"],
-        )
+        links = link_sets(unpacked(group["shingles"]), parts, percent) if len(nodes) > 1 else []
+        return pa.table([pa.array([nodes[x[k]] for x in links], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return fn
 
 
-def document_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, parts: bool = True) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key of the set and, if wanted, its part keys."""
+REST = "tile long, node long, root long, apart boolean, keys array<long>, small boolean, light boolean, rest int, shared long"
+
+
+def rest_keys(percent: int):
+    """For each member of a block (rows with ``is_head`` are the heads): keys of its rest, how large that is, and what it shares with the heads."""
+
+    def fn(block: pa.Table) -> pa.Table:
+        sets, heads = unpacked(block["shingles"]), np.array(block["is_head"].to_pylist(), dtype=bool)
+        known = np.unique(np.concatenate([s for s, h in zip(sets, heads) if h]))
+        cols = [block[c].to_pylist() for c in ("tile", "node", "root", "apart")]
+        out = []
+        for k in np.flatnonzero(~heads):
+            s = sets[k]
+            rest, most = np.setdiff1d(s, known, assume_unique=True), allowed(len(s), percent)
+            shared = set_key(np.intersect1d(s, known, assume_unique=True))
+            small = len(rest) <= most
+            out.append((*(c[k] for c in cols), tile_keys(rest, len(s), percent).view(np.int64), small, 2 * len(rest) <= most, len(rest), shared))
+        kinds = [pa.int64()] * 3 + [pa.bool_(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.int32(), pa.int64()]
+        names = [x.split()[0] for x in REST.split(", ")]
+        return pa.table([pa.array(list(c), type=k) for c, k in zip(list(zip(*out)) or [[]] * len(kinds), kinds)], names=names)
+
+    return fn
+
+
+def document_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_hash, n_shingles, a 128-bit key of the set and its tile keys; a task sends the keys of equal sets once."""
 
     def build():
-        def fn(ids, texts):
+        seen: set[tuple[int, int]] = set()
+
+        def fn(ids, hashes, texts):
             cols = ([], [], [], [])
-            for data in texts:
+            for doc_id, data in zip(ids, texts):
                 s = shingle_set(data, shingle)
-                cols[0].append(len(s))
-                cols[1].append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
-                cols[2].append(int(mix(s ^ MIX).sum(dtype=np.uint64).view(np.int64)))
-                cols[3].append(part_keys(s, percent).view(np.int64) if parts and len(s) else [])
-            return [ids, *cols]
+                key = (set_key(s), set_key(s ^ MIX))
+                new = doc_id is not None and len(s) > 0 and key not in seen
+                if new:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(key)
+                for col, x in zip(cols, (len(s), *key, tile_keys(s, len(s), percent).view(np.int64) if new else ())):
+                    col.append(x)
+            return [ids, hashes, *cols]
 
         return fn
 
     return map_documents(
-        docs, (F.col("doc_id").cast("long"), text_bytes()),
-        "doc_id long, n_shingles long, set_a long, set_b long, parts array<long>", build,
+        docs, (F.col("doc_id").cast("long"), F.xxhash64("text"), text_bytes()),
+        "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, keys array<long>", build,
     )
 
 
-def class_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, block: int) -> DataFrame:
-    """Spanning links (a, b) between class representatives."""
-    keyed = classes.select("rep", F.explode("parts").alias("part"))
-    heads = keyed.groupBy("part").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last")
-    heads = cut(heads.drop("last"))  # a bare side, so that a hot part can be split in the join
-    found = keyed.join(heads.hint("shuffle_hash"), "part").select("head", "rep").distinct()
-    # every member with the heads of its tiles, the heads themselves included
-    tiles = cut(found.join(classes.select("rep", "set_a"), "rep"))
+def fetch_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """node, shingles of the sets ``wanted(node, id)``, hashed again from the texts of these documents only."""
 
     def build():
-        def fn(ids, wanted, texts):
+        def fn(nodes, texts):
             rows = []
-            for doc_id, key, data in zip(ids, wanted, texts):
+            for node, data in zip(nodes, texts):
                 s = shingle_set(data, shingle)
-                if int(mix(s).sum(dtype=np.uint64).view(np.int64)) == key:
-                    rows.append((doc_id, key, s.tobytes()))
-            return list(zip(*rows)) if rows else [[], [], []]
+                if set_key(s) == node:  # rows that share a doc_id have other sets too
+                    rows.append((node, s.tobytes()))
+            return list(zip(*rows)) if rows else [[], []]
 
         return fn
 
-    wanted = tiles.select("rep", "set_a").distinct()
-    texts = only_likely(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep", wanted)
-    texts = texts.join(wanted, "rep").withColumn("hash", F.xxhash64("text")).dropDuplicates(["rep", "set_a", "hash"])
-    sets = cut(map_documents(texts, ("rep", "set_a", text_bytes()), "rep long, set_a long, shingles binary", build))
-
-    blocks = tiles.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = tiles.join(blocks, "head").withColumn("block", F.pmod(F.xxhash64("rep", "head"), F.col("blocks")).cast("int"))
-    placed = cut(placed)
-    run = lambda df, *by: df.groupBy(*by).applyInArrow(tile_links(percent), "kind string, a long, b long")
-    own = F.col("rep").alias("part")
-    first = cut(run(placed.join(sets, ["rep", "set_a"]).select("head", "block", "rep", own, "shingles"), "head", "block"))
-    links = first.filter("kind = 'link'").select("a", "b")
-    big = placed.filter("blocks > 1")
-    if big.isEmpty():
-        return links
-
-    # leaders of the parts of all blocks meet, block by block of leaders until one block is left
-    leaders = first.filter("kind = 'leader'").select(F.col("a").alias("rep"), F.col("b").alias("head"))
-    leaders = leaders.join(big.select("head").distinct(), "head").join(sets, "rep")
-    counts = leaders.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / block).alias("n"))
-    leaders = leaders.join(counts, "head").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n")))
-    second = run(leaders.select("head", "block", "rep", own, "shingles"), "head", "block")
-    links = cut(links.unionByName(second.filter("kind = 'link'").select("a", "b")))
-
-    # what is not in the largest component of its tile is compared with every block
-    roots = components(links)
-    rooted = big.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    rooted = cut(rooted)
-    share = rooted.groupBy("head", "root").agg(F.count(F.lit(1)).alias("n"))
-    most = share.groupBy("head").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("n_roots"))
-    apart = rooted.join(most.filter("n_roots > 1"), "head")
-    minor = apart.filter("root <> main")
-    chunks = minor.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
-    minor = minor.join(chunks, "head").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks")).cast("int"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["head", "block", "chunk", "rep", "set_a", "root"]
-    all_blocks = minor.drop("block").withColumn("block", spread("blocks")).select(cols)
-    all_chunks = apart.join(chunks, "head").withColumn("chunk", spread("chunks")).select(cols)
-    third = all_blocks.unionByName(all_chunks).distinct().join(sets, ["rep", "set_a"])
-    third = run(third.select("head", "block", "chunk", "rep", F.col("root").alias("part"), "shingles"), "head", "block", "chunk")
-    return links.unionByName(third.filter("kind = 'link'").select("a", "b"))
+    texts = only_likely(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", wanted.select("id"))
+    texts = texts.join(wanted, "id").withColumn("hash", F.xxhash64("text")).dropDuplicates(["id", "node", "hash"])
+    return map_documents(texts, ("node", text_bytes()), "node long, shingles binary", build)
+
+
+def in_blocks(tiles: DataFrame, block: int) -> DataFrame:
+    """Tiles (tile, heads, node, ...) with ``blocks`` (1 for a small tile) and the member's ``block``."""
+    parts = tiles.groupBy("tile", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")).agg(F.count(F.lit(1)).alias("n"))
+    counts = parts.groupBy("tile").agg(F.sum("n").alias("n")).filter(F.col("n") > block)
+    large = counts.select("tile", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = tiles.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    out = salted.join(large, ["tile", "salt"], "left").drop("salt").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return out.withColumn("block", F.pmod(F.xxhash64("node", "tile"), F.col("blocks")).cast("int"))
+
+
+def crossed(left: DataFrame, right: DataFrame, block: int) -> DataFrame:
+    """Rows (tile, x, y, node, root) so that each left member of a tile meets each right one in one group (tile, x, y) of bounded size."""
+    side = lambda df: in_blocks(df.select("tile", "node", "root"), block)
+    l, r = side(left), side(right)
+    n_l, n_r = (df.groupBy("tile").agg(F.max("blocks").alias("n")) for df in (l, r))
+    spread = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    a = l.join(n_r, "tile").select("tile", F.col("block").alias("x"), spread.alias("y"), "node", "root")
+    b = r.join(n_l, "tile").select("tile", spread.alias("x"), F.col("block").alias("y"), "node", "root")
+    return a.unionByName(b).distinct()
+
+
+def class_links(scratch: Scratch, tiles: DataFrame, sets: DataFrame, percent: int, block: int) -> list[DataFrame]:
+    """Spanning links (a, b) between sets, as stored tables; ``tiles`` has tile, heads and node."""
+    compare = lambda df, *by: df.join(sets, "node").groupBy(*by).applyInArrow(compare_group(percent), "a long, b long")
+    links: list[DataFrame] = []
+    roots, level = None, 0
+    while True:
+        name = lambda x: f"{x}-{level}"  # noqa: B023, E731
+        members = tiles.withColumn("root", F.col("node"))
+        if roots is not None:
+            members = tiles.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = scratch.store(name("placed"), in_blocks(members, block))
+        large = placed.filter("blocks > 1")
+        in_each = large.select("tile", F.element_at("heads", -1).alias("node"), "blocks").distinct()
+        in_each = in_each.select("tile", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        first = in_each.withColumn("root", F.col("node")) if roots is None else in_each.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        cols = ["tile", "block", "node", "root"]
+        links.append(scratch.store(name("links"), compare(placed.select(cols).unionByName(first.select(cols)).distinct(), "tile", "block")))
+        if large.isEmpty():
+            return links
+
+        roots = scratch.store(name("roots"), components(union_all(links)))
+        rooted = scratch.store(
+            name("rooted"), large.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        )
+        share = rooted.groupBy("tile", "root").agg(F.count(F.lit(1)).alias("n"))
+        most = share.groupBy("tile").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+        open_ = scratch.store(name("open"), rooted.join(most.drop("roots"), "tile").withColumn("apart", F.col("root") != F.col("main")).drop("main"))
+        scratch.drop(name("placed"), name("rooted"))
+        if open_.isEmpty():
+            return links
+
+        # what is left of the members without the shingles of the heads
+        known = open_.select("tile", "heads", "block").distinct().select("tile", "block", F.explode("heads").alias("node"))
+        none = F.lit(None).cast("long")
+        rows = open_.select("tile", "block", "node", "root", "apart", F.lit(False).alias("is_head")).unionByName(
+            known.select("tile", "block", "node", none.alias("root"), F.lit(None).cast("boolean").alias("apart"), F.lit(True).alias("is_head"))
+        )
+        rests = scratch.store(name("rests"), rows.join(sets, "node").groupBy("tile", "block").applyInArrow(rest_keys(percent), REST))
+
+        # rests that share nothing: the smallest rest stands for those with the same overlap with the heads
+        light = rests.filter("light").groupBy("tile", "shared").agg(F.min(F.struct("rest", "node", "root", "apart")).alias("s")).select("tile", "s.*")
+        small = rests.filter("small")
+        for k, (a, b) in enumerate(((light, small.filter("apart")), (light.filter("apart"), small))):
+            links.append(scratch.store(name(f"disjoint-{k}"), compare(crossed(a, b, block), "tile", "x", "y")))
+
+        # rests that share a key
+        keyed = rests.select("tile", "node", "root", F.explode("keys").alias("key"))
+        meet = keyed.groupBy("tile", "key").agg(F.min("node").alias("head"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        found = keyed.join(meet.filter("lo < hi").select("tile", "key", "head"), ["tile", "key"]).select("tile", "head", "node").distinct()
+        before = open_.select("tile", "heads").distinct()
+        tiles = scratch.store(
+            name("tiles"),
+            found.join(before, "tile").select(
+                F.xxhash64("tile", "head", F.lit(level)).alias("tile"), F.concat("heads", F.array("head")).alias("heads"), "node"
+            ),
+        )
+        scratch.drop(name("open"), name("rests"))
+        level += 1
+        if tiles.isEmpty():
+            return links
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def linked_sets(docs: DataFrame, shingle: int, percent: int, block: int) -> tuple[Scratch, DataFrame, DataFrame]:
+    """The stored rows doc_id, text_hash, n_shingles, set_a, set_b of all documents, and the links (a, b) between sets, by set_a."""
+    scratch = Scratch(docs.sparkSession, "near")
+    keyed = scratch.store("keyed", document_sets(docs, shingle, percent))
+    ids = scratch.store("ids", keyed.drop("keys"))
+    keys = keyed.select(F.col("set_a").alias("node"), F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").drop("last")
+    shared = scratch.store("shared", shared)
+    # a bare side, so that a hot key can be split in the join
+    found = only_likely(keys, "key", shared).join(shared.hint("shuffle_hash"), "key").select("head", "node").distinct()
+    tiles = scratch.store("tiles", found.select(F.col("head").alias("tile"), F.array("head").alias("heads"), "node"))
+    scratch.drop("keyed", "shared")
+    classes = ids.filter("n_shingles > 0 and doc_id is not null").groupBy(F.col("set_a").alias("node"), "set_b").agg(F.min("doc_id").alias("id"))
+    wanted = classes.join(tiles.select("node").distinct(), "node").select("node", "id")
+    sets = scratch.store("sets", fetch_sets(docs, wanted, shingle))
+    links = union_all(class_links(scratch, tiles, sets, percent, block))
+    scratch.drop("sets", "tiles")
+    return scratch, ids, links
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id of the component) of every document."""
-    some = "n_shingles > 0 and doc_id is not null"
-    sets = cut(document_sets(docs, shingle, percent, parts=False))
-    usable = sets.filter(some)
-    classes = cut(
-        document_sets(docs, shingle, percent).filter(some).groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("parts").alias("parts"))
-    )
-    links = class_links(docs, classes, shingle, percent, block)
-    # rows that share a doc_id are one node: their other sets hang together through it
-    same = usable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    members = usable.select("doc_id", "set_a", "set_b").join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"])
-    twice = members.join(same, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    roots = components(links.unionByName(twice))
-    found = sets.join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"], "left")
-    found = found.withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")))
-    return found.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id")
-    )
-
-
-def keep_one_per_group(docs: DataFrame, **options) -> DataFrame:
-    """The documents, with all their columns, that have the smallest doc_id of their component; rows without a doc_id stay."""
-    found = near_duplicates(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    scratch, ids, links = linked_sets(docs, shingle, percent, block)
+    some = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    usable = ids.filter(some)
+    # rows that share a doc_id are one node: their sets hang together through it
+    same = usable.groupBy("doc_id").agg(F.min("set_a").alias("b"), F.max("set_a").alias("last")).filter("b < last").select("doc_id", "b")
+    twice = usable.join(same, "doc_id").select(F.col("set_a").alias("a"), "b").distinct()
+    roots = scratch.store("roots", components(links.unionByName(twice)).withColumnRenamed("node", "set_a"))
+    least = usable.groupBy("set_a").agg(F.min("doc_id").alias("least"))
+    rooted = scratch.store("rooted", least.join(roots, "set_a", "left").withColumn("root", F.coalesce("root", "set_a")))
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    groups = scratch.store("groups", rooted.join(groups, "root").select("set_a", "component_id"))
+    scratch.keep("ids", "groups")
+    out = ids.withColumn("set_a", F.when(some, F.col("set_a"))).join(groups, "set_a", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one_per_group(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """The documents, with all their columns, of which one of each group stays: the one with the smallest doc_id.
+
+    Documents are told apart by doc_id and text, so rows that only share a doc_id are not a group. Of rows that repeat doc_id and
+    text one stays. Documents without a word stay, and so do all rows without a doc_id.
+    """
+    scratch, ids, links = linked_sets(docs, shingle, percent, block)
+    roots = components(links).withColumnRenamed("node", "set_a")
+    known = ids.filter(F.col("doc_id").isNotNull())
+    least = known.filter("n_shingles > 0").groupBy("set_a").agg(F.min(F.struct("doc_id", "set_b", "text_hash")).alias("s"))
+    rooted = least.join(roots, "set_a", "left").groupBy(F.coalesce("root", "set_a").alias("root")).agg(F.min("s").alias("s"))
+    kept = rooted.select(F.col("s.doc_id").alias("kept_id"), F.col("s.text_hash").alias("kept_hash"))
+    kept = kept.unionByName(known.filter("n_shingles = 0").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct())
+    kept = scratch.store("kept", kept)
+    scratch.keep("kept")
+    d, k = docs.alias("d"), kept.alias("k")
+    same = (F.col("d.doc_id").cast("long") == F.col("k.kept_id")) & (F.xxhash64("d.text") == F.col("k.kept_hash"))
+    rows = d.join(k, same, "left_semi")
+    hashed = next(f"_hash{n}" for n in range(len(docs.columns) + 1) if f"_hash{n}" not in docs.columns)
+    rows = rows.withColumn(hashed, F.xxhash64("text")).dropDuplicates(["doc_id", hashed]).drop(hashed)
+    return rows.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,11 +185,11 @@ def test_grammar_scopes():
 
 # ------------------------------------------------------------------ 4
 
-def brute_components(texts, percent=90):
+def brute_components(texts, percent=90, shingle=3):
     sets = []
     for t in texts:
         w = split("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-        k = min(3, len(w))
+        k = min(shingle, len(w))
         sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
     root = list(range(len(texts)))
 
@@ -226,24 +226,58 @@ def test_jaccard_components(spark, block):
     assert got == brute_components(texts)
 
 
+def template_pages(n, size, seed):
+    """Pages of one template with contents of their own: unlike ones, some that are alike, and some that hardly differ from the template."""
+    r = random.Random(seed)
+    base = [f"t{k}" for k in range(size)]
+    out = []
+    for k in range(n):
+        own = [f"x{r.randrange(10**6)}" for _ in range(r.choice([1, 2, size // 8, size // 4, size]))]
+        if k % 3 == 0 and out:
+            own = out[-1].split()[size // 2 : -(size - size // 2)]
+            own = own[:-1] + ["y"] if own else own
+        out.append(" ".join(base[: size // 2] + own + base[size // 2 :]))
+    return out
+
+
+@pytest.mark.parametrize("percent, shingle", [(80, 5), (90, 3), (80, 1)])
+def test_jaccard_templates(spark, percent, shingle):
+    """Tiles that hold many documents which are not linked: every link is found, level by level."""
+    r = random.Random(11)
+    passage = " ".join(f"p{k}" for k in range(40))
+    shared = [f"{' '.join(f'a{r.randrange(9)}' for _ in range(r.randint(0, 60)))} {passage} {' '.join(f'b{r.randrange(9)}' for _ in range(r.randint(0, 60)))}" for _ in range(40)]
+    texts = [*template_pages(60, 40, 3), *template_pages(40, 16, 4), *shared, *near_copies(30, 50, 5, 8)]
+    got = ngram_jaccard.near_duplicates(frame(spark, texts), shingle=shingle, percent=percent, block=6).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute_components(texts, percent, shingle)
+
+
 def test_jaccard_odd_rows(spark):
     texts = ["a b c d e f", "a b c d e f", "q r s t", "q r s t", "a b c d e f", None]
     df = frame(spark, texts, [1, 2, 2, 7, None, None])
     rows = sorted((str(r.doc_id), r.component_id) for r in ngram_jaccard.near_duplicates(df).collect())
     assert rows == [("1", 1), ("2", 1), ("2", 1), ("7", 1), ("None", None), ("None", None)]
     kept = ngram_jaccard.keep_one_per_group(df)
-    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None", "None"]
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "None", "None"]
     assert ngram_jaccard.near_duplicates(frame(spark, [])).count() == 0
 
 
-def test_parts_never_miss():
+@pytest.mark.parametrize("percent", [70, 80, 90, 95])
+def test_tile_keys_never_miss(percent):
+    """Linked sets share a key, and so do their rests without any third set, as long as these overlap."""
     r = random.Random(4)
-    for _ in range(300):
-        n = r.randint(1, 80)
-        a = np.array(sorted(r.sample(range(1, 10**9), n)), dtype=np.uint64)
-        b = a[[k for k in range(n) if r.random() > 0.04]]
-        if len(b) and ngram_jaccard.enough(len(b), n, len(b)):
-            assert set(ngram_jaccard.part_keys(a).tolist()) & set(ngram_jaccard.part_keys(b).tolist())
+    for _ in range(400):
+        n = r.randint(1, 120)
+        pool = [int(x) for x in r.sample(range(1, 1 << 62), 2 * n)]
+        a = set(pool[:n])
+        b = {x for x in a if r.random() > r.choice([0.02, 0.05, 0.1])} | set(pool[n : n + r.randint(0, n // 10)])
+        if not b or not ngram_jaccard.enough(len(a & b), len(a), len(b), percent):
+            continue
+        known = set(r.sample(sorted(a), r.randint(0, n)))
+        for gone in (set(), known):
+            x, y = (np.array(sorted(s - gone), dtype=np.uint64) for s in (a, b))
+            if (a & b) - gone:
+                keys = [set(ngram_jaccard.tile_keys(s, k, percent).tolist()) for s, k in ((x, len(a)), (y, len(b)))]
+                assert keys[0] & keys[1]
 
 
 def test_components(spark):
