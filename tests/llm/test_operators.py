@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lanternscan.llm.common import Scratch
 from lanternscan.llm import (
     components, decontamination, language_id, license_scan, ngram_jaccard, packing, pii, quality_rules, substring_dedup, suffix_dedup, toxicity,
 )
@@ -416,6 +417,7 @@ def test_substring_dedup(spark, chunk):
 
 # ------------------------------------------------------------------ 9
 
+KEY = "a key for tests"
 ENTITIES = "call +1 (988) 555-2485, 988.555.2485 mail Hsr.29@mail5.example.com or hsr.29@mail5.example.com; card 4587121519400672, 4587-1215-1940-0672 ip 55.63.178.142"
 
 
@@ -428,8 +430,8 @@ def test_pii(spark):
     names = "Mr. John Smith, Mrs. Mary Smith and Mr Smith; Dr. Who. г-н Иван Петров"
     texts = [ENTITIES, "again Hsr.29@mail5.example.com", 'token = "0641917ea4e9feb9cda83477b57ac2654884f485" password=b7db7aa4a5fcc78305', names, None, "", "version 1.2 of 2024", "an José.garcía@correo.example.es", ENTITIES]
     df = frame(spark, texts, [0, 1, 2, 3, 4, 5, 6, 7, 0])
-    rows = pii.anonymize(df).collect()
-    assert pii.anonymize(df).columns == [*df.columns, "pii_entities"] and len(rows) == len(texts)
+    rows = pii.anonymize(df, KEY).collect()
+    assert pii.anonymize(df, KEY, "n").columns == [*df.columns, "n"] and len(rows) == len(texts)
     new = {r.doc_id: r.text for r in rows}
     for real in ("555-2485", "555.2485", "hsr.29", "mail5.example.com", "4587121519400672", "4587-1215", "55.63.178.142", "0641917ea4", "b7db7aa4", "John", "Mary", "Smith", "Иван", "Петров", "José", "garcía", "correo"):
         assert all(real.lower() not in (t or "").lower() for t in new.values()), real
@@ -441,14 +443,14 @@ def test_pii(spark):
     assert re.fullmatch(r'token = "[0-9a-f]{40}" password=\w{18}', new[2])
     m = re.fullmatch(r"Mr\. (\w+) (\w+), Mrs\. (\w+) (\w+) and Mr (\w+); Dr\. (\w+)\. г-н (\w+) (\w+)", new[3])
     assert m and m[2] == m[4] == m[5] and m[1] in pii.GIVEN["m"] and m[3] in pii.GIVEN["f"] and m[7] in pii.GIVEN["m_cyr"]
-    assert pii.anonymize(frame(spark, [])).count() == 0
+    assert pii.anonymize(frame(spark, []), KEY).count() == 0
 
 
 def test_pii_upper_case_credentials(spark):
     """Key words of any case, and hexadecimal values that stay so in their case, also next to the same value in the other case."""
     low = "9233a8917ea4e9feb9cda83477b57ac2654884f4"
     texts = [f'TOKEN = "{low.upper()}"', "PASSWORD=Hunter2Hunter2 SECRET: zq81LmPw", "API_KEY=abcDEF12345 APIKEY='ABCDEF12345' aPi_kEy=k3k3k3k3 PassWd: hunter77", f'MY TOKEN={low}', "THE SECRET GARDEN, TOKENS: OF LOVE"]
-    new = {r.doc_id: r.text for r in pii.anonymize(frame(spark, texts)).collect()}
+    new = {r.doc_id: r.text for r in pii.anonymize(frame(spark, texts), KEY).collect()}
     for real in (low, "Hunter2", "zq81LmPw", "abcDEF12345", "k3k3k3k3", "hunter77"):
         assert all(real.lower() not in t.lower() for t in new.values()), real
     assert re.fullmatch('TOKEN = "[0-9A-F]{40}"', new[0]) and re.fullmatch("MY TOKEN=[0-9a-f]{40}", new[3])
@@ -456,12 +458,79 @@ def test_pii_upper_case_credentials(spark):
     assert re.fullmatch(r"API_KEY=\w{11} APIKEY='\w{11}' aPi_kEy=\w{8} PassWd: \w{8}", new[2]) and new[4] == texts[4]
 
 
+def test_pii_one_person_one_name(spark):
+    """Titles do not change a name; its gender is the given name's, or that of most of its titles; one name without the given name."""
+    texts = ["Dr. Maria Lopez met Mrs. Maria Lopez and Prof Maria Lopez.", "Mr. Kim Doe, Dr. Kim Doe, Mr Kim Roe", "Frau Robin Alt; Dr. Robin Alt"]
+    new = {r.doc_id: r.text for r in pii.anonymize(frame(spark, texts), KEY).collect()}
+    m = re.fullmatch(r"Dr\. (\w+ \w+) met Mrs\. (\w+ \w+) and Prof (\w+ \w+)\.", new[0])
+    assert m and m[1] == m[2] == m[3] and m[1].split()[0] in pii.GIVEN["f"]
+    m = re.fullmatch(r"Mr\. (\w+) (\w+), Dr\. (\w+) (\w+), Mr (\w+) (\w+)", new[1])
+    assert m and m[1] == m[3] == m[5] and m[2] == m[4] != m[6] and (m[1] in pii.GIVEN["m"] or m[1].endswith("o"))
+    m = re.fullmatch(r"Frau (\w+) (\w+); Dr\. (\w+) (\w+)", new[2])
+    assert m and m[1] == m[3] and m[2] == m[4] and (m[1] in pii.GIVEN["f"] or m[1].endswith("a"))
+
+
+def test_pii_phones_and_accounts(spark):
+    texts = ["+1 (415) 555-2671 or 415-555-2671 or (415) 555-2671", "+49 30 1234567, +44 20 7946 0958, +420 601 123 456", "DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432",
+             "at 2001:0db8:85a3:0000:0000:8a2e:0370:7334 or fe80::1ff:fe23:4567:890a, not std::abc, 12:30:45 or face::cafe"]
+    new = {r.doc_id: r.text for r in pii.anonymize(frame(spark, texts), KEY).collect()}
+    digits = [re.sub(r"\D", "", x) for x in new[0].split(" or ")]
+    assert digits[0] == "1" + digits[1] and digits[1] == digits[2] != "4155552671"
+    assert re.fullmatch(r"\+49 \d\d \d{7}, \+44 \d\d \d{4} \d{4}, \+420 \d{3} \d{3} \d{3}", new[1]) and "7946" not in new[1]
+    for iban in new[2].split(" and "):
+        x = iban.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    assert "DE" in new[2] and "3704" not in new[2] and "WEST" not in new[2]
+    assert "85a3" not in new[3] and "fe80" not in new[3] and new[3].endswith("not std::abc, 12:30:45 or face::cafe")
+
+
+@pytest.mark.parametrize("shape", ["x@a" + ".a" * 500_000, "x" * 500_000 + "@", "token=" + "aB3" * 350_000, "1-" * 500_000, "AB12 " * 200_000, "+1 " * 300_000, "a:" * 500_000, "1." * 500_000, "Mr. A" + "b" * 1_000_000, "x@" + "a-" * 500_000])
+def test_pii_very_long_texts(spark, shape):
+    """A megabyte of the shape of each pattern neither overflows the stack nor takes long."""
+    (row,) = pii.anonymize(frame(spark, [shape + " mail a.b@c.example.com"]), KEY).collect()
+    assert "a.b@c" not in row.text and "token=aB3" not in row.text
+
+
+def test_pii_never_runs_out(spark):
+    """More entities than the given format holds: surrogates grow, stay distinct and are none of the real ones."""
+    real = [f"tok{a}{b}{c}" for a in "xyz" for b in "xyz" for c in "xyz"]
+    scratch = Scratch(spark, "t")
+    parts = spark.createDataFrame([("ip", f"1.2.3.{k}", None) for k in range(300)] + [("secret", x, None) for x in real], "type string, norm string, gender string")
+    same = lambda *a: F.when(a[-1] < 7, F.lit("9.9.9.9")).otherwise(payload(*a))
+    payload = pii.payload
+    pii.payload = same
+    try:
+        out = pii.resolve(parts, KEY, scratch).collect()
+    finally:
+        pii.payload = payload
+    assert len({(r.type, r.payload) for r in out}) == len(out) == 327
+
+
+def test_pii_equals_independent_replacement(spark):
+    """Another implementation of the same patterns, with the surrogates of the table, gives the same texts."""
+    import regex
+
+    texts = [ENTITIES, 'token = "0641917ea4e9feb9cda83477b57ac2654884f485" a@b.org', "Mr. John Smith, +49 30 1234567; 10.0.0.1.", *corpus(2, 10)]
+    df = frame(spark, texts)
+    pattern = regex.compile(pii.ENTITY)
+    found = sorted({m for t in texts for m in pattern.findall(t or "")})
+    made = pii.surrogate_table(spark.createDataFrame([(x,) for x in found], "surface string"), KEY, Scratch(spark, "t"))
+    table = {r.surface: r.surrogate for r in made.collect()}
+    for r in pii.anonymize(df, KEY, "n").collect():
+        t = texts[r.doc_id]
+        assert r.text == (None if t is None else pattern.sub(lambda m: table[m.group()], t)) and r.n == len(pattern.findall(t or ""))
+    with pytest.raises(ValueError):
+        pii.anonymize(df, "")
+    with pytest.raises(ValueError):
+        pii.anonymize(df, KEY, "n_words")
+
+
 def test_pii_distinct(spark):
     """Many entities of a small space stay distinct, and none turns into another real one."""
     real = [f"{a}.{b}.7.9" for a in range(10, 60) for b in range(20)] + [f"u{k}@x.org" for k in range(600)]
     df = frame(spark, [" ".join(real[k : k + 40]) for k in range(0, len(real), 40)])
     out = {}
-    for r in pii.anonymize(df).collect():
+    for r in pii.anonymize(df, KEY).collect():
         out |= dict(zip(real[r.doc_id * 40 :], r.text.split(" ")))
     assert len(out) == len(set(out.values())) == len(real) and not set(out.values()) & set(real)
 
