@@ -6,14 +6,13 @@ tables, null texts and null ids pass through as the operators define it.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternscan.llm import decontamination, ngram_jaccard, packing, pii, toxicity
-from lanternscan.llm.common import shared_folder, table
+from lanternscan.llm.common import Scratch, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +32,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and credentials get surrogates; n_chars follows the new text."""
-    out = pii.anonymize(docs)
-    if "n_chars" in docs.columns:
-        changed = F.col("pii_entities") > 0
-        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    key = pii.key_of(spark)
+    if "n_chars" not in docs.columns:
+        return pii.anonymize(docs, key)
+    count = next(f"_changed{n}" for n in range(len(docs.columns) + 1) if f"_changed{n}" not in docs.columns)
+    out = pii.anonymize(docs, key, count)
+    chars = F.when(F.col(count) > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.withColumn("n_chars", chars).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents; what a stage returns is written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """Apply the stages to the documents; what a stage returns is written as Parquet, and replaces what the one before returned."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        docs = scratch.store(name, stage(spark, docs, sf_dir))
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
