@@ -2,7 +2,10 @@
 
 One or two keywords become plain ``contains`` expressions. More (the built-in catalogue has hundreds) are looked up by one
 automaton pass over each text in Arrow batches, which costs the same for one rule or a thousand. Either way a text comes
-out with the numbers of its candidate rules, so that rules join by number instead of by a nested loop.
+out with the numbers of its candidate rules, so that rules join by number instead of by a nested loop. An empty text has the
+rules without keywords as candidates, a null text has none.
+
+Patterns are tested as literals, chosen by the rule's number: a literal is compiled once a task, a pattern in a column for each row.
 """
 
 from __future__ import annotations
@@ -10,13 +13,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanternscan.plans.ruleset import RuleSet
 
 NATIVE_KEYWORDS = 2
+#: Rules that one level of the choice of a pattern tells apart.
+FAN_OUT = 16
 
 
 def keyword_lookup(words: dict[str, list[int]], always: list[int]) -> Callable[[str], list[int]]:
@@ -59,7 +64,7 @@ def with_candidates(df: DataFrame, text: str, rs: RuleSet) -> DataFrame:
                 cond = cond | F.contains(low, F.lit(w.lower()))
             hits.append(F.when(cond, F.lit(k)))
         ords = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<int>")
-        return df.withColumn("rule_ords", ords).filter(F.size("rule_ords") > 0)
+        return df.filter(F.col(text).isNotNull()).withColumn("rule_ords", ords).filter(F.size("rule_ords") > 0)
 
     at, names = df.columns.index(text), [*df.columns, "rule_ords"]
     schema = T.StructType(df.schema.fields + [T.StructField("rule_ords", T.ArrayType(T.IntegerType()))])
@@ -67,7 +72,7 @@ def with_candidates(df: DataFrame, text: str, rs: RuleSet) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = keyword_lookup(words, always)
         for batch in batches:
-            found = [look(x.lower()) if x else [] for x in batch.column(at).to_pylist()]
+            found = [[] if x is None else look(x.lower()) for x in batch.column(at).to_pylist()]
             keep = [bool(f) for f in found]
             if any(keep):
                 out = batch.filter(pa.array(keep))
@@ -77,9 +82,29 @@ def with_candidates(df: DataFrame, text: str, rs: RuleSet) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def by_number(number: Column, values: list[Column], first: int = 0) -> Column:
+    """``values[number - first]``, of which only that one is evaluated; chosen in steps, so that many values cost few comparisons."""
+    if len(values) > FAN_OUT:
+        step = -(-len(values) // FAN_OUT)
+        parts = [(first + k, values[k : k + step]) for k in range(0, len(values), step)]
+        out = F.when(number < parts[0][0] + step, by_number(number, parts[0][1], parts[0][0]))
+        for at, part in parts[1:]:
+            out = out.when(number < at + step, by_number(number, part, at))
+        return out
+    out = F.when(number == first, values[0])
+    for k, value in enumerate(values[1:], first + 1):
+        out = out.when(number == k, value)
+    return out
+
+
 def candidate_rules(df: DataFrame, text: str, rs: RuleSet) -> DataFrame:
     """Rows x candidate rules whose path filter fits and whose pattern is found in the text; the rules are a broadcast table."""
     pairs = with_candidates(df, text, rs).withColumn("rule_ord", F.explode("rule_ords")).drop("rule_ords")
-    joined = pairs.join(rs.table(df.sparkSession), "rule_ord")
-    fits = F.col("path_regex").isNull() | F.rlike(F.col("path"), F.col("path_regex"))
-    return joined.filter(F.when(fits, F.rlike(F.col(text), F.col("regex"))).eqNullSafe(F.lit(True)))
+    if rs.rules:
+        hits = []
+        for row in rs.rows():
+            regex, path_regex = row[3], row[6]
+            found = F.rlike(F.col(text), F.lit(regex))
+            hits.append(F.rlike(F.col("path"), F.lit(path_regex)) & found if path_regex else found)
+        pairs = pairs.filter(by_number(F.col("rule_ord"), hits))
+    return pairs.join(rs.table(df.sparkSession), "rule_ord")

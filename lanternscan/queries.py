@@ -26,7 +26,7 @@ from lanternscan.sources.archives import archive_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str | Callable[[], str]] = {}
 
 # ---------------------------------------------------------------- corpora
 
@@ -100,7 +100,7 @@ def with_rules(rs: RuleSet, tail: str, found: bool = True) -> str:
     return f"WITH {SPIKED}, {LINES}, {rules_cte(rs)}, {MATCHED}{', ' + FOUND if found else ''} {tail}"
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | Callable[[], str] | None = None):
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
         if oracle:
@@ -167,17 +167,17 @@ def entropy_filter(spark, d):
     return pairs.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_matched"), F.count(F.when(kept, 1)).alias("n_kept"))
 
 
-_SAMPLES = samples()
-_SAMPLED = "spiked AS (SELECT doc_id, doc_id || '/' || p AS path, '' AS h, coalesce(text, '') || chr(10) || l AS text FROM documents JOIN (VALUES {rows}) AS s(k, p, l) ON doc_id % {n} = k)".format(
-    rows=", ".join(f"({k}, {quote(p)}, {quote(line)})" for k, _, p, line in _SAMPLES), n=len(_SAMPLES)
-)
+def _sampled_sql() -> str:
+    rows = ", ".join(f"({k}, {quote(p)}, {quote(line)})" for k, _, p, line in samples())
+    docs = f"spiked AS (SELECT doc_id, doc_id || '/' || p AS path, '' AS h, coalesce(text, '') || chr(10) || l AS text FROM documents JOIN (VALUES {rows}) AS s(k, p, l) ON doc_id % {len(samples())} = k)"
+    return with_rules(BUILTIN, "SELECT rule_id, path AS file, CAST(line_no AS INTEGER) AS start_line, secret FROM found").replace(SPIKED, docs)
 
 
-@query("builtin_samples", with_rules(BUILTIN, "SELECT rule_id, path AS file, CAST(line_no AS INTEGER) AS start_line, secret FROM found").replace(SPIKED, _SAMPLED))
+@query("builtin_samples", _sampled_sql)
 def builtin_samples(spark, d):
     """The documents, each with a made-up credential of one built-in rule after another."""
-    table = spark.createDataFrame(_SAMPLES, "k int, id string, p string, l string")
-    docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("k", (F.col("doc_id") % len(_SAMPLES)).cast("int"))
+    table = spark.createDataFrame(samples(), "k int, id string, p string, l string")
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("k", (F.col("doc_id") % len(samples())).cast("int"))
     rows = docs.join(F.broadcast(table), "k").select(F.concat_ws("/", F.col("doc_id").cast("string"), "p").alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), "l").alias("text"))
     return scan_lines(split_lines(rows), BUILTIN).select("rule_id", "file", "start_line", "secret")
 
@@ -602,4 +602,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {name: sql() if callable(sql) else sql for name, sql in ORACLES.items()}
