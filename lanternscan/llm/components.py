@@ -7,7 +7,7 @@ Rounds go on while edges change; their number grows with the logarithm of the lo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -33,13 +33,18 @@ def components(edges: DataFrame) -> DataFrame:
     now = scratch.store(
         "0", edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )  # every edge points down
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     state, n = None, 0
     while True:
-        row = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if row == state or not row[0]:
-            break
-        state, n = row, n + 1
-        now = scratch.store(str(n), _small_star(_large_star(now)))
+        # a fingerprint of the edges, taken while they are written
+        seen = Observation()
+        n += 1
+        moved = _small_star(_large_star(now)).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        now = scratch.store(str(n), moved)
         scratch.drop(str(n - 1))
+        if seen.get == state:
+            break
+        state = seen.get
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -6,13 +6,14 @@
    content is the key of a common tile. A set near the upper end of its band also takes part in the next band. A set with too
    few filled parts (a short one) adds its d + 1 smallest shingles as keys: two such sets that overlap share one. So no link is
    lost, and empty parts lead nowhere.
-3. A tile is the sets that share a key with its smallest member, its head. In a tile, sets in a compatible size range are
+3. A tile is the sets that share a key with its smallest member. In a tile, sets in a compatible size range are
    compared by bitmaps: bits that only one set has bound the overlap from above, and only pairs that pass are intersected
    exactly as sorted arrays. A pair that is already connected is not compared.
-4. A tile of more than ``BLOCK`` sets is dealt into blocks; the head stands in each. That connects near copies by the thousand in
-   linear time. If such a tile stays in several components (a template with different contents, a passage in a third of all
-   documents), what its members share with the head has told nothing. So their rests, without the head's shingles, get keys
-   of their own and meet in smaller tiles, level by level; each level takes some shingle from every rest, so this ends.
+4. A tile of more than ``BLOCK`` sets is dealt into blocks; up to ``HEADS`` members, the heads, stand in each. That connects near copies by the thousand in
+   linear time. Up to ``BLOCK`` members that are then apart from the tile's largest component are compared with all of the tile. If
+   more are apart (a template with different contents, a passage in a third of all documents), what the members share with
+   the heads has told nothing. So their rests, without the heads' shingles, get keys of their own and meet in smaller tiles,
+   level by level; each level takes some shingle from every rest, so this ends.
    Pairs whose rests share nothing can only reach the similarity if both rests are small; of those with the same overlap with
    the heads, the one with the smallest rest stands for all (who reaches any of them reaches it), and only it is compared.
 5. Links make components; only spanning links are kept, never all pairs of a group.
@@ -28,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BASE, MIX, Scratch, map_documents, only_likely, table, text_bytes, token_hashes, window_hashes
@@ -40,6 +41,8 @@ BLOCK = 128
 BAND_RATIO = 1.3
 #: Salts of the small side where large tiles are looked up, so that one tile does not meet in one task.
 SALTS = 16
+#: Heads of a large tile. What a third of its members share is very likely in one of them.
+HEADS = 8
 #: Sets that a task remembers, so that it sends the keys of equal sets once.
 SEEN = 200_000
 
@@ -153,13 +156,22 @@ def compare_group(percent: int):
     def fn(group: pa.Table) -> pa.Table:
         nodes, known = group["node"].to_pylist(), group["root"].to_pylist()
         _, parts = np.unique(np.array(known, dtype=np.int64), return_inverse=True)
+        before = parts.copy()
         links = link_sets(unpacked(group["shingles"]), parts, percent) if len(nodes) > 1 else []
-        return pa.table([pa.array([nodes[x[k]] for x in links], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
+        # as stars: one member of each part that was joined to others, with the smallest such member
+        stars = []
+        if links:
+            _, first = np.unique(before, return_index=True)
+            least: dict[int, int] = {}
+            for k in first.tolist():
+                least[parts[k]] = min(least.get(parts[k], nodes[k]), nodes[k])
+            stars = [(nodes[k], least[parts[k]]) for k in first.tolist() if nodes[k] != least[parts[k]]]
+        return pa.table([pa.array([x[k] for x in stars], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return fn
 
 
-REST = "tile long, node long, root long, apart boolean, keys array<long>, small boolean, light boolean, rest int, shared long"
+REST = "tile long, block int, blocks int, node long, root long, apart boolean, keys array<long>, small boolean, light boolean, rest int, shared long, known boolean"
 
 
 def rest_keys(percent: int):
@@ -168,15 +180,16 @@ def rest_keys(percent: int):
     def fn(block: pa.Table) -> pa.Table:
         sets, heads = unpacked(block["shingles"]), np.array(block["is_head"].to_pylist(), dtype=bool)
         known = np.unique(np.concatenate([s for s, h in zip(sets, heads) if h]))
-        cols = [block[c].to_pylist() for c in ("tile", "node", "root", "apart")]
-        out = []
+        cols = [block[c].to_pylist() for c in ("tile", "block", "blocks", "node", "root", "apart")]
+        nodes, out = block["node"].to_pylist(), []
+        are_heads = {nodes[k] for k in np.flatnonzero(heads)}
         for k in np.flatnonzero(~heads):
             s = sets[k]
             rest, most = np.setdiff1d(s, known, assume_unique=True), allowed(len(s), percent)
             shared = set_key(np.intersect1d(s, known, assume_unique=True))
             small = len(rest) <= most
-            out.append((*(c[k] for c in cols), tile_keys(rest, len(s), percent).view(np.int64), small, 2 * len(rest) <= most, len(rest), shared))
-        kinds = [pa.int64()] * 3 + [pa.bool_(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.int32(), pa.int64()]
+            out.append((*(c[k] for c in cols), tile_keys(rest, len(s), percent).view(np.int64), small, 2 * len(rest) <= most, len(rest), shared, nodes[k] in are_heads))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.bool_()]
         names = [x.split()[0] for x in REST.split(", ")]
         return pa.table([pa.array(list(c), type=k) for c, k in zip(list(zip(*out)) or [[]] * len(kinds), kinds)], names=names)
 
@@ -240,77 +253,93 @@ def in_blocks(tiles: DataFrame, block: int) -> DataFrame:
     return out.withColumn("block", F.pmod(F.xxhash64("node", "tile"), F.col("blocks")).cast("int"))
 
 
-def crossed(left: DataFrame, right: DataFrame, block: int) -> DataFrame:
-    """Rows (tile, x, y, node, root) so that each left member of a tile meets each right one in one group (tile, x, y) of bounded size."""
-    side = lambda df: in_blocks(df.select("tile", "node", "root"), block)
-    l, r = side(left), side(right)
-    n_l, n_r = (df.groupBy("tile").agg(F.max("blocks").alias("n")) for df in (l, r))
-    spread = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    a = l.join(n_r, "tile").select("tile", F.col("block").alias("x"), spread.alias("y"), "node", "root")
-    b = r.join(n_l, "tile").select("tile", spread.alias("x"), F.col("block").alias("y"), "node", "root")
-    return a.unionByName(b).distinct()
+def spread(n: str, name: str) -> Column:
+    """One row for each number below the column n."""
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
 
 
-def class_links(scratch: Scratch, tiles: DataFrame, sets: DataFrame, percent: int, block: int) -> list[DataFrame]:
-    """Spanning links (a, b) between sets, as stored tables; ``tiles`` has tile, heads and node."""
+def with_root(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``root`` of each node, as far as it is known."""
+    if roots is None:
+        return members.withColumn("root", F.col("node"))
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def class_links(scratch: Scratch, tiles: DataFrame, sets: DataFrame, percent: int, block: int) -> tuple[DataFrame, bool]:
+    """Links (a, b) that span the components of sets, and whether they are (node, root) of all components already.
+
+    ``tiles`` has tile, heads (of the tiles before it) and node.
+    """
     compare = lambda df, *by: df.join(sets, "node").groupBy(*by).applyInArrow(compare_group(percent), "a long, b long")
     links: list[DataFrame] = []
+    settled = lambda: roots is not None and all(x.isEmpty() for x in links[1:])
     roots, level = None, 0
     while True:
         name = lambda x: f"{x}-{level}"  # noqa: B023, E731
-        members = tiles.withColumn("root", F.col("node"))
-        if roots is not None:
-            members = tiles.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        placed = scratch.store(name("placed"), in_blocks(members, block))
-        large = placed.filter("blocks > 1")
-        in_each = large.select("tile", F.element_at("heads", -1).alias("node"), "blocks").distinct()
-        in_each = in_each.select("tile", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        first = in_each.withColumn("root", F.col("node")) if roots is None else in_each.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         cols = ["tile", "block", "node", "root"]
-        links.append(scratch.store(name("links"), compare(placed.select(cols).unionByName(first.select(cols)).distinct(), "tile", "block")))
-        if large.isEmpty():
-            return links
-
-        roots = scratch.store(name("roots"), components(union_all(links)))
-        rooted = scratch.store(
-            name("rooted"), large.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        )
-        share = rooted.groupBy("tile", "root").agg(F.count(F.lit(1)).alias("n"))
-        most = share.groupBy("tile").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-        open_ = scratch.store(name("open"), rooted.join(most.drop("roots"), "tile").withColumn("apart", F.col("root") != F.col("main")).drop("main"))
-        scratch.drop(name("placed"), name("rooted"))
-        if open_.isEmpty():
-            return links
-
-        # what is left of the members without the shingles of the heads
-        known = open_.select("tile", "heads", "block").distinct().select("tile", "block", F.explode("heads").alias("node"))
-        none = F.lit(None).cast("long")
-        rows = open_.select("tile", "block", "node", "root", "apart", F.lit(False).alias("is_head")).unionByName(
-            known.select("tile", "block", "node", none.alias("root"), F.lit(None).cast("boolean").alias("apart"), F.lit(True).alias("is_head"))
+        placed = scratch.store(name("placed"), in_blocks(with_root(tiles, roots), block))
+        large = placed.filter("blocks > 1")
+        # the smallest member of each of some parts of a large tile
+        part = F.pmod(F.xxhash64("node", F.lit("head")), F.lit(HEADS)).alias("part")
+        first = large.groupBy("tile", "heads", "blocks", part).agg(F.min("node").alias("node"))
+        first = first.groupBy("tile", "heads", "blocks").agg(F.collect_list("node").alias("new"))
+        first = scratch.store(name("heads"), first)
+        in_each = first.select("tile", spread("blocks", "block"), "new").select("tile", "block", F.explode("new").alias("node"))
+        rows = placed.select(cols).unionByName(with_root(in_each, roots).select(cols)).distinct()
+        links.append(scratch.store(name("links"), compare(rows, "tile", "block")))
+        if first.isEmpty():
+            return union_all(links), settled()
+
+        if roots is None or not links[-1].isEmpty():
+            roots = components(union_all(links))
+            large = with_root(large.drop("root"), roots)
+        links = [roots.select(F.col("node").alias("a"), F.col("root").alias("b"))]
+        share = large.groupBy("tile", "root").agg(F.count(F.lit(1)).alias("n"))
+        most = share.groupBy("tile").agg(
+            F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("n_apart")
+        ).filter("n_apart > 0")
+        open_ = large.drop("heads").join(most, "tile").withColumn("apart", F.col("root") != F.col("main")).drop("main")
+        open_ = scratch.store(name("open"), open_)
+        scratch.drop(name("placed"))
+
+        # up to a block of members apart from the rest of their tile: they are compared with all of it
+        few = open_.filter(F.col("n_apart") <= block)
+        rows = few.select(cols).unionByName(few.filter("apart").select("tile", spread("blocks", "block"), "node", "root")).distinct()
+        links.append(scratch.store(name("few"), compare(rows, "tile", "block")))
+        many = open_.filter(F.col("n_apart") > block)
+        if many.isEmpty():
+            return union_all(links), settled()
+
+        # more of them: what is left of the members without the shingles of the heads
+        heads = first.select("tile", F.array_union("heads", "new").alias("heads"))
+        known = many.select("tile", "block", "blocks").distinct().join(heads, "tile").select("tile", "block", "blocks", F.explode("heads").alias("node"))
+        none = lambda kind: F.lit(None).cast(kind)
+        rows = many.select("tile", "block", "blocks", "node", "root", "apart", F.lit(False).alias("is_head")).unionByName(
+            known.select("*", none("long").alias("root"), none("boolean").alias("apart"), F.lit(True).alias("is_head"))
         )
         rests = scratch.store(name("rests"), rows.join(sets, "node").groupBy("tile", "block").applyInArrow(rest_keys(percent), REST))
 
-        # rests that share nothing: the smallest rest stands for those with the same overlap with the heads
-        light = rests.filter("light").groupBy("tile", "shared").agg(F.min(F.struct("rest", "node", "root", "apart")).alias("s")).select("tile", "s.*")
+        # rests that share nothing: the smallest rest stands for those with the same overlap with the heads (heads were compared)
+        light = rests.filter("light").groupBy("tile", "shared").agg(F.min(F.struct("rest", "node", "root", "apart", "blocks", "known")).alias("s"))
+        light = light.select("tile", "s.*").filter("not known").drop("known")
         small = rests.filter("small")
-        for k, (a, b) in enumerate(((light, small.filter("apart")), (light.filter("apart"), small))):
-            links.append(scratch.store(name(f"disjoint-{k}"), compare(crossed(a, b, block), "tile", "x", "y")))
+        if not light.join(small.filter("apart").select("tile").distinct(), "tile", "left_semi").isEmpty():
+            parts = in_blocks(light.drop("rest").withColumnRenamed("blocks", "all"), block).withColumnRenamed("block", "x")
+            chunks = parts.groupBy("tile").agg(F.max("blocks").alias("chunks"))
+            a = parts.select("tile", "x", spread("all", "block"), "node", "root", "apart", F.lit(True).alias("stands"))
+            b = small.join(chunks, "tile").select("tile", spread("chunks", "x"), "block", "node", "root", "apart", F.lit(False).alias("stands"))
+            links.append(scratch.store(name("disjoint"), compare(a.unionByName(b), "tile", "x", "block")))
 
         # rests that share a key
         keyed = rests.select("tile", "node", "root", F.explode("keys").alias("key"))
         meet = keyed.groupBy("tile", "key").agg(F.min("node").alias("head"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         found = keyed.join(meet.filter("lo < hi").select("tile", "key", "head"), ["tile", "key"]).select("tile", "head", "node").distinct()
-        before = open_.select("tile", "heads").distinct()
-        tiles = scratch.store(
-            name("tiles"),
-            found.join(before, "tile").select(
-                F.xxhash64("tile", "head", F.lit(level)).alias("tile"), F.concat("heads", F.array("head")).alias("heads"), "node"
-            ),
-        )
+        next_tile = F.xxhash64("tile", "head", F.lit(level)).alias("tile")
+        tiles = scratch.store(name("tiles"), found.join(heads, "tile").select(next_tile, "heads", "node"))
         scratch.drop(name("open"), name("rests"))
         level += 1
         if tiles.isEmpty():
-            return links
+            return union_all(links), settled()
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -320,8 +349,8 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def linked_sets(docs: DataFrame, shingle: int, percent: int, block: int) -> tuple[Scratch, DataFrame, DataFrame]:
-    """The stored rows doc_id, text_hash, n_shingles, set_a, set_b of all documents, and the links (a, b) between sets, by set_a."""
+def linked_sets(docs: DataFrame, shingle: int, percent: int, block: int) -> tuple[Scratch, DataFrame, DataFrame, bool]:
+    """The stored rows doc_id, text_hash, n_shingles, set_a, set_b of all documents, and what ``class_links`` returns, by set_a."""
     scratch = Scratch(docs.sparkSession, "near")
     keyed = scratch.store("keyed", document_sets(docs, shingle, percent))
     ids = scratch.store("ids", keyed.drop("keys"))
@@ -330,25 +359,32 @@ def linked_sets(docs: DataFrame, shingle: int, percent: int, block: int) -> tupl
     shared = scratch.store("shared", shared)
     # a bare side, so that a hot key can be split in the join
     found = only_likely(keys, "key", shared).join(shared.hint("shuffle_hash"), "key").select("head", "node").distinct()
-    tiles = scratch.store("tiles", found.select(F.col("head").alias("tile"), F.array("head").alias("heads"), "node"))
+    tiles = scratch.store("tiles", found.select(F.col("head").alias("tile"), F.array().cast("array<long>").alias("heads"), "node"))
     scratch.drop("keyed", "shared")
     classes = ids.filter("n_shingles > 0 and doc_id is not null").groupBy(F.col("set_a").alias("node"), "set_b").agg(F.min("doc_id").alias("id"))
     wanted = classes.join(tiles.select("node").distinct(), "node").select("node", "id")
     sets = scratch.store("sets", fetch_sets(docs, wanted, shingle))
-    links = union_all(class_links(scratch, tiles, sets, percent, block))
+    links, settled = class_links(scratch, tiles, sets, percent, block)
     scratch.drop("sets", "tiles")
-    return scratch, ids, links
+    return scratch, ids, links, settled
+
+
+def roots_of(links: DataFrame, settled: bool) -> DataFrame:
+    """set_a, root of the sets that have links."""
+    roots = links.toDF("node", "root") if settled else components(links)
+    return roots.withColumnRenamed("node", "set_a")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id of the component) of every document."""
-    scratch, ids, links = linked_sets(docs, shingle, percent, block)
+    scratch, ids, links, settled = linked_sets(docs, shingle, percent, block)
     some = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     usable = ids.filter(some)
     # rows that share a doc_id are one node: their sets hang together through it
     same = usable.groupBy("doc_id").agg(F.min("set_a").alias("b"), F.max("set_a").alias("last")).filter("b < last").select("doc_id", "b")
     twice = usable.join(same, "doc_id").select(F.col("set_a").alias("a"), "b").distinct()
-    roots = scratch.store("roots", components(links.unionByName(twice)).withColumnRenamed("node", "set_a"))
+    twice = scratch.store("twice", twice)
+    roots = roots_of(links, settled) if twice.isEmpty() else roots_of(links.unionByName(twice), False)
     least = usable.groupBy("set_a").agg(F.min("doc_id").alias("least"))
     rooted = scratch.store("rooted", least.join(roots, "set_a", "left").withColumn("root", F.coalesce("root", "set_a")))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -364,8 +400,8 @@ def keep_one_per_group(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     Documents are told apart by doc_id and text, so rows that only share a doc_id are not a group. Of rows that repeat doc_id and
     text one stays. Documents without a word stay, and so do all rows without a doc_id.
     """
-    scratch, ids, links = linked_sets(docs, shingle, percent, block)
-    roots = components(links).withColumnRenamed("node", "set_a")
+    scratch, ids, links, settled = linked_sets(docs, shingle, percent, block)
+    roots = roots_of(links, settled)
     known = ids.filter(F.col("doc_id").isNotNull())
     least = known.filter("n_shingles > 0").groupBy("set_a").agg(F.min(F.struct("doc_id", "set_b", "text_hash")).alias("s"))
     rooted = least.join(roots, "set_a", "left").groupBy(F.coalesce("root", "set_a").alias("root")).agg(F.min("s").alias("s"))
