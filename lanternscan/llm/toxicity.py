@@ -1,17 +1,23 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Transducers read the words of a clause from left to right and are composed into one pass: the lexical one maps words to
-insult (with a weight), threat, target, negation or reporting; the negation one marks insults and threats up to three words
-after a negation; the reported-speech one marks what follows a reporting word or stands in quotation marks; the target
-one marks insults and threats within four words of a person. A matched clause leaves by one of the arcs ARCS; the
-weights of a document's matched clauses per arc are the only input of a logistic score.
+Four transducers read the words of a text and write them again with marks; a word that no lexicon knows is the symbol OTHER:
+
+* the lexical one maps a word to insult (with a weight), threat, target, negation, reporting word, quotation mark or clause end;
+* the negation one marks insults and threats up to three words after a negation;
+* the reported-speech one marks those after a reporting word of the clause or within quotation marks;
+* the target one marks those up to four words after a person, and, read from right to left, those before one.
+
+The machines over symbols are tables of states and arcs with weights. ``compose`` joins those that read from left to right into one;
+the right-to-left machine reads what it wrote. A marked insult or threat is an arc of its clause (ARCS) with the product
+of the weights on its way; the weights of a document's matched clauses per arc are the only input of a logistic score.
 
 Insult stems and their weights are learned from labelled documents: word prefixes whose presence goes with the label by a
-likelihood-ratio test, counted in Spark over a sample of at most about ``TRAIN_DOCS`` documents in which near copies count once.
-A small seed list is always part of the lexicon. The logistic weights are fitted on the same sample.
+likelihood-ratio test, counted in Spark over a sample of at most about ``TRAIN_DOCS`` documents for each label, in which near copies count
+once. A small seed list is always part of the lexicon. The logistic weights are fitted on the same sample.
 
 Null and empty texts match no clause and get the score of such a text. Labels that are null are left out; of several labels
 of a document the largest counts. Without labels the seed lexicon and fixed weights are used. Repeated rows get equal scores.
+Texts are read in one pass, whatever their length.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import filter_documents, map_documents, table, text_bytes, token_hashes, window_hashes
 
-TRAIN_DOCS = 20_000
+TRAIN_DOCS = 15_000
 FOLDS, HELD_OUT_FOLD = 5, 0
 LEXICON = 1_000
 MIN_G2, MIN_PRECISION = 30.0, 0.5
@@ -49,9 +55,89 @@ CLAUSE_ENDS = frozenset(".!?;:\n")
 QUOTES = frozenset('"“”«»„')
 
 
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = "other", "insult", "threat", "target", "negation", "report", "quote", "end"
+CLASSES = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END)
+#: Marks that the machines put on an insult or a threat, with the weight of the arc that puts it.
+MARKS = {"n": 0.3, "r": 0.3, "t": 1.0}
+
+
+@dataclass
+class Transducer:
+    """States 0, 1, ... (0 is the first); ``arcs[state][symbol]`` is (written symbol, weight, next state)."""
+
+    arcs: list[dict[str, tuple[str, float, int]]]
+
+    def run(self, symbols: list[str]) -> list[tuple[str, float]]:
+        out, state = [], 0
+        for x in symbols:
+            written, weight, state = self.arcs[state][x]
+            out.append((written, weight))
+        return out
+
+
+def marked(symbol: str, mark: str) -> str:
+    """An insult or threat with one more mark; ``insult+nt`` is an insult with the marks n and t."""
+    name, _, marks = symbol.partition("+")
+    return f"{name}+{''.join(sorted({*marks, mark}))}"
+
+
+def alphabet(marks: str) -> list[str]:
+    """The classes, and insults and threats with any of the marks."""
+    sets = [""]
+    for m in marks:
+        sets += [x + m for x in sets]
+    return [*CLASSES, *(f"{name}+{''.join(sorted(m))}" for name in (INSULT, THREAT) for m in sets if m)]
+
+
+def machine(n_states: int, symbols: list[str], mark: str, marking, move) -> Transducer:
+    """A machine that marks insults and threats in the states where ``marking`` holds; ``move(state, class)`` is the next state."""
+    arcs = []
+    for q in range(n_states):
+        row = {}
+        for x in symbols:
+            name = x.partition("+")[0]
+            hit = name in (INSULT, THREAT) and marking(q)
+            row[x] = (marked(x, mark) if hit else x, MARKS[mark] if hit else 1.0, move(q, name))
+        arcs.append(row)
+    return Transducer(arcs)
+
+
+def within(scope: int, opener: str, symbols: list[str], mark: str) -> Transducer:
+    """Marks up to ``scope`` words after an opener in the same clause; a state is the number of words that are left."""
+
+    def move(q: int, name: str) -> int:
+        return scope if name == opener else 0 if name == END else q if name == QUOTE else max(0, q - 1)
+
+    return machine(scope + 1, symbols, mark, lambda q: q > 0, move)
+
+
+def reported(symbols: list[str], mark: str) -> Transducer:
+    """Marks after a reporting word until the clause ends, and between quotation marks; state bits: reported, quoted."""
+
+    def move(q: int, name: str) -> int:
+        return q | 1 if name == REPORT else q & 2 if name == END else q ^ 2 if name == QUOTE else q
+
+    return machine(4, symbols, mark, lambda q: q > 0, move)
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """One machine that does what ``second`` does to the output of ``first``; weights multiply. Only reachable pairs of states are made."""
+    number, todo, arcs = {(0, 0): 0}, [(0, 0)], []
+    for p, q in todo:
+        row = {}
+        for x, (mid, w1, p2) in first.arcs[p].items():
+            out, w2, q2 = second.arcs[q][mid]
+            if (p2, q2) not in number:
+                number[p2, q2] = len(todo)
+                todo.append((p2, q2))
+            row[x] = (out, w1 * w2, number[p2, q2])
+        arcs.append(row)
+    return Transducer(arcs)
+
+
 @dataclass
 class Grammar:
-    """The composed transducer: lexical classes, scopes and arc weights."""
+    """The lexical machine and the composed ones."""
 
     stems: dict[str, float]  # prefix -> weight; a whole word ends with a space
     threats: list[str] = field(default_factory=lambda: THREATS)
@@ -62,13 +148,18 @@ class Grammar:
         import ahocorasick
 
         self.sizes = sorted({len(s) for s in self.stems}, reverse=True)
-        self.classes = {w: "threat" for w in self.threats}
-        for name, words in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)):
+        self.classes = {w: THREAT for w in self.threats}
+        for name, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (QUOTE, QUOTES), (END, CLAUSE_ENDS)):
             self.classes |= dict.fromkeys(words, name)
         self.automaton = ahocorasick.Automaton()
         for key in {s.rstrip(" ") for s in self.stems} | set(self.threats):
             self.automaton.add_word(key, len(key))
         self.automaton.make_automaton()
+        self.forward = compose(
+            compose(within(self.negation_scope, NEGATION, alphabet(""), "n"), reported(alphabet("n"), "r")),
+            within(self.target_scope, TARGET, alphabet("nr"), "t"),
+        )
+        self.backward = within(self.target_scope, TARGET, alphabet("nrt"), "t")
 
     def insult(self, word: str) -> float:
         """The weight of the longest stem that the word begins with."""
@@ -86,70 +177,54 @@ class Grammar:
                 return True
         return False
 
+    def lexical(self, words: list[str]) -> tuple[list[str], list[float]]:
+        """The symbol and weight of each word."""
+        symbols, weights = [], []
+        for word in words:
+            weight = self.insult(word)
+            symbols.append(INSULT if weight else self.classes.get(word, OTHER))
+            weights.append(weight or 1.0)
+        return symbols, weights
+
+    def clauses(self, text: str) -> list[list[tuple[str, float, float]]]:
+        """(symbol with marks, lexical weight, weight on the way) of the insults and threats of each clause that has any."""
+        symbols, weights = self.lexical(WORD.findall(text))
+        ahead = self.forward.run(symbols)
+        back = self.backward.run([x for x, _ in reversed(ahead)])[::-1]
+        out, now = [], []
+        for symbol, weight, (_, w1), (final, w2) in zip(symbols, weights, ahead, back):
+            if symbol in (INSULT, THREAT):
+                now.append((final, weight, w1 * w2))
+            elif symbol == END and now:
+                out.append(now)
+                now = []
+        return [*out, now] if now else out
+
     def features(self, text: str | None) -> list[float]:
-        """log(1 + sum of clause weights) per arc, log(1 + matched clauses), and the best clause."""
+        """log(1 + sum of weights) per arc, log(1 + matched clauses), and the best clause."""
         text = (text or "").lower()
         sums = dict.fromkeys(ARCS, 0.0)
         matched, best = 0, 0.0
         if text and self.may_match(text):
-            since_negation = since_target = 99
-            reported = quoted = False
-            open_marks: list[list] = []  # insults and threats of the clause: [arc, weight, words since]
-            clause: list[list] = []
-
-            def close():
-                nonlocal matched, best
+            for clause in self.clauses(text):
+                matched += 1
                 total = 0.0
-                for arc, weight, _ in clause:
-                    sums[arc] += weight
-                    total += weight * (0.3 if arc in ("negated", "reported", "threat_marked") else 1.0)
-                if clause:
-                    matched += 1
-                    best = max(best, total)
-                clause.clear()
-                open_marks.clear()
-
-            for m in WORD.finditer(text):
-                word = m.group()
-                if word in CLAUSE_ENDS:
-                    close()
-                    since_negation = since_target = 99
-                    reported = False
-                    continue
-                if word in QUOTES:
-                    quoted = not quoted
-                    continue
-                since_negation += 1
-                since_target += 1
-                kind = self.classes.get(word)
-                weight = self.insult(word)
-                if weight:
-                    kind = "insult"
-                if kind == "negation":
-                    since_negation = 0
-                elif kind == "report":
-                    reported = True
-                elif kind == "target":
-                    since_target = 0
-                    for mark in open_marks:
-                        if mark[2] < self.target_scope and mark[0] == "insult":
-                            mark[0] = "targeted"
-                elif kind in ("insult", "threat"):
-                    negated, told = since_negation <= self.negation_scope, reported or quoted
-                    near = since_target <= self.target_scope
-                    if kind == "insult":
-                        arc = "negated" if negated else "reported" if told else "targeted" if near else "insult"
-                    else:
-                        arc, weight = ("threat_marked" if negated or told else "threat"), 1.0 + near
-                    mark = [arc, weight, -1]
-                    clause.append(mark)
-                    open_marks.append(mark)
-                for mark in open_marks:
-                    mark[2] += 1
-            close()
+                for symbol, weight, factor in clause:
+                    name, _, marks = symbol.partition("+")
+                    if name == THREAT:
+                        weight = 1.0 + ("t" in marks)
+                    sums[arc_of(name, marks)] += weight
+                    total += weight * factor
+                best = max(best, total)
         return [*(math.log1p(sums[a]) for a in ARCS), math.log1p(matched), best / (1 + best)]
 
 
+def arc_of(name: str, marks: str) -> str:
+    if name == THREAT:
+        return "threat_marked" if "n" in marks or "r" in marks else "threat"
+    return "negated" if "n" in marks else "reported" if "r" in marks else "targeted" if "t" in marks else "insult"
+
+
 @dataclass
 class Model:
     grammar: Grammar
@@ -165,15 +240,17 @@ def fold(folds: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, train_docs: int) -> DataFrame:
-    """doc_id, text, toxic of a bounded sample of labelled documents; of near copies one stays."""
+    """doc_id, text, toxic of labelled documents, of each label a bounded sample; of near copies the one with the smallest id."""
     known = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("label_id"))
-        .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        .agg((F.max(F.col("toxic").cast("int")) > 0).cast("int").alias("toxic"))
     )
-    n = known.count()
-    if n > train_docs:
-        known = known.filter(F.pmod(F.xxhash64("label_id", F.lit("toxicity")), F.lit(1_000_000)) < int(1e6 * train_docs / n))
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    rate = F.lit(1_000_000)
+    for label, n in counts.items():  # a rare label keeps all that it has
+        rate = F.when(F.col("toxic") == label, F.lit(min(1_000_000, int(1e6 * train_docs / n)))).otherwise(rate)
+    known = known.filter(F.pmod(F.xxhash64("label_id", F.lit("toxicity")), F.lit(1_000_000)) < rate)
 
     def build():
         def fn(ids, texts, toxic):
@@ -186,11 +263,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_docs: int) -> DataFr
 
         return fn
 
-    # the sampled labels are at most about train_docs rows, a documented bound
+    # the sampled labels are at most about twice train_docs rows, a documented bound
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
     found = texts.join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
     keyed = map_documents(found, ("label_id", text_bytes(), "toxic"), "doc_id long, text string, toxic int, near long", build)
-    return keyed.dropDuplicates(["near", "toxic"]).drop("near")
+    first = keyed.groupBy("near", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("s"))
+    return first.select("s.doc_id", "s.text", "toxic")
 
 
 def stem_counts(train: DataFrame) -> DataFrame:

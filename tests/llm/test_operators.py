@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small fixtures with nulls, empty and long texts, repeats and extra columns."""
 
 import hashlib
+import os
 import random
 import re
 import struct
@@ -175,6 +176,63 @@ def test_toxicity_without_labels(spark):
     assert model.score("you idiot, you stupid moron") > 0.5 > model.score("a fine day")
 
 
+def test_composition_equals_machines_in_turn():
+    r = random.Random(5)
+    parts = [toxicity.within(3, toxicity.NEGATION, toxicity.alphabet(""), "n"), toxicity.reported(toxicity.alphabet("n"), "r"), toxicity.within(4, toxicity.TARGET, toxicity.alphabet("nr"), "t")]
+    whole = toxicity.compose(toxicity.compose(parts[0], parts[1]), parts[2])
+    for _ in range(300):
+        symbols = r.choices(toxicity.CLASSES, k=r.randint(0, 40))
+        now, weights = symbols, [1.0] * len(symbols)
+        for m in parts:
+            out = m.run(now)
+            now, weights = [x for x, _ in out], [a * w for a, (_, w) in zip(weights, out)]
+        assert whole.run(symbols) == list(zip(now, weights))
+
+
+def brute_arcs(g, text):
+    """Marks of each insult and threat by looking at the words around it."""
+    out, words = [], toxicity.WORD.findall(text.lower())
+    clause = np.cumsum([w in toxicity.CLAUSE_ENDS for w in words]).tolist()
+    quoted = np.cumsum([w in toxicity.QUOTES for w in words]).tolist()
+    plain = [i for i, w in enumerate(words) if w not in toxicity.QUOTES]
+    at = {i: k for k, i in enumerate(plain)}
+
+    def near(i, names, scope):
+        """A word of ``names`` up to ``scope`` words before, or after if negative, in the same clause."""
+        step = -1 if scope > 0 else 1
+        around = [plain[at[i] + step * d] for d in range(1, abs(scope) + 1) if 0 <= at[i] + step * d < len(plain)]
+        return any(words[j] in names and not g.insult(words[j]) and clause[j] == clause[i] and not words[j] in toxicity.CLAUSE_ENDS for j in around)
+
+    for i, w in enumerate(words):
+        name = "insult" if g.insult(w) else "threat" if w in toxicity.THREATS else None
+        if name:
+            told = quoted[i] % 2 == 1 or any(clause[j] == clause[i] and words[j] in toxicity.REPORTS and not g.insult(words[j]) for j in range(i))
+            marks = {"n": near(i, toxicity.NEGATIONS, 3), "r": told, "t": near(i, toxicity.TARGETS, 4) or near(i, toxicity.TARGETS, -4)}
+            out.append((clause[i], name, "".join(sorted(m for m, on in marks.items() if on)), round(np.prod([toxicity.MARKS[m] for m, on in marks.items() if on]), 9)))
+    return out
+
+
+def test_grammar_equals_brute_force():
+    g = toxicity.Grammar({"dolt": 2.0, "zorg": 3.0})
+    r = random.Random(8)
+    words = ["dolt", "dolts", "zorgling", "kill", "you", "he", "not", "never", "said", '"', ".", "!", "a", "fine", "day", "\n"]
+    for _ in range(400):
+        text = " ".join(r.choices(words, k=r.randint(0, 30)))
+        got = [(x.partition("+")[0], x.partition("+")[2], round(f, 9)) for c in g.clauses(text) for x, _, f in c]
+        want = brute_arcs(g, text)
+        assert got == [w[1:] for w in want] and len(g.clauses(text)) == len({w[0] for w in want})
+
+
+def test_held_out_recall(spark):
+    """On the given tables most toxic documents of the held-out fold are found, and nearly all others left alone."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.exists(folder):
+        pytest.skip("no given tables")
+    rows = toxicity.op3_toxicity(spark, folder).filter("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
+    toxic, clean = ([r.predicted for r in rows if r.toxic == y] for y in (1, 0))
+    assert sum(toxic) >= 0.6 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
 def test_grammar_scopes():
     g = toxicity.Grammar({"dolt": 2.0})
     arc = lambda text: {a for a, x in zip(toxicity.ARCS, g.features(text)) if x}
