@@ -5,8 +5,9 @@ window). Patterns of one length form one table: a shift for every block of two w
 at shift 0 the suffix block selects a bucket of test strings, which are compared directly. Words are compared as
 bytes, so there are no false occurrences.
 
-The tables are built on the driver from at most ``BLOCK_BYTES`` of benchmark text and sent to the tasks; a larger
-benchmark is searched in blocks of that size, one after the other, over the same rows (no shuffle, no join).
+The tables are built from at most ``BLOCK_BYTES`` of benchmark text, which is all that the driver and the tasks hold of it; a larger
+benchmark is searched in blocks of that size, one after the other, over the same rows (no shuffle, no join). What a block found
+is stored before the next one is fetched.
 
 Null or empty documents have no words and no hits; null or empty items have no windows. Equal items are separate items.
 Rows are judged one by one, so repeated rows get equal results. A null item_id counts as an item and is left out of the
@@ -17,12 +18,13 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import covered, filter_documents, item_words, map_documents, runs, table, text_bytes
+from .common import Scratch, covered, filter_documents, item_words, map_documents, runs, table, text_bytes
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -74,15 +76,13 @@ def build_tables(texts: list[bytes | None], window: int = WINDOW) -> list[WuManb
     return [WuManber(patterns, length) for length, patterns in sorted(by_length.items())]
 
 
-def item_blocks(items: DataFrame, block_bytes: int) -> list[list[tuple]]:
-    """The benchmark in blocks of bounded size, in the order of its ids."""
+def item_blocks(items: DataFrame, block_bytes: int) -> tuple[int, Iterator[list[tuple]]]:
+    """The number of blocks of the benchmark, and the blocks, each fetched when it is asked for."""
     items = items.select(F.col("item_id").cast("long"), text_bytes())
     size = items.agg(F.sum(F.length("data"))).first()[0] or 0
     n = int(size // block_bytes) + 1
-    if n == 1:
-        return [items.collect()]
     place = F.pmod(F.xxhash64("item_id", "data"), F.lit(n))
-    return [items.filter(place == k).collect() for k in range(n)]
+    return n, ((items.filter(place == k) if n > 1 else items).collect() for k in range(n))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -94,9 +94,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
         F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("n_words"), none.alias("starts"), none.alias("ends"),
         F.array().cast("array<long>").alias("items"), text_bytes(),
     )
-    blocks = item_blocks(benchmark, block_bytes)
+    n, blocks = item_blocks(benchmark, block_bytes)
+    scratch = Scratch(docs.sparkSession, "hits")
     for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
+        last = k == n - 1
         shared = sc.broadcast([(r[0], r[1]) for r in block])
 
         def build(shared=shared, last=last):
@@ -128,12 +129,19 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
             return fn
 
         out = map_documents(out, out.columns, schema if last else f"{schema}, data binary", build)
+        if not last:
+            out = scratch.store(str(k), out)
+            shared.unpersist()
+            if k:
+                scratch.drop(str(k - 1))
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, with all their columns, in which no window of the benchmark occurs."""
-    for block in item_blocks(benchmark, block_bytes):
+    n, blocks = item_blocks(benchmark, block_bytes)
+    scratch = Scratch(docs.sparkSession, "clean")
+    for k, block in enumerate(blocks):
         shared = docs.sparkSession.sparkContext.broadcast([r[1] for r in block])
 
         def build(shared=shared):
@@ -148,6 +156,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             return lambda texts: list(map(clean, texts))
 
         docs = filter_documents(docs, build)
+        if k < n - 1:
+            docs = scratch.store(str(k), docs)
+            shared.unpersist()
+            if k:
+                scratch.drop(str(k - 1))
     return docs
 
 

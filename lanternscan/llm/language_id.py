@@ -5,8 +5,8 @@ order of rank; ties go to the smaller n-gram code. The distance of a document to
 profile, how far each n-gram is out of place; an n-gram that the language lacks costs the profile size. The smallest
 distance wins, ties go to the first language in alphabetical order.
 
-Profiles are fitted on at most about ``TRAIN_DOCS`` documents, chosen by a hash of their ids, with a language and in the training
-fold; n-grams are counted in Spark. Prediction covers every whole text in one narrow pass.
+Profiles are fitted on at most about ``TRAIN_DOCS`` documents of each language, chosen by a hash of their ids, in the training
+fold; n-grams are counted in Spark. A letter is a character of the Unicode category L. Prediction covers every whole text in one narrow pass.
 
 ``und`` with score 0 is returned for null texts, texts without a letter, and when nothing could be learned. Repeated rows get
 equal results; a null doc_id belongs to the training fold only if it has a fold, so it is never learned from.
@@ -15,6 +15,8 @@ equal results; a null doc_id belongs to the training fold only if it has a fold,
 from __future__ import annotations
 
 import re
+import sys
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,9 +25,15 @@ from pyspark.sql import functions as F
 from .common import map_documents, table, text_bytes
 
 PROFILE = 300
-TRAIN_DOCS = 8_000
+TRAIN_DOCS = 2_000
 FOLDS, HELD_OUT_FOLD = 4, 2
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+@lru_cache(maxsize=1)
+def not_letters() -> re.Pattern:
+    """Everything but category L: what is no word character, and digits and other numbers that are."""
+    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+    return re.compile(rf"[\W_{re.escape(numbers)}]+")
 
 
 def fold(folds: int) -> Column:
@@ -34,7 +42,7 @@ def fold(folds: int) -> Column:
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram codes of a text, ascending, with their counts. A code holds up to three code points."""
-    letters = NOT_LETTERS.sub(" ", text.lower()).strip()
+    letters = not_letters().sub(" ", text.lower()).strip()
     if not letters:
         return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
     points = np.frombuffer(f" {letters} ".encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
@@ -82,9 +90,10 @@ class Profiles:
 def learn_profiles(docs: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PROFILE) -> Profiles:
     """Count n-grams per language in Spark; only the top ``size`` of each language reach the driver."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    n = usable.count()
-    if n > train_docs:
-        usable = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("profiles")), F.lit(1_000_000)) < int(1e6 * train_docs / n))
+    rates = usable.groupBy(F.col("lang").alias("_lang")).agg((F.lit(1e6) * train_docs / F.count(F.lit(1))).alias("_rate"))
+    # one row per language; a rare language keeps all its documents
+    usable = usable.select("doc_id", "lang", "text").join(F.broadcast(rates), F.col("lang") == F.col("_lang"))
+    usable = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("profiles")), F.lit(1_000_000)) < F.col("_rate"))
 
     def build():
         def fn(langs, texts):

@@ -208,7 +208,8 @@ def pack_group(sizes: np.ndarray, capacity: int, near: int = 96) -> list[list[in
 def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, piece, length, row -> sequence_id and offset for items shorter than the capacity.
 
-    Each round deals the bins that are still underfull into groups by a hash; ``part`` keeps equal rows apart.
+    Each round deals the pieces of bins that are still underfull into groups by a hash; ``part`` (the partition, then the last
+    sequence) keeps equal rows apart.
     """
     full = int(capacity * FULL_SHARE)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
@@ -243,7 +244,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
         done = kept if done is None else done.unionByName(kept)
         if last:
             break
-        rest = packed.filter(F.col("fill") < full).drop("sequence_id", "offset", "fill").withColumn("part", F.lit(r))
+        rest = packed.filter(F.col("fill") < full).withColumnRenamed("sequence_id", "part").drop("offset", "fill")
     return done.drop("fill")
 
 

@@ -146,3 +146,19 @@ ORACLE_SQL = (
     + f" SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & {BASE}) <> 0 AS base_failed, "
     + f"(fail_bits & {BASE | POLICIES[DEFAULT_POLICY]}) = 0 AS kept, fail_bits FROM b"
 )
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does to the documents, from the ledger's bits."""
+    return ablations(ledger(table(spark, sf_dir, "documents")))
+
+
+_GRID = ", ".join(f"('{p}', {m}, '{name}', {1 << bit})" for p, m in POLICIES.items() for bit, name, _ in RULES if m >> bit & 1)
+
+ABLATION_SQL = (
+    ORACLE_SQL.rsplit(" SELECT ", 1)[0]
+    + f""", r(policy, mask, rule, bit) AS (VALUES {_GRID})
+SELECT policy, rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits & mask = bit) AS n_only_this,
+  count(*) FILTER (fail_bits & mask = 0) AS n_kept, count(*) FILTER (fail_bits & mask & ~bit = 0) AS n_kept_without
+FROM b, r GROUP BY policy, rule"""
+)

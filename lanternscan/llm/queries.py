@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, language_id, license_scan, ngram_jaccard, packing, pii, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``corpus_pipeline.run``; imported here, as that module stands beside the package."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -22,7 +28,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_pii": pii.op9_pii,
         "op10_language_id": language_id.op10_language_id,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
+        "quality_ablations": quality_rules.quality_ablations,
+        "license_phrases": license_scan.license_phrases,
     }
 
 
@@ -33,4 +41,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_ngram_jaccard_join": ngram_jaccard.ORACLE_SQL,
         "op5_benchmark_decontamination": decontamination.ORACLE_SQL,
         "op8_substring_dedup": substring_dedup.ORACLE_SQL,
+        "quality_ablations": quality_rules.ABLATION_SQL,
+        "license_phrases": license_scan.PHRASES_SQL,
     }

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -380,6 +381,7 @@ def test_license_scan(spark):
     texts = [
         *corpus(8, 10), "Licensed under the Apache License", "licensd under te apache license 2", "relased under the MIT license!", "CC-BY cc by cc by",
         "GNU General Public License; all rights, reserved", "all rights reservedly", "This work is licenced under the GNU general public licence v3",
+        "licensed under cc byte",
     ]
     rows = {r.doc_id: r for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
     for k, t in enumerate(texts):
@@ -395,10 +397,20 @@ def test_license_scan(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min(places, default=None), max(places, default=None))
         assert r.base_labels == ",".join(sorted(labels))
         for label, notice in license_scan.NOTICES:  # without seeds, over the whole text
-            if regex.search(f"(?:{regex.escape(notice)}){{e<={license_scan.allowed_errors(notice)}}}", joined):
+            if regex.search(f"(?<![^ ])(?:{regex.escape(notice)}){{e<={license_scan.allowed_errors(notice)}}}(?![^ ])", joined):
                 labels.add(label)
         assert r.labels == ",".join(sorted(labels)) and 0 <= r.score <= 1
-    assert rows[len(texts) - 6].labels == "apache"
+        assert all(" ".join(w[a:z]) for a, z in zip(r.span_starts, r.span_ends))
+    assert rows[len(texts) - 8].labels == "apache" and rows[len(texts) - 1].labels == ""
+    assert (rows[len(texts) - 8].span_starts, rows[len(texts) - 8].span_ends) == ([0], [5])
+
+
+def test_license_scan_of_long_texts(spark):
+    """Places and spans are found in time in proportion to the length."""
+    began = time.time()
+    (row,) = license_scan.scan_licenses(frame(spark, ["cc by, under the mit license. " * 60_000])).collect()
+    assert row.n_base == 60_000 and row.last_word == 6 * 59_999 and row.labels == "cc-by,mit" and len(row.span_ends) >= 60_000
+    assert time.time() - began < 60
 
 
 # ------------------------------------------------------------------ 7, 8
