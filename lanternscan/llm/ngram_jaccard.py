@@ -270,7 +270,9 @@ def class_links(scratch: Scratch, tiles: DataFrame, sets: DataFrame, percent: in
 
     ``tiles`` has tile, heads (of the tiles before it) and node.
     """
-    compare = lambda df, *by: df.join(sets, "node").groupBy(*by).applyInArrow(compare_group(percent), "a long, b long")
+    # a few of the sets are wanted after the first step: the others need not be shuffled
+    of = lambda df: df.join(only_likely(sets, "node", df.select("node")), "node")
+    compare = lambda df, *by: df.groupBy(*by).applyInArrow(compare_group(percent), "a long, b long")
     links: list[DataFrame] = []
     settled = lambda: roots is not None and all(x.isEmpty() for x in links[1:])
     roots, level = None, 0
@@ -286,7 +288,7 @@ def class_links(scratch: Scratch, tiles: DataFrame, sets: DataFrame, percent: in
         first = scratch.store(name("heads"), first)
         in_each = first.select("tile", spread("blocks", "block"), "new").select("tile", "block", F.explode("new").alias("node"))
         rows = placed.select(cols).unionByName(with_root(in_each, roots).select(cols)).distinct()
-        links.append(scratch.store(name("links"), compare(rows, "tile", "block")))
+        links.append(scratch.store(name("links"), compare(rows.join(sets, "node") if roots is None else of(rows), "tile", "block")))
         if first.isEmpty():
             return union_all(links), settled()
 
@@ -305,7 +307,7 @@ def class_links(scratch: Scratch, tiles: DataFrame, sets: DataFrame, percent: in
         # up to a block of members apart from the rest of their tile: they are compared with all of it
         few = open_.filter(F.col("n_apart") <= block)
         rows = few.select(cols).unionByName(few.filter("apart").select("tile", spread("blocks", "block"), "node", "root")).distinct()
-        links.append(scratch.store(name("few"), compare(rows, "tile", "block")))
+        links.append(scratch.store(name("few"), compare(of(rows), "tile", "block")))
         many = open_.filter(F.col("n_apart") > block)
         if many.isEmpty():
             return union_all(links), settled()
@@ -317,7 +319,7 @@ def class_links(scratch: Scratch, tiles: DataFrame, sets: DataFrame, percent: in
         rows = many.select("tile", "block", "blocks", "node", "root", "apart", F.lit(False).alias("is_head")).unionByName(
             known.select("*", none("long").alias("root"), none("boolean").alias("apart"), F.lit(True).alias("is_head"))
         )
-        rests = scratch.store(name("rests"), rows.join(sets, "node").groupBy("tile", "block").applyInArrow(rest_keys(percent), REST))
+        rests = scratch.store(name("rests"), of(rows).groupBy("tile", "block").applyInArrow(rest_keys(percent), REST))
 
         # rests that share nothing: the smallest rest stands for those with the same overlap with the heads (heads were compared)
         light = rests.filter("light").groupBy("tile", "shared").agg(F.min(F.struct("rest", "node", "root", "apart", "blocks", "known")).alias("s"))
@@ -328,7 +330,7 @@ def class_links(scratch: Scratch, tiles: DataFrame, sets: DataFrame, percent: in
             chunks = parts.groupBy("tile").agg(F.max("blocks").alias("chunks"))
             a = parts.select("tile", "x", spread("all", "block"), "node", "root", "apart", F.lit(True).alias("stands"))
             b = small.join(chunks, "tile").select("tile", spread("chunks", "x"), "block", "node", "root", "apart", F.lit(False).alias("stands"))
-            links.append(scratch.store(name("disjoint"), compare(a.unionByName(b), "tile", "x", "block")))
+            links.append(scratch.store(name("disjoint"), compare(of(a.unionByName(b)), "tile", "x", "block")))
 
         # rests that share a key
         keyed = rests.select("tile", "node", "root", F.explode("keys").alias("key"))
