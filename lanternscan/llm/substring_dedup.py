@@ -26,12 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_documents, runs, table, text_bytes, token_hashes, window_hashes
+from .common import Scratch, map_documents, runs, table, text_bytes, token_hashes, window_hashes
 
 WINDOW = 20
 CHUNK_WORDS = 2_000_000
 #: Text bytes per hash range: some two million windows, and at most a few entries per chunk and window.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 NULL_ID = np.iinfo(np.int64).max
 
 PACKED = "range long, chunk long, kind int, n long, hashes binary, places binary, starts binary, ids binary"
@@ -215,7 +215,7 @@ def chunk_intervals(window: int):
 def range_bits(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> int:
     """log2 of the number of hash ranges, from the size of all texts."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(6, int(size // range_bytes).bit_length())
+    return max(3, int(size // range_bytes).bit_length())
 
 
 def removal_intervals(
@@ -225,9 +225,11 @@ def removal_intervals(
     bits = range_bits(docs, range_bytes)
     packed = pack_windows(docs, bits, window, chunk_words)
     settled = packed.groupBy("range").applyInArrow(settle_range(bits), SETTLED)
-    return settled.groupBy("chunk").applyInArrow(
+    found = settled.groupBy("chunk").applyInArrow(
         chunk_intervals(window), "doc_id long, text_hash long, starts array<int>, ends array<int>"
     )
+    # stored, so that the blocks are off the disks before the texts are shuffled
+    return Scratch(docs.sparkSession, "intervals").store("found", found)
 
 
 def removed(docs: DataFrame, **options) -> DataFrame:
