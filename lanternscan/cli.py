@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from lanternscan import __version__
 from lanternscan.operators.findings import redact
 from lanternscan.plans.config import safe_relative
 from lanternscan.plans.scan import ScanOptions, scan
@@ -39,7 +40,9 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(f"--{flag}", default="")
     for flag in ("skip-history", "staged", "verbose", "follow-symlinks"):
         p.add_argument(f"--{flag}", action="store_true")
-    p.add_argument("--stdin", default="", help="text file to scan as a pipe")
+    p.add_argument("--stdin", nargs="?", const="-", default="", metavar="FILE", help="scan standard input (or a text file) line by line")
+    p.add_argument("--version", action="version", version=f"%(prog)s {__version__}")
+    p.add_argument("--no-color", action="store_true", help="accepted for scripts; reports have no colours")
     p.add_argument("--format", choices=list(formats()), default="json")
     p.add_argument("--redact", type=_between(0, 100), default=0, help="percent of a secret to hide; 0 shows it")
     p.add_argument("--exit-code", type=_between(0, 255), default=1)

@@ -134,14 +134,11 @@ def near_required(index: Column, column0: Column) -> Column:
     return (F.size("required") == 0) | F.forall("required", stands)
 
 
-def scan_buffers(
+def window_hits(
     files: DataFrame, rs: RuleSet, marker: str = ALLOW_MARKER, platform: str = "", owner: str = "", repo: str = "",
     window: int = WINDOW, step: int = STEP,
 ) -> DataFrame:
-    """Findings of whole contents, plus rule_ord and place (the window).
-
-    Everything up to the hits is narrow; only hits are shuffled, to keep the first that survives of each rule and offset.
-    """
+    """What survives of the matches in each window, with ``win`` and the offset ``at``; a match in two windows comes twice. No shuffle."""
     hits = all_matches(candidate_rules(windows(files, rs.radius, window, step), "body", rs))
     hits = hits.withColumn("entropy", shannon_entropy("secret"))
     hits = hits.filter((F.col("min_entropy") <= 0) | (F.col("entropy") >= F.col("min_entropy")))
@@ -158,12 +155,21 @@ def scan_buffers(
     end_idx = line_index(last)
     start_line = F.col("first_line") + F.col("idx") - 1
     link = platform_link(platform, F.lit(owner), F.lit(repo), commit, path, start_line) if owner and repo else F.lit("")
-    rows = hits.select(
+    return hits.select(
         "rule_id", "description", start_line.alias("start_line"), (F.col("first_line") + end_idx - 1).alias("end_line"),
         (column0 + 1).alias("start_column"), (last - F.element_at("line_starts", end_idx) + 2).alias("end_column"), "match", "secret",
         path.alias("file"), "commit", "tags", "entropy", fingerprint(commit, path, "rule_id", start_line).alias("fingerprint"),
         link.alias("link"), "rule_ord", "win", "at",
     )
+
+
+def first_hits(hits: DataFrame) -> DataFrame:
+    """The first window's hit of each rule and offset; only hits are shuffled."""
     first = Window.partitionBy("file", "commit", "rule_id", "at").orderBy("win")
-    rows = rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    return hits.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+
+
+def scan_buffers(files: DataFrame, rs: RuleSet, marker: str = ALLOW_MARKER, **options) -> DataFrame:
+    """Findings of whole contents, plus rule_ord and place (the window); options as of ``window_hits``."""
+    rows = first_hits(window_hits(files, rs, marker, **options))
     return finding(rows.withColumn("place", F.col("win").cast("long")), ("rule_ord", "place"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from lanternscan.plans.config import Config, load
 from lanternscan.plans.ruleset import RuleSet
 from lanternscan.sources import git
 from lanternscan.sources.archives import archive_lines
-from lanternscan.sources.files import read_baseline, read_files, read_ignore_list, read_lines, read_linked_files
+from lanternscan.sources.files import read_baseline, read_files, read_ignore_list, read_lines, read_linked_files, read_pipe
 
 IGNORE_FILE = ".scanignore"
 
@@ -31,7 +32,7 @@ class ScanOptions:
     branch: str = ""
     skip_history: bool = False
     staged: bool = False
-    stdin: str = ""  # a text file that stands for the pipe
+    stdin: str = ""  # "-" for standard input, or a text file that stands for it
     max_file_mb: int = 0
     max_decode_depth: int = 0
     max_archive_depth: int = 0
@@ -61,7 +62,8 @@ def scan(spark: SparkSession, options: ScanOptions) -> ScanResult:
     rs = compile_rules(config, options.enabled_rules)
     sources = []
     if options.stdin:
-        sources.append(scan_lines(read_lines(spark, options.stdin, "stdin"), rs, options.marker))
+        lines = read_pipe(spark, sys.stdin.buffer, "stdin") if options.stdin == "-" else read_lines(spark, options.stdin, "stdin")
+        sources.append(scan_lines(lines, rs, options.marker))
     else:
         has_git = os.path.isdir(os.path.join(options.path, ".git"))
         owner = repo = ""
@@ -70,7 +72,7 @@ def scan(spark: SparkSession, options: ScanOptions) -> ScanResult:
             owner, repo = url.select(parse_remote("url").alias("r")).select("r.*").first()
         read = read_linked_files if options.follow_symlinks else read_files
         files = read(spark, options.path, options.max_file_mb, config.exclude_paths)
-        sources.append(scan_buffers(files, rs, options.marker, options.platform, owner, repo))
+        sources.append(scan_buffers(files, rs, options.marker, platform=options.platform, owner=owner, repo=repo))
         if options.max_archive_depth > 0:
             inner = scan_lines(archive_lines(files), rs, options.marker)
             sources[0] = sources[0].unionByName(inner)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lanternscan.functions import text as T
 from lanternscan.functions.decode import decode_all, decode_tags
-from lanternscan.operators.buffers import STEP, WINDOW, scan_buffers, window_offsets, windows
+from lanternscan.operators.buffers import STEP, WINDOW, first_hits, scan_buffers, window_hits, window_offsets, windows
 from lanternscan.operators.candidates import candidate_rules, with_candidates
 from lanternscan.operators.diffs import added_lines
 from lanternscan.operators.findings import add_decoded_tags, limit_findings, redact, rule_summary, subtract, union_sources
@@ -231,61 +231,61 @@ def exclude_commits(spark, d):
 
 # ---------------------------------------------------------------- whole contents
 
-ASCII = f"ascii AS (SELECT doc_id, path, h, regexp_replace(text, '[^\\x00-\\x7F]', '??', 'g') AS text FROM (SELECT * FROM spiked))"
-WINDOWS_SQL = f"""wins AS (SELECT doc_id, path, text, off, row_number() OVER (PARTITION BY path ORDER BY off) - 1 AS win, substr(text, off + 1, {WINDOW}) AS body
-FROM (SELECT *, unnest(range(0, CASE WHEN length(text) <= {WINDOW} THEN 1 ELSE CAST(ceil((length(text) - {WINDOW}) / {STEP}.0) AS BIGINT) * {STEP} + 1 END, {STEP})) AS off FROM ascii WHERE length(text) > 0))"""
+#: CTEs of the DuckDB side: contents as bytes, their windows cut to whole characters, and every match with its byte offset.
+BYTES = "bytes AS (SELECT doc_id, path, h, text, encode(text) AS data, strlen(text) AS size FROM spiked)"
+WINDOWS_SQL = f"""cuts AS (SELECT *, hex(data[off + 1:off + {WINDOW}]) AS x, row_number() OVER (PARTITION BY path ORDER BY off) - 1 AS win
+FROM (SELECT *, unnest(range(0, CASE WHEN size <= {WINDOW} THEN 1 ELSE CAST(ceil((size - {WINDOW}) / {STEP}.0) AS BIGINT) * {STEP} + 1 END, {STEP})) AS off FROM bytes WHERE size > 0)),
+heads AS (SELECT *, CASE WHEN off > 0 THEN regexp_replace(x, '^([89AB].){{1,3}}', '') ELSE x END AS y FROM cuts),
+tails AS (SELECT *, coalesce(nullif(regexp_extract(y, '^((?:..)*?)(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){{0,2}})$', 1), ''), y) AS z FROM heads),
+wins AS (SELECT doc_id, path, text, data, size, off, win, off + (length(x) - length(y)) // 2 AS base, decode(from_hex(z)) AS body FROM tails)"""
 
 
-def ascii_contents(spark, d) -> DataFrame:
-    """The spiked documents with two question marks for other characters, so that characters are bytes on both sides."""
-    return spiked(spark, d).select("doc_id", "path", "h", F.regexp_replace("text", r"[^\x00-\x7F]", "??").alias("content"))
+def contents(spark, d) -> DataFrame:
+    return spiked(spark, d).select("doc_id", "path", "h", F.col("text").alias("content"))
 
 
 _BUF = """hits AS (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM (SELECT wins.*, rules.*, regexp_extract_all(body, regex, 0) AS ms,
-CASE grp WHEN 0 THEN regexp_extract_all(body, regex, 0) ELSE regexp_extract_all(body, regex, 1) END AS ss, string_split_regex(body, regex) AS gs
+CASE grp WHEN 0 THEN regexp_extract_all(body, regex, 0) WHEN 1 THEN regexp_extract_all(body, regex, 1) ELSE regexp_extract_all(body, regex, 2) END AS ss, string_split_regex(body, regex) AS gs
 FROM wins, rules WHERE CASE WHEN (path_regex IS NULL OR regexp_matches(path, path_regex)) AND {kw} THEN regexp_matches(body, regex) ELSE false END)),
-places AS (SELECT *, ms[k] AS match, CASE WHEN ss[k] = '' THEN ms[k] ELSE ss[k] END AS secret, off + list_sum(list_transform(gs[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) AS pos FROM hits),
-kept AS (SELECT *, text[1:pos] AS pre, {ent} AS entropy FROM places),
-lined AS (SELECT *, 1 + length(pre) - length(replace(pre, chr(10), '')) AS start_line, pos - (length(pre) - strpos(reverse(chr(10) || pre), chr(10)) + 1) + 1 AS start_column,
+places AS (SELECT *, ms[k] AS match, CASE WHEN ss[k] = '' THEN ms[k] ELSE ss[k] END AS secret, base + list_sum(list_transform(gs[1:k], lambda x: strlen(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: strlen(x))), 0) AS pos FROM hits),
+kept AS (SELECT *, decode(data[1:CAST(pos AS BIGINT)]) AS pre, {ent} AS entropy FROM places),
+lined AS (SELECT *, 1 + length(pre) - length(replace(pre, chr(10), '')) AS start_line, strlen(string_split(pre, chr(10))[-1]) + 1 AS start_column,
   string_split(text, chr(10))[1 + length(pre) - length(replace(pre, chr(10), ''))] AS line FROM kept),
 ok AS (SELECT * FROM lined WHERE (min_entropy <= 0 OR entropy >= min_entropy) AND NOT ({stop}) AND NOT ({pathed}) AND NOT contains(line, '{marker}')),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY path, rule_id, pos ORDER BY win) AS n FROM ok)""".format(
     kw=_KEYWORD.format("body"), ent=ENTROPY.format("secret"), stop=_STOPPED, pathed=_PATHED, marker=MARKER
 )
-BUFFER = RuleSet(tuple(r for r in BUILTIN.rules if r.secret_group < 2 and not r.regex.endswith("*")))
 
 
-@query("scan_buffer_all_matches", f"WITH {SPIKED}, {ASCII}, {WINDOWS_SQL}, {rules_cte(BUFFER)}, {_BUF} SELECT rule_id, path AS file, CAST(start_line AS INTEGER) AS start_line, CAST(start_column AS INTEGER) AS start_column, match, secret FROM firsts WHERE n = 1")
+@query("scan_buffer_all_matches", f"WITH {SPIKED}, {BYTES}, {WINDOWS_SQL}, {rules_cte(BUILTIN)}, {_BUF} SELECT rule_id, path AS file, CAST(start_line AS INTEGER) AS start_line, CAST(start_column AS INTEGER) AS start_column, match, secret FROM firsts WHERE n = 1")
 def scan_buffer_all_matches(spark, d):
-    """Built-in rules over whole contents in overlapping windows, every match once."""
-    return scan_buffers(ascii_contents(spark, d), BUFFER).select("rule_id", "file", "start_line", "start_column", "match", "secret")
+    """All built-in rules over whole contents in overlapping windows, every match once."""
+    return scan_buffers(contents(spark, d), BUILTIN).select("rule_id", "file", "start_line", "start_column", "match", "secret")
 
 
-@query("window_offsets", f"WITH {SPIKED}, {ASCII}, {WINDOWS_SQL} SELECT path, CAST(off AS BIGINT) AS off, CAST(length(body) AS BIGINT) AS n FROM wins")
+@query("window_offsets", f"WITH {SPIKED}, {BYTES}, {WINDOWS_SQL} SELECT path, CAST(base AS BIGINT) AS base, CAST(strlen(body) AS BIGINT) AS n, CAST(size AS BIGINT) AS size, CAST(off AS BIGINT) AS off FROM wins")
 def window_offsets_query(spark, d):
-    c = ascii_contents(spark, d)
-    rows = c.select("path", F.length("content").alias("size"), F.explode(window_offsets(F.octet_length("content"))).alias("off"))
-    return rows.select("path", "off", F.least(F.lit(WINDOW), F.col("size") - F.col("off")).cast("long").alias("n"))
+    """Where windows begin, and what is left of them when they are cut to whole characters."""
+    c = contents(spark, d)
+    offsets = c.select("path", F.octet_length("content").cast("long").alias("size"), F.posexplode(window_offsets(F.octet_length("content"))).alias("win", "off"))
+    cut = windows(c).select("path", "win", "base", F.octet_length("body").cast("long").alias("n"))
+    return offsets.join(cut, ["path", "win"]).select("path", "base", "n", "size", "off")
 
 
-@query("window_dedup", f"WITH {SPIKED}, {ASCII}, {WINDOWS_SQL}, {rules_cte(KEYED)}, {_BUF} SELECT rule_id, count(*) AS n_hits, count(*) FILTER (n = 1) AS n_first FROM firsts GROUP BY rule_id")
+@query("window_dedup", f"WITH {SPIKED}, {BYTES}, {WINDOWS_SQL}, {rules_cte(KEYED)}, {_BUF} SELECT rule_id, count(*) AS n_hits, count(*) FILTER (n = 1) AS n_first FROM firsts GROUP BY rule_id")
 def window_dedup(spark, d):
     """Matches in all windows, and without those that two windows share."""
-    w = windows(ascii_contents(spark, d))
-    hits = w.join(scan_buffers(ascii_contents(spark, d), KEYED).select("file", "rule_id", F.col("start_line"), F.col("start_column"), "match"), F.col("path") == F.col("file"))
-    idx = F.col("start_line") - F.col("first_line") + 1
-    at = F.element_at("line_starts", F.when((idx >= 1) & (idx <= F.size("line_starts")), idx)) + F.col("start_column") - 1
-    inside = (at >= F.col("base")) & (at + F.octet_length("match") <= F.col("base") + F.octet_length("body"))
-    per = hits.filter(inside).groupBy("rule_id", "file", "start_line", "start_column").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("rule_id").agg(F.sum("n").alias("n_hits"), F.count(F.lit(1)).alias("n_first"))
+    hits = window_hits(contents(spark, d), KEYED)
+    every = hits.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    return every.join(first_hits(hits).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_first")), "rule_id")
 
 
-@query("line_col", f"WITH {SPIKED}, {ASCII} SELECT path, CAST(1 + length(pre) - length(replace(pre, chr(10), '')) AS INTEGER) AS line, CAST(length(pre) + 1 - (length(pre) - strpos(reverse(chr(10) || pre), chr(10)) + 1) AS INTEGER) AS col FROM (SELECT path, text[1:length(text) // 2] AS pre FROM ascii)")
+@query("line_col", f"WITH {SPIKED} SELECT path, CAST(1 + length(pre) - length(replace(pre, chr(10), '')) AS INTEGER) AS line, CAST(strlen(string_split(pre, chr(10))[-1]) + 1 AS INTEGER) AS col FROM (SELECT path, text[1:length(text) // 2] AS pre FROM spiked)")
 def line_col_query(spark, d):
-    """Line and column of the middle of each content, natively."""
+    """Line and byte column of the middle character of each content, natively."""
     pre = F.substr("content", F.lit(1), F.floor(F.length("content") / 2).cast("int"))
     parts = F.split(pre, "\n", -1)
-    return ascii_contents(spark, d).select("path", F.size(parts).alias("line"), (F.octet_length(F.element_at(parts, -1)) + 1).alias("col"))
+    return contents(spark, d).select("path", F.size(parts).alias("line"), (F.octet_length(F.element_at(parts, -1)) + 1).alias("col"))
 
 
 NEAR = Rule(id="near", regex=r"AKIA[0-9A-F]{16}", keywords=("akia",), required=(Required("the", r"\bthe\b", 1),))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator, Sequence
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +52,30 @@ def read_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
     return split_lines(whole)
 
 
+#: Bytes of a pipe that the driver holds at a time.
+PIPE_BYTES = 32 << 20
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the warehouse where none is named."""
+    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def read_pipe(spark: SparkSession, stream: BinaryIO, name: str, block_bytes: int = PIPE_BYTES) -> DataFrame:
+    """The lines of a byte stream, numbered, under a fixed name. Blocks of whole lines are stored as they come, and scanned by the tasks."""
+    from lanternscan.operators.lines import split_lines
+
+    at, first = f"{shared_folder(spark)}/pipe-{uuid.uuid4().hex}", 0
+    schema = "path string, first int, text string"
+    spark.createDataFrame([], schema).write.parquet(at)
+    while block := stream.readlines(block_bytes):
+        rows = [(name, first, b"".join(block).decode("utf-8", "replace"))]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(at)
+        first += len(block)
+    lines = split_lines(spark.read.schema(schema).parquet(at))
+    return lines.withColumn("line_no", F.col("line_no") + F.col("first")).drop("first")
+
+
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     """Findings of an earlier report (a JSON array)."""
     return spark.read.schema(FINDING).json(path, multiLine=True)

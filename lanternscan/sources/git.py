@@ -50,9 +50,22 @@ def history(spark: SparkSession, root: str, branch: str = "") -> DataFrame:
 
 
 def staged(spark: SparkSession, root: str) -> DataFrame:
-    """(patch_id, seq, line) of the staged changes."""
-    lines = git(root, "diff", "--staged").split("\n")
-    return spark.createDataFrame([("staged", k, x) for k, x in enumerate(lines)], PATCHES)
+    """(patch_id, seq, line) of the staged changes, one patch per file; the driver lists names, each task asks for its own files' patches."""
+    names = git(root, "diff", "--staged", "--name-status", "-z").split("\0")
+    changed, k = [], 0
+    while k < len(names) - 1:
+        n = 2 if names[k][:1] in ("R", "C") else 1  # a rename or copy has two names
+        changed.append((names[k + 1 : k + 1 + n],))
+        k += 1 + n
+    files = spark.createDataFrame(changed, "names array<string>")
+    files = files.repartition(max(1, min(len(changed), 4 * spark.sparkContext.defaultParallelism)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for paths in batch.column(0).to_pylist():
+                yield from patch_rows(f"staged {paths[-1]}", git(root, "diff", "--staged", "--", *(f":(top,literal){x}" for x in paths)))
+
+    return files.mapInArrow(run, PATCHES)
 
 
 def remote_url(root: str) -> str:
