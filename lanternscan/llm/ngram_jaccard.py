@@ -6,9 +6,10 @@
    content is the key of a common tile. A set near the upper end of its band also takes part in the next band. A set with too
    few filled parts (a short one) adds its d + 1 smallest shingles as keys: two such sets that overlap share one. So no link is
    lost, and empty parts lead nowhere.
-3. A tile is the sets that share a key with its smallest member. In a tile, sets in a compatible size range are
-   compared by bitmaps: bits that only one set has bound the overlap from above, and only pairs that pass are intersected
-   exactly as sorted arrays. A pair that is already connected is not compared.
+3. A tile is the sets that share a key with its smallest member. Sets enter their tiles as hashed bitmaps of two to four bits per
+   shingle, which fold to a common width. Sets in a compatible size range are compared: bits that only one set has bound the
+   overlap from above. Only sets of pairs that pass come themselves, as sorted arrays, and are intersected exactly. A pair that
+   is already connected is not compared.
 4. A tile of more than ``BLOCK`` sets is dealt into blocks; up to ``HEADS`` members, the heads, stand in each. That connects near copies by the thousand in
    linear time. Up to ``BLOCK`` members that are then apart from the tile's largest component are compared with all of the tile. If
    more are apart (a template with different contents, a passage in a third of all documents), what the members share with
@@ -110,33 +111,42 @@ def enough(common, n, m, percent: int = PERCENT):
     return 100 * common >= percent * (n + m - common)
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """One hashed bitmap per set, with about two bits per element of the largest."""
-    bits = 1 << max(6, int(2 * max(map(len, sets))).bit_length())
-    bits = min(bits, 1 << 13)
-    out = np.zeros((len(sets), bits // 64), dtype=np.uint64)
-    for row, s in zip(out, sets):
-        at = (mix(s) >> np.uint64(20)) % np.uint64(bits)
-        np.bitwise_or.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A hashed bitmap of a set with two to four bits per element, at least 64 and at most 2**20."""
+    bits = 1 << min(20, max(6, int(2 * len(s) - 1).bit_length()))
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    at = (mix(s) >> np.uint64(20)) % np.uint64(bits)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
     return out
 
 
+def folded(maps: list[np.ndarray]) -> np.ndarray:
+    """The bitmaps at the width of the smallest: places are hashes modulo a power of two, so halves are united."""
+    width = min(map(len, maps))
+    return np.array([np.bitwise_or.reduce(m.reshape(-1, width), axis=0) for m in maps])
+
+
+def near_rows(i: int, sizes: np.ndarray, maps: np.ndarray, part: np.ndarray, percent: int) -> np.ndarray:
+    """Later rows, by size, that may be linked with row i: of a compatible size, another part, and enough bits in common."""
+    end = np.searchsorted(sizes, sizes[i] * 100 // percent, side="right")
+    near = np.flatnonzero(part[i + 1 : end] != part[i]) + i + 1
+    if not len(near):
+        return near
+    only_i = np.bitwise_count(maps[i] & ~maps[near]).sum(axis=1)
+    only_j = np.bitwise_count(maps[near] & ~maps[i]).sum(axis=1)
+    bound = np.minimum(sizes[i] - only_i.astype(np.int64), sizes[near] - only_j.astype(np.int64))
+    return near[enough(bound, sizes[i], sizes[near], percent)]
+
+
 def link_sets(sets: list[np.ndarray], parts: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Spanning links between sets of different parts; ``parts`` (changed) gives a known part of each set."""
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     sets, sizes, part = [sets[i] for i in order], sizes[order], parts[order]
-    maps = bitmaps(sets)
+    maps = folded([bitmap(s) for s in sets])
     links = []
     for i in range(len(sets) - 1):
-        end = np.searchsorted(sizes, sizes[i] * 100 // percent, side="right")
-        near = np.flatnonzero(part[i + 1 : end] != part[i]) + i + 1
-        if not len(near):
-            continue
-        only_i = np.bitwise_count(maps[i] & ~maps[near]).sum(axis=1)
-        only_j = np.bitwise_count(maps[near] & ~maps[i]).sum(axis=1)
-        bound = np.minimum(sizes[i] - only_i.astype(np.int64), sizes[near] - only_j.astype(np.int64))
-        for j in near[enough(bound, sizes[i], sizes[near], percent)]:
+        for j in near_rows(i, sizes, maps, part, percent):
             if part[i] != part[j]:
                 common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if enough(common, sizes[i], sizes[j], percent):
@@ -150,6 +160,29 @@ def unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype=np.uint64) for x in column.to_pylist()]
 
 
+LIKELY = "tile long, x int, y int, node long, root long"
+
+
+def likely_group(percent: int):
+    """The rows of a group that have a partner by size and bitmap."""
+
+    def fn(group: pa.Table) -> pa.Table:
+        sizes = group["size"].to_numpy()
+        order = np.argsort(sizes, kind="stable")
+        sizes, part = sizes[order], group["root"].to_numpy()[order]
+        alive = np.zeros(len(order), dtype=bool)
+        if len(order) > 1:
+            maps = unpacked(group["bits"])
+            maps = folded([maps[k] for k in order])
+            for i in range(len(order) - 1):
+                near = near_rows(i, sizes, maps, part, percent)
+                alive[near] = True
+                alive[i] |= len(near) > 0
+        return group.select(["tile", "x", "y", "node", "root"]).take(pa.array(order[alive]))
+
+    return fn
+
+
 def compare_group(percent: int):
     """Links (a, b) of the sets of one group."""
 
@@ -224,8 +257,8 @@ def document_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     )
 
 
-def fetch_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """node, shingles of the sets ``wanted(node, id)``, hashed again from the texts of these documents only."""
+def fetch(docs: DataFrame, wanted: DataFrame, shingle: int, form: str) -> DataFrame:
+    """``sets``: node, shingles, or ``maps``: node, size, bits, of ``wanted(node, id)``, from the texts of these documents only."""
 
     def build():
         def fn(nodes, texts):
@@ -233,14 +266,14 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             for node, data in zip(nodes, texts):
                 s = shingle_set(data, shingle)
                 if set_key(s) == node:  # rows that share a doc_id have other sets too
-                    rows.append((node, s.tobytes()))
-            return list(zip(*rows)) if rows else [[], []]
+                    rows.append((node, s.tobytes()) if form == "sets" else (node, len(s), bitmap(s).tobytes()))
+            return list(zip(*rows)) if rows else [[]] * (2 if form == "sets" else 3)
 
         return fn
 
     texts = only_likely(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", wanted.select("id"))
     texts = texts.join(wanted, "id").withColumn("hash", F.xxhash64("text")).dropDuplicates(["id", "node", "hash"])
-    return map_documents(texts, ("node", text_bytes()), "node long, shingles binary", build)
+    return map_documents(texts, ("node", text_bytes()), "node long, shingles binary" if form == "sets" else "node long, size long, bits binary", build)
 
 
 def in_blocks(tiles: DataFrame, block: int) -> DataFrame:
@@ -259,26 +292,35 @@ def spread(n: str, name: str) -> Column:
 
 
 def with_root(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``root`` of each node, as far as it is known."""
+    """``root`` of each node, which is its own as long as it has no link."""
     if roots is None:
         return members.withColumn("root", F.col("node"))
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def class_links(scratch: Scratch, tiles: DataFrame, sets: DataFrame, percent: int, block: int) -> tuple[DataFrame, bool]:
+def class_links(scratch: Scratch, tiles: DataFrame, maps: DataFrame, fetch_sets, percent: int, block: int) -> tuple[DataFrame, bool]:
     """Links (a, b) that span the components of sets, and whether they are (node, root) of all components already.
 
-    ``tiles`` has tile, heads (of the tiles before it) and node.
+    ``tiles`` has tile, heads (of the tiles before it) and node, ``maps`` node, size and bits; ``fetch_sets(nodes)`` gives node and shingles.
     """
-    # a few of the sets are wanted after the first step: the others need not be shuffled
-    of = lambda df: df.join(only_likely(sets, "node", df.select("node")), "node")
-    compare = lambda df, *by: df.groupBy(*by).applyInArrow(compare_group(percent), "a long, b long")
+
+    def of(rows: DataFrame, what: DataFrame) -> DataFrame:
+        """Rows with the sets or bitmaps of their nodes; those of other nodes are not shuffled."""
+        return rows.join(only_likely(what, "node", rows.select("node")), "node")
+
+    def likely(name: str, rows: DataFrame) -> DataFrame:
+        """Rows (tile, x, y, node, root), each group (tile, x, y) of bounded size, that have a likely partner in their group."""
+        rows = rows.select("tile", F.col("x").cast("int"), F.col("y").cast("int"), "node", "root").distinct()
+        return scratch.store(name, of(rows, maps).groupBy("tile", "x", "y").applyInArrow(likely_group(percent), LIKELY))
+
+    def compared(name: str, rows: DataFrame, sets: DataFrame) -> DataFrame:
+        return scratch.store(name, of(rows, sets).groupBy("tile", "x", "y").applyInArrow(compare_group(percent), "a long, b long"))
+
     links: list[DataFrame] = []
     settled = lambda: roots is not None and all(x.isEmpty() for x in links[1:])
-    roots, level = None, 0
-    while True:
+    roots, sets, level = None, None, 0
+    while not (level and tiles.isEmpty()):
         name = lambda x: f"{x}-{level}"  # noqa: B023, E731
-        cols = ["tile", "block", "node", "root"]
         placed = scratch.store(name("placed"), in_blocks(with_root(tiles, roots), block))
         large = placed.filter("blocks > 1")
         # the smallest member of each of some parts of a large tile
@@ -287,12 +329,16 @@ def class_links(scratch: Scratch, tiles: DataFrame, sets: DataFrame, percent: in
         first = first.groupBy("tile", "heads", "blocks").agg(F.collect_list("node").alias("new"))
         first = scratch.store(name("heads"), first)
         in_each = first.select("tile", spread("blocks", "block"), "new").select("tile", "block", F.explode("new").alias("node"))
-        rows = placed.select(cols).unionByName(with_root(in_each, roots).select(cols)).distinct()
-        links.append(scratch.store(name("links"), compare(rows.join(sets, "node") if roots is None else of(rows), "tile", "block")))
+        one = F.lit(0).alias("x")
+        rows = placed.select("tile", one, F.col("block").alias("y"), "node", "root")
+        rows = rows.unionByName(with_root(in_each, roots).select("tile", one, F.col("block").alias("y"), "node", "root"))
+        alive = likely(name("alive"), rows)
+        some = scratch.store("sets-alive", fetch_sets(alive.select("node"))) if sets is None else sets
+        links.append(compared(name("links"), alive, some))
         if first.isEmpty():
-            return union_all(links), settled()
+            break
 
-        if roots is None or not links[-1].isEmpty():
+        if not links[-1].isEmpty():
             roots = components(union_all(links))
             large = with_root(large.drop("root"), roots)
         links = [roots.select(F.col("node").alias("a"), F.col("root").alias("b"))]
@@ -306,11 +352,16 @@ def class_links(scratch: Scratch, tiles: DataFrame, sets: DataFrame, percent: in
 
         # up to a block of members apart from the rest of their tile: they are compared with all of it
         few = open_.filter(F.col("n_apart") <= block)
-        rows = few.select(cols).unionByName(few.filter("apart").select("tile", spread("blocks", "block"), "node", "root")).distinct()
-        links.append(scratch.store(name("few"), compare(of(rows), "tile", "block")))
+        rows = few.select("tile", one, F.col("block").alias("y"), "node", "root")
+        rows = rows.unionByName(few.filter("apart").select("tile", one, spread("blocks", "y"), "node", "root"))
+        alive = likely(name("few-alive"), rows)
         many = open_.filter(F.col("n_apart") > block)
+        if sets is None:
+            scratch.drop("sets-alive")
+            sets = scratch.store("sets", fetch_sets(alive.select("node").unionByName(many.select("node"))))
+        links.append(compared(name("few"), alive, sets))
         if many.isEmpty():
-            return union_all(links), settled()
+            break
 
         # more of them: what is left of the members without the shingles of the heads
         heads = first.select("tile", F.array_union("heads", "new").alias("heads"))
@@ -319,7 +370,7 @@ def class_links(scratch: Scratch, tiles: DataFrame, sets: DataFrame, percent: in
         rows = many.select("tile", "block", "blocks", "node", "root", "apart", F.lit(False).alias("is_head")).unionByName(
             known.select("*", none("long").alias("root"), none("boolean").alias("apart"), F.lit(True).alias("is_head"))
         )
-        rests = scratch.store(name("rests"), of(rows).groupBy("tile", "block").applyInArrow(rest_keys(percent), REST))
+        rests = scratch.store(name("rests"), of(rows, sets).groupBy("tile", "block").applyInArrow(rest_keys(percent), REST))
 
         # rests that share nothing: the smallest rest stands for those with the same overlap with the heads (heads were compared)
         light = rests.filter("light").groupBy("tile", "shared").agg(F.min(F.struct("rest", "node", "root", "apart", "blocks", "known")).alias("s"))
@@ -328,9 +379,9 @@ def class_links(scratch: Scratch, tiles: DataFrame, sets: DataFrame, percent: in
         if not light.join(small.filter("apart").select("tile").distinct(), "tile", "left_semi").isEmpty():
             parts = in_blocks(light.drop("rest").withColumnRenamed("blocks", "all"), block).withColumnRenamed("block", "x")
             chunks = parts.groupBy("tile").agg(F.max("blocks").alias("chunks"))
-            a = parts.select("tile", "x", spread("all", "block"), "node", "root", "apart", F.lit(True).alias("stands"))
-            b = small.join(chunks, "tile").select("tile", spread("chunks", "x"), "block", "node", "root", "apart", F.lit(False).alias("stands"))
-            links.append(scratch.store(name("disjoint"), compare(of(a.unionByName(b)), "tile", "x", "block")))
+            a = parts.select("tile", "x", spread("all", "y"), "node", "root")
+            b = small.join(chunks, "tile").select("tile", spread("chunks", "x"), F.col("block").alias("y"), "node", "root")
+            links.append(compared(name("disjoint"), likely(name("disjoint-alive"), a.unionByName(b)), sets))
 
         # rests that share a key
         keyed = rests.select("tile", "node", "root", F.explode("keys").alias("key"))
@@ -340,8 +391,7 @@ def class_links(scratch: Scratch, tiles: DataFrame, sets: DataFrame, percent: in
         tiles = scratch.store(name("tiles"), found.join(heads, "tile").select(next_tile, "heads", "node"))
         scratch.drop(name("open"), name("rests"))
         level += 1
-        if tiles.isEmpty():
-            return union_all(links), settled()
+    return union_all(links), settled()
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -360,14 +410,18 @@ def linked_sets(docs: DataFrame, shingle: int, percent: int, block: int) -> tupl
     shared = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").drop("last")
     shared = scratch.store("shared", shared)
     # a bare side, so that a hot key can be split in the join
-    found = only_likely(keys, "key", shared).join(shared.hint("shuffle_hash"), "key").select("head", "node").distinct()
-    tiles = scratch.store("tiles", found.select(F.col("head").alias("tile"), F.array().cast("array<long>").alias("heads"), "node"))
+    found = only_likely(keys, "key", shared).join(shared.hint("shuffle_hash"), "key")
+    found = found.select(F.col("head").alias("tile"), "node").distinct()
+    tiles = scratch.store("tiles", found.withColumn("heads", F.array().cast("array<long>")))
     scratch.drop("keyed", "shared")
     classes = ids.filter("n_shingles > 0 and doc_id is not null").groupBy(F.col("set_a").alias("node"), "set_b").agg(F.min("doc_id").alias("id"))
-    wanted = classes.join(tiles.select("node").distinct(), "node").select("node", "id")
-    sets = scratch.store("sets", fetch_sets(docs, wanted, shingle))
-    links, settled = class_links(scratch, tiles, sets, percent, block)
-    scratch.drop("sets", "tiles")
+    known = scratch.store("known", classes.join(tiles.select("node").distinct(), "node").select("node", "id"))
+    maps = scratch.store("maps", fetch(docs, known, shingle, "maps"))
+
+    def fetch_sets(nodes: DataFrame) -> DataFrame:
+        return fetch(docs, known.join(nodes.distinct(), "node"), shingle, "sets")
+
+    links, settled = class_links(scratch, tiles, maps, fetch_sets, percent, block)
     return scratch, ids, links, settled
 
 
