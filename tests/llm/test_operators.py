@@ -134,6 +134,24 @@ def test_packing(spark):
     assert packing.packed_documents(frame(spark, [])).count() == 0
 
 
+def test_packing_repeated_rows(spark):
+    """Equal rows and rows without an id are documents of their own, each packed once."""
+    same = "lorem ipsum dolor " * 9
+    ids = [1] * 300 + [None] * 300 + [2]
+    rows = packing.packed_documents(frame(spark, [same] * 600 + [None], ids).repartition(3), capacity=64, group_items=50).collect()
+    enc = packing.Encoder(packing.default_tokenizer())
+    size = len(enc.encode(same.encode())) // 4
+    assert sum(r.length for r in rows) == 600 * size + 1 and Counter(r.doc_id for r in rows if r.piece == 0) == {1: 300, None: 300, 2: 1}
+    fill = defaultdict(list)
+    for r in rows:
+        fill[r.sequence_id].append((r.offset, r.length))
+    for parts in fill.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 64
+    full, rest = divmod(size, 64)
+    assert len(fill) <= (600 * full + -(-600 // (64 // rest) if rest else 0)) * 1.02 + 2
+
+
 def test_local_search_improves():
     sizes = np.array([6, 6, 6, 5, 5, 5, 4, 4, 4, 1])
     bad = [[0], [1], [2], [3], [4], [5], [6], [7], [8, 9]]
@@ -224,6 +242,15 @@ def test_grammar_equals_brute_force():
         assert got == [w[1:] for w in want] and len(g.clauses(text)) == len({w[0] for w in want})
 
 
+def test_toxicity_of_very_long_texts(spark):
+    """A megabyte of each part of the grammar, in time in proportion to the length."""
+    model = toxicity.Model(toxicity.Grammar({"dolt": 2.0}), toxicity.PRIOR)
+    began = time.time()
+    texts = ["you dolt " * 120_000, "dolt. " * 150_000, '"dolt ' * 150_000, "x" * 1_000_000, "not " * 250_000, "!" * 1_000_000]
+    rows = {r.doc_id: r.score for r in toxicity.score(frame(spark, texts), model).collect()}
+    assert rows[0] > 0.9 and rows[1] > 0.9 and rows[3] == rows[4] == rows[5] < 0.5 and time.time() - began < 60
+
+
 def test_held_out_recall(spark):
     """On the given tables most toxic documents of the held-out fold are found, and nearly all others left alone."""
     folder = "/root/testdata/sf0.01"
@@ -697,3 +724,17 @@ def test_language_id(spark):
         want = sum(min(abs(ranks[c] - i), 300) if c in ranks else 300 for i, c in enumerate(profile))
         assert profiles.distances(np.array(profile, dtype=np.uint64))[k] == want
     assert language_id.learn_profiles(train.limit(0)).predict("kalo") == ("und", 0.0)
+
+
+def test_language_id_ties_numbers_and_rare_languages(spark):
+    """Equal profiles: the first name wins. Numbers of any kind are no letters. A rare language keeps its profile beside a frequent one."""
+    rows = [(k, "kalo mita", "zz") for k in range(40)] + [(k, "kalo mita", "aa") for k in range(40, 80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = language_id.learn_profiles(docs)
+    assert profiles.names == ["aa", "zz"] and profiles.predict("kalo mita")[0] == "aa"
+    assert all(profiles.predict(x) == ("und", 0.0) for x in ("½ ² ① Ⅷ", "12 ٣", "_", "\u0301")) and profiles.predict("½ kalo")[0] == "aa"
+    many = [(k, f"kalo mita {k}", "aa") for k in range(400)] + [(400 + k, "zug zwo", "rr") for k in range(3)] + [(9, "kalo mita 9", "aa")] * 5
+    few = language_id.learn_profiles(spark.createDataFrame(many, "doc_id long, text string, lang string"), train_docs=20)
+    assert few.predict("zug zwo")[0] == "rr" and few.predict("kalo mita")[0] == "aa"
+    got = language_id.identify(spark.createDataFrame([(1, "kalo", "x")] * 3, "doc_id long, text string, lang string"), few).collect()
+    assert len(got) == 3 and len({(r.lang_pred, r.score) for r in got}) == 1

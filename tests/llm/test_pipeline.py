@@ -59,6 +59,30 @@ def test_near_duplicates_between_thresholds(spark):
     assert {r.doc_id for r in ngram_jaccard.keep_one_per_group(docs).collect()} == {0, 1, 2}
 
 
+def test_odd_tables(spark, tmp_path):
+    """Empty tables, null ids and texts, repeated rows and clashing columns pass through every stage."""
+    base = "doc_id long, text string, lang string, source string, n_chars long"
+    clash = ("n_words", "node", "size", "rep", "tile", "kept_id", "_hash0", "_changed0", "root", "count", "near", "pii_entities")
+    rows = [(1, "mail a.b@c.example.com now"), (1, "mail a.b@c.example.com now"), (1, "another text with the same id " * 5), (None, None), (None, "kept"), (None, "kept"), (2, ""), (3, None)]
+    labels = "doc_id long, quality int, toxic int"
+    bench = spark.createDataFrame([(None, None)], "item_id long, text string")
+    for name, data in (("odd", [(k, t, None, None, None) for k, t in rows]), ("empty", [])):
+        d = f"{tmp_path}/{name}"
+        docs = spark.createDataFrame(data, base).withColumns({c: F.lit("mine") for c in clash})
+        docs.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], labels).write.parquet(f"{d}/labels.parquet")
+        bench.limit(1 if data else 0).write.parquet(f"{d}/benchmark.parquet")
+        now = spark.read.parquet(f"{d}/documents.parquet")
+        for stage, fn in corpus_pipeline.STAGES[:-1]:
+            fn(spark, now, d).write.parquet(f"{d}/{stage}")
+            now = spark.read.parquet(f"{d}/{stage}")
+            assert now.columns == docs.columns and not now.filter(" or ".join(f"{c} <> 'mine'" for c in clash)).count()
+        left = sorted((str(r.doc_id), str(r.text)[:7]) for r in now.collect())
+        want = [("1", "another"), ("1", left[1][1] if len(left) > 1 else ""), ("2", ""), ("3", "None"), ("None", "None"), ("None", "kept"), ("None", "kept")]
+        assert left == (want if data else [])
+        assert {r.doc_id for r in corpus_pipeline.run(spark, d).collect()} == ({1, 2, 3, None} if data else set())
+
+
 def test_registration():
     names = queries.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names} and "pipeline" in names
