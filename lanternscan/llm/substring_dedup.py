@@ -2,6 +2,9 @@
 
 1. Each task hashes the windows of its documents in chunks of a bounded number of words. Within a chunk, repeated
    windows are settled at once; what is left (each window once) is packed by hash range into binary blocks.
+   A chunk makes at most 2 ** COARSE_BITS blocks, so that they do not shrink to a few windows as the corpus and its number of
+   ranges grow. In a larger corpus these coarse ranges are split after a first shuffle: the blocks of some thousand chunks
+   become one block for each fine range.
 2. The blocks of one hash range meet (groupBy on the range). A window found in several chunks stays in the
    document with the smallest doc_id; its other places go back to their chunks as packed positions. A chunk sends a
    window once, so a window in a third of all documents costs one entry per chunk, not one per document.
@@ -32,6 +35,10 @@ WINDOW = 20
 CHUNK_WORDS = 2_000_000
 #: Text bytes per hash range: some two million windows, and at most a few entries per chunk and window.
 RANGE_BYTES = 8 << 20
+#: Hash ranges that a chunk tells apart, as a power of two.
+COARSE_BITS = 12
+#: Chunks whose blocks of a coarse range are split together.
+SPLIT_CHUNKS = 2048
 NULL_ID = np.iinfo(np.int64).max
 
 PACKED = "range long, chunk long, kind int, n long, hashes binary, places binary, starts binary, ids binary"
@@ -129,6 +136,41 @@ def pack_windows(docs: DataFrame, bits: int, window: int, chunk_words: int) -> D
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), text_bytes()).mapInArrow(run, PACKED)
 
 
+def entries(b: dict, i: int, bits: int) -> tuple[np.ndarray, ...]:
+    """Hashes, places, document ids and chunks of the windows of a block: of one chunk (kind 0) or of several (kind 2)."""
+    h = np.cumsum(unpack(b["hashes"][i], b["n"][i]), dtype=np.uint64) + np.uint64(b["range"][i] << (64 - bits))
+    at = unpack(b["places"][i], 4).astype(np.int64)
+    if b["kind"][i] == 2:
+        return h, at, np.frombuffer(zlib.decompress(b["ids"][i]), dtype=np.int64), np.frombuffer(zlib.decompress(b["starts"][i]), dtype=np.int64)
+    doc = np.searchsorted(unsqueeze(b["starts"][i]), at, side="right") - 1
+    return h, at, unsqueeze(b["ids"][i])[doc], np.full(len(at), b["chunk"][i], dtype=np.int64)
+
+
+def split_range(coarse: int, bits: int):
+    """Blocks of some chunks and one coarse range, as one block for each fine range."""
+
+    def fn(batch: pa.Table) -> pa.Table:
+        b = batch.to_pydict()
+        names = [x.split()[0] for x in PACKED.split(", ")]
+        out = [[b[c][i] for c in names] for i, kind in enumerate(b["kind"]) if kind == 1]
+        got = [entries(b, i, coarse) for i, kind in enumerate(b["kind"]) if kind == 0]
+        if got:
+            h, at, ids, chunks = (np.concatenate(x) for x in zip(*got))
+            order = np.argsort(h, kind="stable")
+            h, at, ids, chunks = h[order], at[order], ids[order], chunks[order]
+            ranges = (h >> np.uint64(64 - bits)).astype(np.int64)
+            edges = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1], [True])))
+            for a, z in zip(edges[:-1], edges[1:]):
+                gaps = np.diff(h[a:z], prepend=np.uint64(int(ranges[a]) << (64 - bits)))
+                width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+                more = (zlib.compress(x[a:z].tobytes(), 1) for x in (chunks, ids))
+                out.append([int(ranges[a]), -1, 2, width, pack(gaps, width), pack(at[a:z], 4), *more])
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+        return pa.table([pa.array(c, type=k) for c, k in zip(list(zip(*out)) or [[]] * 8, kinds)], names=names)
+
+    return fn
+
+
 def settle_range(bits: int):
     """Windows of one hash range that several chunks hold: which places are not the first."""
 
@@ -140,19 +182,14 @@ def settle_range(bits: int):
             for k, v in zip(out, row):
                 out[k].append(v)
 
-        hs, at, ids, chunks = [], [], [], []
+        got = []
         for i, kind in enumerate(b["kind"]):
-            if kind:
+            if kind == 1:
                 put(b["chunk"][i], 1, b["n"][i], b["hashes"][i], b["places"][i], b["starts"][i], b["ids"][i])
-                continue
-            base = np.uint64(b["range"][i] << (64 - bits))
-            hs.append(np.cumsum(unpack(b["hashes"][i], b["n"][i]), dtype=np.uint64) + base)
-            at.append(unpack(b["places"][i], 4).astype(np.int64))
-            doc = np.searchsorted(unsqueeze(b["starts"][i]), at[-1], side="right") - 1
-            ids.append(unsqueeze(b["ids"][i])[doc])
-            chunks.append(np.full(len(at[-1]), i, dtype=np.int32))
-        if len(hs) > 1:
-            h, at, ids, chunks = (np.concatenate(x) for x in (hs, at, ids, chunks))
+            else:
+                got.append(entries(b, i, bits))
+        if got:
+            h, at, ids, chunks = (np.concatenate(x) for x in zip(*got))
             order = np.argsort(h)
             h = h[order]
             new = np.ones(len(h), dtype=bool)
@@ -164,7 +201,7 @@ def settle_range(bits: int):
             late = late[np.argsort(chunks[late], kind="stable")]
             cuts = np.flatnonzero(np.diff(chunks[late])) + 1
             for part in np.split(late, cuts) if len(late) else ():
-                put(b["chunk"][int(chunks[part[0]])], 0, 0, squeeze(np.sort(at[part])), None, None, None)
+                put(int(chunks[part[0]]), 0, 0, squeeze(np.sort(at[part])), None, None, None)
         kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
         return pa.table([pa.array(v, type=k) for v, k in zip(out.values(), kinds)], names=list(out))
 
@@ -212,18 +249,22 @@ def chunk_intervals(window: int):
     return fn
 
 
-def range_bits(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> int:
-    """log2 of the number of hash ranges, from the size of all texts."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def range_bits(size: int, range_bytes: int = RANGE_BYTES) -> int:
+    """log2 of the number of hash ranges for texts of ``size`` bytes."""
     return max(3, int(size // range_bytes).bit_length())
 
 
 def removal_intervals(
-    docs: DataFrame, window: int = WINDOW, chunk_words: int = CHUNK_WORDS, range_bytes: int = RANGE_BYTES
+    docs: DataFrame, window: int = WINDOW, chunk_words: int = CHUNK_WORDS, range_bytes: int = RANGE_BYTES, coarse_bits: int = COARSE_BITS
 ) -> DataFrame:
     """doc_id, text_hash, starts, ends: maximal word intervals to remove, for documents that have any."""
-    bits = range_bits(docs, range_bytes)
-    packed = pack_windows(docs, bits, window, chunk_words)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = range_bits(size, range_bytes)
+    packed = pack_windows(docs, min(bits, coarse_bits), window, chunk_words)
+    if bits > coarse_bits:
+        groups = F.lit(max(1, size // (6 * chunk_words * SPLIT_CHUNKS)))
+        together = packed.withColumn("part", F.pmod(F.xxhash64("chunk"), groups))
+        packed = together.groupBy("range", "part").applyInArrow(split_range(coarse_bits, bits), PACKED)
     settled = packed.groupBy("range").applyInArrow(settle_range(bits), SETTLED)
     found = settled.groupBy("chunk").applyInArrow(
         chunk_intervals(window), "doc_id long, text_hash long, starts array<int>, ends array<int>"

@@ -536,15 +536,15 @@ def brute_removed(ids, texts, n=20):
     return out
 
 
-@pytest.mark.parametrize("chunk", [200, 1_000_000])
-def test_substring_dedup(spark, chunk):
+@pytest.mark.parametrize("chunk, coarse", [(200, 12), (200, 2), (1_000_000, 12), (3_000, 1)])
+def test_substring_dedup(spark, chunk, coarse):
     texts = [*corpus(13, 60), "r s " * 60, *near_copies(8, 60, 9)]
     r = random.Random(3)
     ids = r.sample(range(1000), len(texts))
     ids[-1] = ids[-2]
     df = frame(spark, texts, ids).repartition(5)
     got = []
-    for row in substring_dedup.removed(df, chunk_words=chunk, range_bytes=2000).collect():
+    for row in substring_dedup.removed(df, chunk_words=chunk, range_bytes=2000, coarse_bits=coarse).collect():
         w = split(row.text)
         gone = {j for a, z in zip(row.starts or (), row.ends or ()) for j in range(a, z)}
         got.append((row.doc_id, [x for i, x in enumerate(w) if i not in gone]))
