@@ -8,6 +8,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 import string
 from collections.abc import Iterable
 from xml.etree import ElementTree as Xml
@@ -111,9 +112,23 @@ def to_sarif(findings: DataFrame) -> str:
 
 
 def to_template(findings: DataFrame, template: str) -> str:
-    """``$name`` placeholders of finding fields, once per finding (not the template language of other tools)."""
-    t = string.Template(template)
-    return "".join(t.safe_substitute({k: v for k, v in r.asDict().items()}) for r in finding(_ordered(findings)).toLocalIterator())
+    """A text for the findings. Placeholders are ``$rule_id`` or ``{{.RuleID}}``, once per finding.
+
+    ``{{range .}}`` and ``{{end}}`` enclose what is repeated, ``{{len .}}`` outside is the number of findings; a dash inside the
+    braces trims white space. Other actions are not known and stay as they are.
+    """
+    t = re.sub(r"\{\{-\s", "{{", re.sub(r"\s*(?=\{\{-\s)", "", re.sub(r"\s-\}\}\s*", "}}", template)))
+    parts = re.fullmatch(r"(?s)(.*?)\{\{\s*range \.\s*\}\}(.*)\{\{\s*end\s*\}\}(.*)", t)
+    head, body, tail = parts.groups() if parts else ("", t, "")
+    snake = lambda name: re.sub(r"(?<=[a-z])(?=[A-Z])", "_", name).lower()
+    row = string.Template(re.sub(r"\{\{\s*\.(\w+)\s*\}\}", lambda m: "${" + snake(m[1]) + "}", body))
+    shown = lambda v: f"[{' '.join(v)}]" if isinstance(v, list) else v
+    count = re.compile(r"\{\{\s*len \.\s*\}\}")
+    if count.search(head + tail):
+        n = str(findings.count())
+        head, tail = count.sub(n, head), count.sub(n, tail)
+    rows = finding(_ordered(findings)).toLocalIterator()
+    return head + "".join(row.safe_substitute({k: shown(v) for k, v in r.asDict().items()}) for r in rows) + tail
 
 
 FORMATS = {"json": to_json, "csv": to_csv, "junit": to_junit, "sarif": to_sarif}

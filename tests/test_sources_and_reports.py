@@ -194,6 +194,8 @@ def test_reports(spark):
     assert [r["id"] for r in sarif["tool"]["driver"]["rules"]] == ["aws-access-key-id", "private-key-rsa"] and len(sarif["results"]) == 3
     assert sarif["results"][0]["locations"][0]["physicalLocation"]["region"]["startLine"] == 1
     assert reports.render(df, "template", "$rule_id:$start_line;") == "aws-access-key-id:1;private-key-rsa:2;aws-access-key-id:3;"
+    go = "{{len .}} found\n{{- range . }}\n{{.RuleID}} {{ .StartLine }} {{.Tags}} {{.Nope}}\n{{- end}}\nend\n"
+    assert reports.render(df, "template", go).splitlines()[::3] == ["3 found", "aws-access-key-id 3 [aws cloud key] ${nope}"] and reports.render(df, "template", go).endswith("\nend\n")
     assert reports.render(df, "other") == reports.to_json(df)
 
 
