@@ -204,7 +204,7 @@ def compare_group(percent: int):
     return fn
 
 
-REST = "tile long, block int, blocks int, node long, root long, apart boolean, keys array<long>, small boolean, light boolean, rest int, shared long, known boolean"
+REST = "tile long, node long, root long, apart boolean, keys array<long>, small boolean, light boolean, rest int, shared long, known boolean"
 
 
 def rest_keys(percent: int):
@@ -213,7 +213,7 @@ def rest_keys(percent: int):
     def fn(block: pa.Table) -> pa.Table:
         sets, heads = unpacked(block["shingles"]), np.array(block["is_head"].to_pylist(), dtype=bool)
         known = np.unique(np.concatenate([s for s, h in zip(sets, heads) if h]))
-        cols = [block[c].to_pylist() for c in ("tile", "block", "blocks", "node", "root", "apart")]
+        cols = [block[c].to_pylist() for c in ("tile", "node", "root", "apart")]
         nodes, out = block["node"].to_pylist(), []
         are_heads = {nodes[k] for k in np.flatnonzero(heads)}
         for k in np.flatnonzero(~heads):
@@ -222,7 +222,7 @@ def rest_keys(percent: int):
             shared = set_key(np.intersect1d(s, known, assume_unique=True))
             small = len(rest) <= most
             out.append((*(c[k] for c in cols), tile_keys(rest, len(s), percent).view(np.int64), small, 2 * len(rest) <= most, len(rest), shared, nodes[k] in are_heads))
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.bool_()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.bool_()]
         names = [x.split()[0] for x in REST.split(", ")]
         return pa.table([pa.array(list(c), type=k) for c, k in zip(list(zip(*out)) or [[]] * len(kinds), kinds)], names=names)
 
@@ -286,6 +286,15 @@ def in_blocks(tiles: DataFrame, block: int) -> DataFrame:
     return out.withColumn("block", F.pmod(F.xxhash64("node", "tile"), F.col("blocks")).cast("int"))
 
 
+def crossed(left: DataFrame, right: DataFrame, block: int) -> DataFrame:
+    """Rows (tile, x, y, node, root) so that each left member of a tile meets each right one in one group of bounded size."""
+    l, r = (in_blocks(df.select("tile", "node", "root"), block) for df in (left, right))
+    n_l, n_r = (df.groupBy("tile").agg(F.max("blocks").alias("n")) for df in (l, r))
+    a = l.join(n_r, "tile").select("tile", F.col("block").alias("x"), spread("n", "y"), "node", "root")
+    b = r.join(n_l, "tile").select("tile", spread("n", "x"), F.col("block").alias("y"), "node", "root")
+    return a.unionByName(b)
+
+
 def spread(n: str, name: str) -> Column:
     """One row for each number below the column n."""
     return F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
@@ -338,7 +347,7 @@ def class_links(scratch: Scratch, tiles: DataFrame, maps: DataFrame, fetch_sets,
         if first.isEmpty():
             break
 
-        if not links[-1].isEmpty():
+        if not settled():  # links that came after the last roots
             roots = components(union_all(links))
             large = with_root(large.drop("root"), roots)
         links = [roots.select(F.col("node").alias("a"), F.col("root").alias("b"))]
@@ -365,23 +374,21 @@ def class_links(scratch: Scratch, tiles: DataFrame, maps: DataFrame, fetch_sets,
 
         # more of them: what is left of the members without the shingles of the heads
         heads = first.select("tile", F.array_union("heads", "new").alias("heads"))
-        known = many.select("tile", "block", "blocks").distinct().join(heads, "tile").select("tile", "block", "blocks", F.explode("heads").alias("node"))
+        known = many.select("tile", "block").distinct().join(heads, "tile").select("tile", "block", F.explode("heads").alias("node"))
         none = lambda kind: F.lit(None).cast(kind)
-        rows = many.select("tile", "block", "blocks", "node", "root", "apart", F.lit(False).alias("is_head")).unionByName(
+        rows = many.select("tile", "block", "node", "root", "apart", F.lit(False).alias("is_head")).unionByName(
             known.select("*", none("long").alias("root"), none("boolean").alias("apart"), F.lit(True).alias("is_head"))
         )
         rests = scratch.store(name("rests"), of(rows, sets).groupBy("tile", "block").applyInArrow(rest_keys(percent), REST))
 
         # rests that share nothing: the smallest rest stands for those with the same overlap with the heads (heads were compared)
-        light = rests.filter("light").groupBy("tile", "shared").agg(F.min(F.struct("rest", "node", "root", "apart", "blocks", "known")).alias("s"))
+        light = rests.filter("light").groupBy("tile", "shared").agg(F.min(F.struct("rest", "node", "root", "apart", "known")).alias("s"))
         light = light.select("tile", "s.*").filter("not known").drop("known")
         small = rests.filter("small")
         if not light.join(small.filter("apart").select("tile").distinct(), "tile", "left_semi").isEmpty():
-            parts = in_blocks(light.drop("rest").withColumnRenamed("blocks", "all"), block).withColumnRenamed("block", "x")
-            chunks = parts.groupBy("tile").agg(F.max("blocks").alias("chunks"))
-            a = parts.select("tile", "x", spread("all", "y"), "node", "root")
-            b = small.join(chunks, "tile").select("tile", spread("chunks", "x"), F.col("block").alias("y"), "node", "root")
-            links.append(compared(name("disjoint"), likely(name("disjoint-alive"), a.unionByName(b)), sets))
+            pairs = crossed(light, small.filter("apart"), block)
+            pairs = pairs.unionByName(crossed(light.filter("apart"), small.filter("not apart"), block).withColumn("x", -1 - F.col("x")))
+            links.append(compared(name("disjoint"), likely(name("disjoint-alive"), pairs), sets))
 
         # rests that share a key
         keyed = rests.select("tile", "node", "root", F.explode("keys").alias("key"))

@@ -338,6 +338,32 @@ def test_jaccard_templates(spark, percent, shingle):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute_components(texts, percent, shingle)
 
 
+def test_jaccard_templates_without_links(spark):
+    """Hundreds of pages of one template that are not linked, and two that are."""
+    r = random.Random(2)
+    page = lambda n: " ".join([f"t{k}" for k in range(30)] + [f"x{r.randrange(10**8)}" for _ in range(n)])
+    texts = [page(r.randint(14, 30)) for _ in range(300)]
+    for more in ([], [texts[7] + " z"]):
+        got = ngram_jaccard.near_duplicates(frame(spark, [*texts, *more], extra=False), block=32).collect()
+        assert {x.doc_id: x.component_id for x in got} == {k: 7 if k == 300 else k for k in range(300 + len(more))}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_jaccard_late_links(spark, seed):
+    """Links that are found at several levels of refinement hang together in the end."""
+    r = random.Random(seed)
+    base = [f"t{k}" for k in range(60)]
+    inner = [[f"i{g}-{k}" for k in range(14)] for g in range(4)]
+    texts = []
+    for _ in range(120):
+        w = base[: r.choice([40, 50, 60])] + r.choice(inner)[: r.choice([0, 7, 14])] + [f"x{r.randrange(10**6)}" for _ in range(r.choice([0, 1, 3, 9, 20]))]
+        if r.random() < 0.3:
+            w[r.randrange(len(w))] = "edit"
+        texts.append(" ".join(w))
+    got = ngram_jaccard.near_duplicates(frame(spark, texts, extra=False), shingle=2, percent=85, block=5).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute_components(texts, 85, 2)
+
+
 def test_jaccard_odd_rows(spark):
     texts = ["a b c d e f", "a b c d e f", "q r s t", "q r s t", "a b c d e f", None]
     df = frame(spark, texts, [1, 2, 2, 7, None, None])
