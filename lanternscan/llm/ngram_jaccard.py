@@ -10,7 +10,7 @@
    shingle, which fold to a common width. Sets in a compatible size range are compared: bits that only one set has bound the
    overlap from above. Only sets of pairs that pass come themselves, as sorted arrays, and are intersected exactly. A pair that
    is already connected is not compared.
-4. A tile of more than ``BLOCK`` sets is dealt into blocks; up to ``HEADS`` members, the heads, stand in each. That connects near copies by the thousand in
+4. A tile of more than ``BLOCK`` sets (fewer, if they are large) is dealt into blocks; up to ``HEADS`` members, the heads, stand in each. That connects near copies by the thousand in
    linear time. Up to ``BLOCK`` members that are then apart from the tile's largest component are compared with all of the tile. If
    more are apart (a template with different contents, a passage in a third of all documents), what the members share with
    the heads has told nothing. So their rests, without the heads' shingles, get keys of their own and meet in smaller tiles,
@@ -38,7 +38,9 @@ from .components import components
 
 SHINGLE = 3
 PERCENT = 90
-BLOCK = 128
+#: Sets of a tile that are compared in one task, as bitmaps of some hundred bytes; of sets of more than LARGE shingles fewer.
+BLOCK = 2048
+LARGE = 4096
 BAND_RATIO = 1.3
 #: Salts of the small side where large tiles are looked up, so that one tile does not meet in one task.
 SALTS = 16
@@ -112,8 +114,8 @@ def enough(common, n, m, percent: int = PERCENT):
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """A hashed bitmap of a set with two to four bits per element, at least 64 and at most 2**20."""
-    bits = 1 << min(20, max(6, int(2 * len(s) - 1).bit_length()))
+    """A hashed bitmap of a set with two to four bits per element, at least 64 and at most 2**18."""
+    bits = 1 << min(18, max(6, int(2 * len(s) - 1).bit_length()))
     out = np.zeros(bits // 64, dtype=np.uint64)
     at = (mix(s) >> np.uint64(20)) % np.uint64(bits)
     np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
@@ -204,7 +206,7 @@ def compare_group(percent: int):
     return fn
 
 
-REST = "tile long, node long, root long, apart boolean, keys array<long>, small boolean, light boolean, rest int, shared long, known boolean"
+REST = "tile long, weight long, node long, root long, apart boolean, keys array<long>, small boolean, light boolean, rest int, shared long, known boolean"
 
 
 def rest_keys(percent: int):
@@ -213,7 +215,7 @@ def rest_keys(percent: int):
     def fn(block: pa.Table) -> pa.Table:
         sets, heads = unpacked(block["shingles"]), np.array(block["is_head"].to_pylist(), dtype=bool)
         known = np.unique(np.concatenate([s for s, h in zip(sets, heads) if h]))
-        cols = [block[c].to_pylist() for c in ("tile", "node", "root", "apart")]
+        cols = [block[c].to_pylist() for c in ("tile", "weight", "node", "root", "apart")]
         nodes, out = block["node"].to_pylist(), []
         are_heads = {nodes[k] for k in np.flatnonzero(heads)}
         for k in np.flatnonzero(~heads):
@@ -222,7 +224,7 @@ def rest_keys(percent: int):
             shared = set_key(np.intersect1d(s, known, assume_unique=True))
             small = len(rest) <= most
             out.append((*(c[k] for c in cols), tile_keys(rest, len(s), percent).view(np.int64), small, 2 * len(rest) <= most, len(rest), shared, nodes[k] in are_heads))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.bool_()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.bool_()]
         names = [x.split()[0] for x in REST.split(", ")]
         return pa.table([pa.array(list(c), type=k) for c, k in zip(list(zip(*out)) or [[]] * len(kinds), kinds)], names=names)
 
@@ -277,8 +279,8 @@ def fetch(docs: DataFrame, wanted: DataFrame, shingle: int, form: str) -> DataFr
 
 
 def in_blocks(tiles: DataFrame, block: int) -> DataFrame:
-    """Tiles (tile, heads, node, ...) with ``blocks`` (1 for a small tile) and the member's ``block``."""
-    parts = tiles.groupBy("tile", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")).agg(F.count(F.lit(1)).alias("n"))
+    """Tiles (tile, node, weight, ...) with ``blocks`` (1 for a small tile) and the member's ``block``; a block weighs about ``block``."""
+    parts = tiles.groupBy("tile", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")).agg(F.sum("weight").alias("n"))
     counts = parts.groupBy("tile").agg(F.sum("n").alias("n")).filter(F.col("n") > block)
     large = counts.select("tile", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = tiles.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
@@ -288,7 +290,7 @@ def in_blocks(tiles: DataFrame, block: int) -> DataFrame:
 
 def crossed(left: DataFrame, right: DataFrame, block: int) -> DataFrame:
     """Rows (tile, x, y, node, root) so that each left member of a tile meets each right one in one group of bounded size."""
-    l, r = (in_blocks(df.select("tile", "node", "root"), block) for df in (left, right))
+    l, r = (in_blocks(df.select("tile", "node", "root", "weight"), block) for df in (left, right))
     n_l, n_r = (df.groupBy("tile").agg(F.max("blocks").alias("n")) for df in (l, r))
     a = l.join(n_r, "tile").select("tile", F.col("block").alias("x"), spread("n", "y"), "node", "root")
     b = r.join(n_l, "tile").select("tile", spread("n", "x"), F.col("block").alias("y"), "node", "root")
@@ -310,7 +312,7 @@ def with_root(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 def class_links(scratch: Scratch, tiles: DataFrame, maps: DataFrame, fetch_sets, percent: int, block: int) -> tuple[DataFrame, bool]:
     """Links (a, b) that span the components of sets, and whether they are (node, root) of all components already.
 
-    ``tiles`` has tile, heads (of the tiles before it) and node, ``maps`` node, size and bits; ``fetch_sets(nodes)`` gives node and shingles.
+    ``tiles`` has tile, heads (of the tiles before it), node and weight (one for a usual set), ``maps`` node, size and bits; ``fetch_sets(nodes)`` gives node and shingles.
     """
 
     def of(rows: DataFrame, what: DataFrame) -> DataFrame:
@@ -376,13 +378,13 @@ def class_links(scratch: Scratch, tiles: DataFrame, maps: DataFrame, fetch_sets,
         heads = first.select("tile", F.array_union("heads", "new").alias("heads"))
         known = many.select("tile", "block").distinct().join(heads, "tile").select("tile", "block", F.explode("heads").alias("node"))
         none = lambda kind: F.lit(None).cast(kind)
-        rows = many.select("tile", "block", "node", "root", "apart", F.lit(False).alias("is_head")).unionByName(
-            known.select("*", none("long").alias("root"), none("boolean").alias("apart"), F.lit(True).alias("is_head"))
+        rows = many.select("tile", "weight", "block", "node", "root", "apart", F.lit(False).alias("is_head")).unionByName(
+            known.select("*", none("long").alias("weight"), none("long").alias("root"), none("boolean").alias("apart"), F.lit(True).alias("is_head"))
         )
         rests = scratch.store(name("rests"), of(rows, sets).groupBy("tile", "block").applyInArrow(rest_keys(percent), REST))
 
         # rests that share nothing: the smallest rest stands for those with the same overlap with the heads (heads were compared)
-        light = rests.filter("light").groupBy("tile", "shared").agg(F.min(F.struct("rest", "node", "root", "apart", "known")).alias("s"))
+        light = rests.filter("light").groupBy("tile", "shared").agg(F.min(F.struct("rest", "node", "root", "apart", "weight", "known")).alias("s"))
         light = light.select("tile", "s.*").filter("not known").drop("known")
         small = rests.filter("small")
         if not light.join(small.filter("apart").select("tile").distinct(), "tile", "left_semi").isEmpty():
@@ -391,11 +393,11 @@ def class_links(scratch: Scratch, tiles: DataFrame, maps: DataFrame, fetch_sets,
             links.append(compared(name("disjoint"), likely(name("disjoint-alive"), pairs), sets))
 
         # rests that share a key
-        keyed = rests.select("tile", "node", "root", F.explode("keys").alias("key"))
+        keyed = rests.select("tile", "node", "root", "weight", F.explode("keys").alias("key"))
         meet = keyed.groupBy("tile", "key").agg(F.min("node").alias("head"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        found = keyed.join(meet.filter("lo < hi").select("tile", "key", "head"), ["tile", "key"]).select("tile", "head", "node").distinct()
+        found = keyed.join(meet.filter("lo < hi").select("tile", "key", "head"), ["tile", "key"]).select("tile", "head", "node", "weight").distinct()
         next_tile = F.xxhash64("tile", "head", F.lit(level)).alias("tile")
-        tiles = scratch.store(name("tiles"), found.join(heads, "tile").select(next_tile, "heads", "node"))
+        tiles = scratch.store(name("tiles"), found.join(heads, "tile").select(next_tile, "heads", "node", "weight"))
         scratch.drop(name("open"), name("rests"))
         level += 1
     return union_all(links), settled()
@@ -419,10 +421,13 @@ def linked_sets(docs: DataFrame, shingle: int, percent: int, block: int) -> tupl
     # a bare side, so that a hot key can be split in the join
     found = only_likely(keys, "key", shared).join(shared.hint("shuffle_hash"), "key")
     found = found.select(F.col("head").alias("tile"), "node").distinct()
-    tiles = scratch.store("tiles", found.withColumn("heads", F.array().cast("array<long>")))
+    found = scratch.store("found", found)
     scratch.drop("keyed", "shared")
-    classes = ids.filter("n_shingles > 0 and doc_id is not null").groupBy(F.col("set_a").alias("node"), "set_b").agg(F.min("doc_id").alias("id"))
-    known = scratch.store("known", classes.join(tiles.select("node").distinct(), "node").select("node", "id"))
+    classes = ids.filter("n_shingles > 0 and doc_id is not null").groupBy(F.col("set_a").alias("node"), "set_b").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"))
+    known = scratch.store("known", classes.join(found.select("node").distinct(), "node").select("node", "id", "size"))
+    weights = known.groupBy(F.col("node").alias("tile")).agg(F.ceil(F.max("size") / LARGE).alias("weight"))
+    tiles = scratch.store("tiles", found.join(weights, "tile").withColumn("heads", F.array().cast("array<long>")))
+    known = known.drop("size")
     maps = scratch.store("maps", fetch(docs, known, shingle, "maps"))
 
     def fetch_sets(nodes: DataFrame) -> DataFrame:
