@@ -70,6 +70,16 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+#: Rows that are turned into Python objects at a time; an Arrow batch may hold twenty times as many, and long texts.
+SLICE = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def map_documents(
     docs: DataFrame,
     columns: Iterable,
@@ -85,7 +95,7 @@ def map_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = build()
-        for batch in batches:
+        for batch in slices(batches):
             got = fn(*[c.to_pylist() for c in batch.columns])
             for cols in [got] if isinstance(got, (list, tuple)) else got:
                 yield pa.RecordBatch.from_arrays(
@@ -102,7 +112,7 @@ def filter_documents(docs: DataFrame, build: Callable[[], Callable[[list[bytes |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = build()
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(keep(batch.column(at).cast(pa.binary()).to_pylist()), type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
