@@ -14,7 +14,6 @@ equal results; a null doc_id belongs to the training fold only if it has a fold,
 
 from __future__ import annotations
 
-import re
 import sys
 from functools import lru_cache
 
@@ -30,10 +29,9 @@ FOLDS, HELD_OUT_FOLD = 4, 2
 
 
 @lru_cache(maxsize=1)
-def not_letters() -> re.Pattern:
-    """Everything but category L: what is no word character, and digits and other numbers that are."""
-    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-    return re.compile(rf"[\W_{re.escape(numbers)}]+")
+def letter_table() -> np.ndarray:
+    """Whether a code point is a letter, for all code points; made once a worker."""
+    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
 
 
 def fold(folds: int) -> Column:
@@ -42,10 +40,15 @@ def fold(folds: int) -> Column:
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram codes of a text, ascending, with their counts. A code holds up to three code points."""
-    letters = not_letters().sub(" ", text.lower()).strip()
-    if not letters:
+    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
+    letter = np.concatenate(([False], letter_table()[points], [False]))
+    if not letter.any():
         return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    points = np.frombuffer(f" {letters} ".encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+    # every run of other characters becomes one space, and one stands at either end
+    keep = letter.copy()
+    keep[0] = True
+    keep[1:] |= letter[:-1]
+    points = np.where(letter, np.concatenate(([0], points, [0])), 32)[keep].astype(np.uint64)
     space = points == 32
     grams = [points[~space]]
     code = points
@@ -91,8 +94,8 @@ def learn_profiles(docs: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PR
     """Count n-grams per language in Spark; only the top ``size`` of each language reach the driver."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     rates = usable.groupBy(F.col("lang").alias("_lang")).agg((F.lit(1e6) * train_docs / F.count(F.lit(1))).alias("_rate"))
-    # one row per language; a rare language keeps all its documents
-    usable = usable.select("doc_id", "lang", "text").join(F.broadcast(rates), F.col("lang") == F.col("_lang"))
+    # a rare language keeps all its documents; one row per language, whose number Spark checks before it broadcasts them
+    usable = usable.select("doc_id", "lang", "text").join(rates, F.col("lang") == F.col("_lang"))
     usable = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("profiles")), F.lit(1_000_000)) < F.col("_rate"))
 
     def build():
