@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, license_scan, ngram_jaccard, packing, pii, quality_rules, substring_dedup, suffix_dedup, toxicity
+from . import decontamination, language_id, license_scan, merkle, ngram_jaccard, packing, pii, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_pii": pii.op9_pii,
         "op10_language_id": language_id.op10_language_id,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
         "pipeline": pipeline,
         "quality_ablations": quality_rules.quality_ablations,
         "license_phrases": license_scan.license_phrases,
@@ -41,6 +42,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_ngram_jaccard_join": ngram_jaccard.ORACLE_SQL,
         "op5_benchmark_decontamination": decontamination.ORACLE_SQL,
         "op8_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op11_merkle_manifest": merkle.ORACLE_SQL,
         "quality_ablations": quality_rules.ABLATION_SQL,
         "license_phrases": license_scan.PHRASES_SQL,
     }
