@@ -143,6 +143,16 @@ def only_likely(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return kept.filter(F.col("_bits").bitwiseAND(bit(column)) != 0).drop("_word", "_bits")
 
 
+#: Rows of a table that may be sent to every task.
+FEW = 50_000
+
+
+def small_or_shuffled(df: DataFrame) -> DataFrame:
+    """A narrow table for a join: broadcast when it has at most ``FEW`` rows, which are counted; else as it is, for a shuffle."""
+    rows = df.limit(FEW + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= FEW else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, ``spark.checkpoint.dir``; the warehouse where none is named, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -190,11 +200,6 @@ class Scratch:
         self.drop(*(self.names - set(names)))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder: compressed, where a checkpoint is not."""
-    return write_table(df, f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext

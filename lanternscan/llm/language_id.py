@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_documents, table, text_bytes
+from .common import map_documents, small_or_shuffled, table, text_bytes
 
 PROFILE = 300
 TRAIN_DOCS = 2_000
@@ -94,8 +94,8 @@ def learn_profiles(docs: DataFrame, train_docs: int = TRAIN_DOCS, size: int = PR
     """Count n-grams per language in Spark; only the top ``size`` of each language reach the driver."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     rates = usable.groupBy(F.col("lang").alias("_lang")).agg((F.lit(1e6) * train_docs / F.count(F.lit(1))).alias("_rate"))
-    # a rare language keeps all its documents; one row per language, whose number Spark checks before it broadcasts them
-    usable = usable.select("doc_id", "lang", "text").join(rates, F.col("lang") == F.col("_lang"))
+    # a rare language keeps all its documents
+    usable = usable.select("doc_id", "lang", "text").join(small_or_shuffled(rates), F.col("lang") == F.col("_lang"))
     usable = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("profiles")), F.lit(1_000_000)) < F.col("_rate"))
 
     def build():

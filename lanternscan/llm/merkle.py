@@ -28,11 +28,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, table
+from .common import Scratch, small_or_shuffled, table
 
 FAN = 8
-#: Groups up to this many are sent to every task with their sizes.
-FEW_GROUPS = 50_000
 #: The name of the tree over the subroots; names of groups begin with another character.
 TOP = "^"
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -197,8 +195,7 @@ def manifest(rows: DataFrame, group: str, key: str, columns: Sequence[str], chan
     leaves = number_rows(hashed, scratch, "leaves", "tree", [F.col("key").asc_nulls_first(), F.col("leaf").asc()])
     counts = scratch.store("counts", leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("n")))
     n_groups = counts.count()
-    # many groups are joined by a shuffle, whose large parts Spark splits
-    counts = F.broadcast(counts) if n_groups <= FEW_GROUPS else counts
+    counts = small_or_shuffled(counts)  # in a shuffle of many groups Spark splits the large parts
     runs = leaves.groupBy("tree", F.floor(F.col("pos") / FAN).alias("pos")).agg(F.array_sort(F.collect_list(F.struct("pos", "key", "leaf", "changed"))).alias("kids"))
     whole = parent_of(joined(F.col("kids.leaf")))
     # a leaf alone is its subroot
