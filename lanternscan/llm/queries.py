@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, license_scan, merkle, ngram_jaccard, packing, pii, quality_rules, substring_dedup, suffix_dedup, token_files, toxicity
+from . import decontamination, language_id, license_scan, merkle, ngram_jaccard, packing, pii, quality_rules, substring_dedup, suffix_dedup, token_files, toxicity, whitening
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": pii.op9_pii,
         "op10_language_id": language_id.op10_language_id,
         "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_embedding_whitening": whitening.op12_embedding_whitening,
         "op13_token_files": token_files.op13_token_files,
         "pipeline": pipeline,
         "quality_ablations": quality_rules.quality_ablations,

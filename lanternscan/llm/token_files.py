@@ -45,7 +45,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: White space and the word behind it. No token reaches from a word into the white space behind, so chunks are encoded one by one.
 CHUNK = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: White space beyond ASCII, which may continue such a run.
-OTHER_SPACE = re.compile("[\x85\xa0  -     　]")
+OTHER_SPACE = re.compile("[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def default_tokenizer() -> str:
