@@ -20,7 +20,9 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ SEQUENCE = 2048
 END_ID = 2
 #: Sequences in a batch.
 BATCH_ROWS = 256
-#: Chunks whose ids a task remembers, and the longest that are.
-CACHE_CHUNKS, CACHE_BYTES = 300_000, 64
+#: Chunks and words whose ids a worker remembers (about 150 bytes each), and the longest that are.
+CACHE_CHUNKS, CACHE_WORDS, CACHE_BYTES = 1_500_000, 1_000_000, 64
 #: A chunk beyond this is encoded pretoken by pretoken, as the library's record of a token is many times as large as its text.
 LONG_CHUNK = 1 << 20
 MANIFEST = "part int, ids_path string, docs_path string, n_ids long, n_docs long, n_sequences long"
@@ -48,6 +50,13 @@ CHUNK = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 OTHER_SPACE = re.compile("[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+#: A chunk of one Latin word, which is a pretoken with the space before it, and marks, which are another.
+PLAIN = re.compile("(?:\n|( ))?([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Letters that stand for bytes in the vocabulary: printable bytes for themselves, the others from 256 on.
+BYTE_LETTERS = {b: b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+BYTE_LETTERS |= {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in BYTE_LETTERS)}
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -65,6 +74,18 @@ class ChunkEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.pretoken = regex.compile(PRETOKEN)
+        self.model, self.words = self.tokenizer.model, {}
+
+    def word(self, word: str) -> bytes:
+        """Ids of one pretoken."""
+        out = self.words.get(word)
+        if out is None:
+            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LETTERS))
+            out = array("H" if self.dtype.itemsize == 2 else "I", [t.id for t in tokens]).tobytes()
+            if len(self.words) >= CACHE_WORDS:
+                self.words.clear()
+            self.words[word] = out
+        return out
 
     def encode_text(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -75,7 +96,11 @@ class ChunkEncoder(dict):
             specials = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
             parts = re.split(f"({'|'.join(specials)})", text) if specials else [text]
             return b"".join(self.encode_text(m) for p in parts for m in ([p] if p and specials and re.fullmatch("|".join(specials), p) else self.pretoken.findall(p)))
-        out = self.encode_text(text)
+        plain = PLAIN.fullmatch(text)
+        if plain:
+            out = (self.word("\n") if text[0] == "\n" else b"") + self.word((plain[1] or "") + plain[2]) + (self.word(plain[3]) if plain[3] else b"")
+        else:
+            out = self.encode_text(text)
         if len(chunk) <= CACHE_BYTES:
             if len(self) >= CACHE_CHUNKS:
                 self.clear()
@@ -91,6 +116,12 @@ class ChunkEncoder(dict):
             yield b"".join(map(self.__getitem__, CHUNK.findall(data)))
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> ChunkEncoder:
+    """One for all tasks of a worker, so that what it remembers serves the next task."""
+    return ChunkEncoder(path)
+
+
 def open_folder(uri: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
 
@@ -150,6 +181,7 @@ class SequenceFile:
         said = self.reader.schema.metadata
         self.length, self.rows = int(said[b"length"]), int(said[b"batch_rows"])
         self.n_batches = self.reader.num_record_batches
+        self.at, self.view = -1, None  # the batch that was read last, as documents come in order
 
     def __len__(self) -> int:
         last = self.reader.get_batch(self.n_batches - 1).num_rows if self.n_batches else 0
@@ -174,7 +206,9 @@ class SequenceFile:
         """The ids [start, start + length) of the file, in one view per batch that they lie in."""
         size = self.rows * self.length
         while length > 0:
-            part = self.flat(start // size).to_numpy(zero_copy_only=True)[start % size :][:length]
+            if start // size != self.at:
+                self.at, self.view = start // size, self.flat(start // size).to_numpy(zero_copy_only=True)
+            part = self.view[start % size :][:length]
             yield part
             start, length = start + len(part), length - len(part)
 
@@ -199,7 +233,7 @@ def write_tokens(
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         files, inner = open_folder(folder)
-        encoder = ChunkEncoder(path)
+        encoder = encoder_of(path)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         n_docs = 0
         with files.open_output_stream(f"{inner}/{name}.ids.arrow") as ids_sink, files.open_output_stream(f"{inner}/{name}.docs.arrow") as docs_sink:
