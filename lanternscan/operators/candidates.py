@@ -3,7 +3,8 @@
 One or two keywords become plain ``contains`` expressions. More (the built-in catalogue has hundreds) are looked up by one
 automaton pass over each text in Arrow batches, which costs the same for one rule or a thousand. Either way a text comes
 out with the numbers of its candidate rules, so that rules join by number instead of by a nested loop. An empty text has the
-rules without keywords as candidates, a null text has none.
+rules without keywords as candidates, a null text has none. Before patterns are tried, rules whose further conditions a text does not
+meet (``factors``) are taken out.
 
 Patterns are tested as literals, chosen by the rule's number: a literal is compiled once a task, a pattern in a column for each row.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lanternscan.operators.factors import guard
 from lanternscan.plans.ruleset import RuleSet
 
 NATIVE_KEYWORDS = 2
@@ -48,13 +50,38 @@ def keyword_lookup(words: dict[str, list[int]], always: list[int]) -> Callable[[
     return fast if words else lambda text: list(always)
 
 
-def with_candidates(df: DataFrame, text: str, rs: RuleSet) -> DataFrame:
-    """The rows whose text has a candidate rule, with ``rule_ords``."""
+def keywords_of(rs: RuleSet) -> tuple[dict[str, list[int]], list[int]]:
+    """Rule numbers by keyword, and those of rules without any."""
     words: dict[str, list[int]] = {}
     for k, r in enumerate(rs.rules):
         for w in {w.lower() for w in r.keywords}:
             words.setdefault(w, []).append(k)
-    always = [k for k, r in enumerate(rs.rules) if not r.keywords]
+    return words, [k for k, r in enumerate(rs.rules) if not r.keywords]
+
+
+def candidate_lookup(rs: RuleSet, by_factors: bool = True) -> Callable[[], Callable[[str], list[int]]]:
+    """What a task calls to get its function from a text to the numbers of the rules that may match it."""
+    words, always = keywords_of(rs)
+    patterns = [r.regex for r in rs.rules]
+
+    def build() -> Callable[[str], list[int]]:
+        look = keyword_lookup(words, always)
+        if not by_factors:
+            return lambda text: look(text.lower())
+        passed = guard(patterns)
+
+        def both(text: str) -> list[int]:
+            low = text.lower()
+            return passed(low, look(low))
+
+        return both
+
+    return build
+
+
+def with_candidates(df: DataFrame, text: str, rs: RuleSet, by_factors: bool = False) -> DataFrame:
+    """The rows whose text has a candidate rule, with ``rule_ords``: by keywords alone, or by all conditions."""
+    words, _ = keywords_of(rs)
     if len(words) <= NATIVE_KEYWORDS:
         low = F.lower(text)
         hits = []
@@ -68,11 +95,12 @@ def with_candidates(df: DataFrame, text: str, rs: RuleSet) -> DataFrame:
 
     at, names = df.columns.index(text), [*df.columns, "rule_ords"]
     schema = T.StructType(df.schema.fields + [T.StructField("rule_ords", T.ArrayType(T.IntegerType()))])
+    build = candidate_lookup(rs, by_factors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = keyword_lookup(words, always)
+        look = build()
         for batch in batches:
-            found = [[] if x is None else look(x.lower()) for x in batch.column(at).to_pylist()]
+            found = [[] if x is None else look(x) for x in batch.column(at).to_pylist()]
             keep = [bool(f) for f in found]
             if any(keep):
                 out = batch.filter(pa.array(keep))
@@ -97,9 +125,9 @@ def by_number(number: Column, values: list[Column], first: int = 0) -> Column:
     return out
 
 
-def candidate_rules(df: DataFrame, text: str, rs: RuleSet) -> DataFrame:
-    """Rows x candidate rules whose path filter fits and whose pattern is found in the text; the rules are a broadcast table."""
-    pairs = with_candidates(df, text, rs).withColumn("rule_ord", F.explode("rule_ords")).drop("rule_ords")
+def matching_rules(df: DataFrame, text: str, rs: RuleSet) -> DataFrame:
+    """Rows (with ``rule_ords``) x rules whose path filter fits and whose pattern is found in the text; the rules are a broadcast table."""
+    pairs = df.withColumn("rule_ord", F.explode("rule_ords")).drop("rule_ords")
     if rs.rules:
         hits = []
         for row in rs.rows():
@@ -108,3 +136,8 @@ def candidate_rules(df: DataFrame, text: str, rs: RuleSet) -> DataFrame:
             hits.append(F.rlike(F.col("path"), F.lit(path_regex)) & found if path_regex else found)
         pairs = pairs.filter(by_number(F.col("rule_ord"), hits))
     return pairs.join(rs.table(df.sparkSession), "rule_ord")
+
+
+def candidate_rules(df: DataFrame, text: str, rs: RuleSet) -> DataFrame:
+    """Rows x rules that match their text, with the rules' columns."""
+    return matching_rules(with_candidates(df, text, rs, by_factors=True), text, rs)

@@ -76,6 +76,14 @@ class RuleSet:
         """Lines around a match that proximity conditions may look at."""
         return max([0, *(max(q.within_lines for q in r.required) or DEFAULT_RADIUS for r in self.rules if r.required)])
 
+    def required_patterns(self) -> dict[str, list[tuple[str, ...]]]:
+        """Distinct required patterns, translated, with the keywords of each rule that asks for one."""
+        out: dict[str, list[tuple[str, ...]]] = {}
+        for r in self.rules:
+            for q in r.required:
+                out.setdefault(_translate(r.id, "required", q.regex), []).append(tuple(w.lower() for w in r.keywords))
+        return out
+
     def rows(self) -> list[tuple]:
         out = []
         for k, r in enumerate(self.rules):
@@ -95,15 +103,15 @@ class RuleSet:
         return F.broadcast(spark.createDataFrame(self.rows(), RULE))
 
 
-def allowed(a: Column, secret: Column, match: Column, line: Column, path: Column, commit: Column) -> Column:
-    """Whether one allowlist (a struct) suppresses: any of its present checks, or all of them."""
+def allowed(a: Column, secret: Column, match: Column, line: Column, path: Column, commit: Column, found: Column | None = None) -> Column:
+    """Whether one allowlist (a struct) suppresses: any of its present checks, or all of them. ``found``: whether a pattern fits, if known."""
     target = F.when(a.target == "match", match).when(a.target == "line", line).otherwise(secret)
     low = F.lower(secret)
     commit = F.coalesce(commit, F.lit(""))
     checks = [
         (F.size(a.commits) > 0, F.array_contains(a.commits, commit) | ((F.length(commit) >= 7) & F.array_contains(a.commits, F.substring(commit, 1, 7)))),
         (F.size(a.paths) > 0, F.exists(a.paths, lambda p: F.rlike(path, p))),
-        (F.size(a.regexes) > 0, F.exists(a.regexes, lambda p: F.rlike(target, p))),
+        (F.size(a.regexes) > 0, F.exists(a.regexes, lambda p: F.rlike(target, p)) if found is None else found),
         (F.size(a.stop_words) > 0, F.exists(a.stop_words, lambda w: F.contains(low, w))),
     ]
     some, every, passed = F.lit(False), F.lit(True), F.lit(False)
@@ -118,14 +126,18 @@ def rule_allowed(secret: Column, match: Column, line: Column, path: Column, comm
     return F.exists(F.col("allow"), lambda a: allowed(a, secret, match, line, path, commit))
 
 
-def globally_allowed(rs: RuleSet, secret: Column, match: Column, line: Column, path: Column, commit: Column) -> Column:
+def globally_allowed(
+    rs: RuleSet, secret: Column, match: Column, line: Column, path: Column, commit: Column, on_line: dict[int, Column] | None = None
+) -> Column:
+    """``on_line``: by number of the allowlist, whether one of its patterns fits the line, where that is known already."""
     out = F.lit(False)
-    for a in rs.allowlists:
+    for k, a in enumerate(rs.allowlists):
         paths, regexes, commits, stops, target, is_and = compile_allowlist(a)
         strings = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
         row = F.struct(
             strings(paths).alias("paths"), strings(regexes).alias("regexes"), strings(commits).alias("commits"),
             strings(stops).alias("stop_words"), F.lit(target).alias("target"), F.lit(is_and).alias("is_and"),
         )
-        out = out | F.exists(F.array(row), lambda x: allowed(x, secret, match, line, path, commit))
+        found = (on_line or {}).get(k)
+        out = out | F.exists(F.array(row), lambda x: allowed(x, secret, match, line, path, commit, found))  # noqa: B023
     return out

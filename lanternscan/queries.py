@@ -280,6 +280,20 @@ def window_dedup(spark, d):
     return every.join(first_hits(hits).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_first")), "rule_id")
 
 
+#: Everything on one line, a global allowlist that looks at that line, and a rule with a required pattern on it.
+_LONG = f"long AS (SELECT doc_id, path, h, replace(text, chr(10), ' ') AS text FROM spiked)"
+LONG_LINE = RuleSet((*KEYED.rules, Rule(id="near-key", regex=r"AKIA[0-9A-F]{16}", keywords=("akia",), required=(Required("key", r"\bkey\b", 1),))), (Allowlist(regexes=("7f\"? *$", "ab$"), regex_target="line"),))
+_LONG_BUF = _BUF.replace("string_split(text, chr(10))[1 + length(pre) - length(replace(pre, chr(10), ''))]", "text")
+_LONG_OK = "NOT regexp_matches(text, '7f\"? *$') AND NOT regexp_matches(text, 'ab$') AND (rule_id <> 'near-key' OR regexp_matches(text, '\\bkey\\b'))"
+
+
+@query("window_long_line", f"WITH {SPIKED}, {_LONG}, {BYTES.replace('FROM spiked', 'FROM long')}, {WINDOWS_SQL}, {rules_cte(LONG_LINE)}, {_LONG_BUF} SELECT rule_id, path AS file, CAST(start_line AS INTEGER) AS start_line, CAST(start_column AS INTEGER) AS start_column, match FROM firsts WHERE n = 1 AND {_LONG_OK}")
+def window_long_line(spark, d):
+    """Contents of one line each, which reaches through all their windows."""
+    one = contents(spark, d).withColumn("content", F.replace("content", F.lit("\n"), F.lit(" ")))
+    return scan_buffers(one, LONG_LINE).select("rule_id", "file", "start_line", "start_column", "match")
+
+
 @query("line_col", f"WITH {SPIKED} SELECT path, CAST(1 + length(pre) - length(replace(pre, chr(10), '')) AS INTEGER) AS line, CAST(strlen(string_split(pre, chr(10))[-1]) + 1 AS INTEGER) AS col FROM (SELECT path, text[1:length(text) // 2] AS pre FROM spiked)")
 def line_col_query(spark, d):
     """Line and byte column of the middle character of each content, natively."""

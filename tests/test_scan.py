@@ -89,7 +89,54 @@ def test_buffer_windows(spark):
 def test_line_index():
     starts = line_starts(b"abc\ndef\nghi")
     assert [line_col(starts, k) for k in (0, 2, 4, 10)] == [(1, 1), (1, 3), (2, 1), (3, 3)]
-    assert line_starts(b"a\n") == [0] and line_starts(b"") == [0]
+    assert line_starts(b"a\n").tolist() == [0] == line_starts(b"").tolist() and line_starts(b"a\n\n\r\nb").tolist() == [0, 2, 3, 5]
+
+
+def test_one_very_long_line(spark):
+    """A content of ten million bytes without a line break: as fast, within a factor, as one with short lines, and exact."""
+    import time
+
+    unit = "x = 1; tok_aaaaaa;" + "y" * 9982
+    rule = Rule(id="t", regex=TOKEN.regex, keywords=("tok_",), required=(Required("r", "x = 1", 1, 8),))
+    sets = [RuleSet((TOKEN,)), RuleSet((rule,)), RuleSet((TOKEN,), (Allowlist(regexes=("no such text",), regex_target="line"),))]
+    took = {}
+    for name, text in (("short", (unit + "\n") * 1000), ("long", unit * 1000)):
+        for k, rs in enumerate(sets):
+            began = time.time()
+            got = buffers(spark, text, rs)
+            took[name, k] = time.time() - began
+            if name == "short":
+                assert got == [(i + 1, 8, i + 1, 18, "tok_aaaaaa") for i in range(1000)]
+            else:  # the required pattern counts where it stands first, at the line's beginning
+                want = [(1, 10_000 * i + 8, 1, 10_000 * i + 18, "tok_aaaaaa") for i in range(1000)]
+                assert got == (want[:1] if k == 1 else want)
+    assert all(took["long", k] < 3 * took["short", k] + 2 for k in range(3)), took
+    hidden = "tok_aaaaaa " + "z" * 9_000_000 + " scan:allow tok_bbbbbb"
+    assert buffers(spark, hidden, RuleSet((TOKEN,))) == [] and buffers(spark, hidden, RuleSet((TOKEN,)), marker="other")[1][1] == 9_000_024
+    away = Allowlist(regexes=("z tok_c",), regex_target="line")
+    assert buffers(spark, hidden, RuleSet((TOKEN,), (away,)), marker="other") != [] == buffers(spark, hidden + "z tok_c", RuleSet((TOKEN,), (away,)), marker="other")
+
+
+def test_factors_are_necessary():
+    import random
+    import re
+
+    from lanternscan.operators.factors import factors, guard
+
+    f = factors(r'(?i)(?:api[_\-]?key|apikey)\s*[:=]\s*["\']([A-Za-z0-9]{16,})["\']')
+    assert f.run == 18 and set(f.clauses) == {("api",), ("key",), ('"', "'"), (":", "=")}
+    assert factors("[[:alpha:]]x{3}").clauses == () == factors(r"\pLabc").clauses and factors("a|bc").clauses == (("a", "bc"),)
+    assert factors(r"(?:ab)?c+[^\s]{4}").run == 5 and factors("a.{9}b").run == 1 and factors("(?:a b|cde){2}").run == 1 and factors(r"x[^,]{9}").run == 1
+    r = random.Random(4)
+    parts = ["a", "b", "B", " ", "\t", "=", "[ab]", "[^a]", r"\s", r"\S", r"\w", ".", "(?:ab|b=)", "(a|b b|c)", "a?", "b*", "(?:a=)+", r"\b", "[ab]{3,5}", "(?: a|b){2}", "é", "^", "$"]
+    for _ in range(3000):
+        pattern = r.choice(["", "(?i)"]) + "".join(r.choice(parts) for _ in range(r.randint(1, 6)))
+        passed = guard([pattern])
+        rx = re.compile(pattern, re.ASCII)
+        for _ in range(15):
+            text = "".join(r.choice("abAB=c \t\x0b\né,") for _ in range(r.randint(0, 14)))
+            if rx.search(text.replace("\x0b", "v")):
+                assert passed(text.lower(), [0]) == [0], (pattern, text)
 
 
 def test_paths_differ(spark):
