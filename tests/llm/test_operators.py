@@ -622,6 +622,33 @@ def test_pii_upper_case_credentials(spark):
     assert re.fullmatch(r"API_KEY=\w{11} APIKEY='\w{11}' aPi_kEy=\w{8} PassWd: \w{8}", new[2]) and new[4] == texts[4]
 
 
+@pytest.mark.parametrize("text,gone,stays", [
+    ('"api_key": "sk_live_abcdefghijklmnop"', ["abcdefghijklmnop"], r'"api_key": "sk_live_\w{16}"'),
+    ("{'password': 'abcdef123456'}", ["abcdef123456"], r"\{'password': '\w{12}'\}"),
+    ('token = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKKF2QT4"', ["hbGciOiJI", "zdWIiOiIx", "SflKxw"], r'token = "\w+\.\w+\.\w+"'),
+    ("see eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKKF2QT4 there", ["hbGciOiJI", "zdWIiOiIx", "SflKxw"], r"see eyJ\w+\.\w+\.\w+ there"),
+    ("password: hunter2!secretpart, next", ["hunter2", "secretpart"], r"password: \w{7}!\w{10}, next"),
+    ("password=Ab!cdefgh99", ["Ab!", "cdefgh99"], r"password=\w\w!\w{8}"),
+    ('password = "correct horse battery"', ["correct", "horse", "battery"], r'password = "\w{7} \w{5} \w{7}"'),
+    ("secret_key: wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", ["wJalr", "EXAMPLEKEY"], r"secret_key: \w{38}"),
+    ("Authorization: Bearer ghp_0123456789abcdefABCDEF0123456789abcd", ["0123456789abcdef"], r"Authorization: Bearer \S{40}"),
+    ("use ghp_0123456789abcdefABCDEF0123456789abcd.", ["0123456789abcdef"], r"use ghp_\w{36}\."),
+    ("DB_PASSWORD=s3cretValue; my-app-token => 'q1w2e3r4t5'", ["s3cretValue", "q1w2e3r4t5"], r"DB_PASSWORD=\w{11}; my-app-token => '\w{10}'"),
+    ("clientSecret: `a b c d e f`, accessToken=abcdefgh", ["a b c", "abcdefgh"], r"clientSecret: `\w \w \w \w \w \w`, accessToken=\w{8}"),
+    ('password = "no end', ["hunter"], r'password = "no end'),
+    ("Frau Anna Schmidt-Müller and Frau Schmidt-Müller; Mr. Sean O'Brien's, Mrs. McDonald", ["Anna", "Schmidt", "Müller", "Brien", "Donald"], r"Frau \w+ (\w+-\w+) and Frau \1; Mr\. \w+ \w+'s, Mrs\. \w+"),
+    ("the token is a secret: no", [], r"the token is a secret: no"),
+])
+def test_pii_leaves_no_part_of_a_secret(spark, text, gone, stays):
+    (row,) = pii.anonymize(frame(spark, [text]), KEY).collect()
+    assert not [x for x in gone if x.lower() in row.text.lower()] and re.fullmatch(stays, row.text), row.text
+
+
+def test_pii_random_key(spark):
+    with pytest.warns(UserWarning):
+        assert pii.key_of(spark) == pii.key_of(spark) and len(pii.key_of(spark)) == 64
+
+
 def test_pii_one_person_one_name(spark):
     """Titles do not change a name; its gender is the given name's, or that of most of its titles; one name without the given name."""
     texts = ["Dr. Maria Lopez met Mrs. Maria Lopez and Prof Maria Lopez.", "Mr. Kim Doe, Dr. Kim Doe, Mr Kim Roe", "Frau Robin Alt; Dr. Robin Alt"]
@@ -648,7 +675,7 @@ def test_pii_phones_and_accounts(spark):
     assert "85a3" not in new[3] and "fe80" not in new[3] and new[3].endswith("not std::abc, 12:30:45 or face::cafe")
 
 
-@pytest.mark.parametrize("shape", ["x@a" + ".a" * 500_000, "x" * 500_000 + "@", "token=" + "aB3" * 350_000, "1-" * 500_000, "AB12 " * 200_000, "+1 " * 300_000, "a:" * 500_000, "1." * 500_000, "Mr. A" + "b" * 1_000_000, "x@" + "a-" * 500_000])
+@pytest.mark.parametrize("shape", ["x@a" + ".a" * 500_000, "x" * 500_000 + "@", "token=" + "aB3" * 350_000, "1-" * 500_000, "AB12 " * 200_000, "+1 " * 300_000, "a:" * 500_000, "1." * 500_000, "Mr. A" + "b" * 1_000_000, "x@" + "a-" * 500_000, 'password="' * 100_000, "token=" + "a.b!" * 250_000, "a_" * 500_000, "Mr. A" + "-Bb" * 300_000, "secret: " * 100_000, "sk_live_" * 100_000, "eyJaaaaaaaa." * 80_000])
 def test_pii_very_long_texts(spark, shape):
     """A megabyte of the shape of each pattern neither overflows the stack nor takes long."""
     (row,) = pii.anonymize(frame(spark, [shape + " mail a.b@c.example.com"]), KEY).collect()
