@@ -211,6 +211,71 @@ def test_diff(spark):
     assert [(r.file, r.start_line, r.commit) for r in scan_lines(added_lines(staged), RuleSet((TOKEN,))).collect()] == [("x", 1, "")]
 
 
+def read_diff(lines_):
+    """A sequential reader of one patch."""
+    import re
+
+    out, inside, sha, who, date, said, after, path, at = [], False, "", ("", ""), "", [], False, "", 0
+    for x in lines_:
+        if x.startswith("commit ") and len(x.encode()) >= 47:
+            inside, sha, who, date, said, after, path, at = False, x.split(" ")[1], ("", ""), "", [], False, "", 0
+        elif x.startswith("diff --git "):
+            inside, at = True, 0
+        elif not inside:
+            if x.startswith("Author: "):
+                m = re.fullmatch(r"(.*?) <(.*)>", x[8:])
+                who = (m[1], m[2]) if m else (x[8:], "")
+            elif x.startswith("Date: "):
+                date, after = x[6:].strip(), True
+            elif after and x.strip():
+                said.append(x.strip())
+        elif x.startswith("+++ b/"):
+            path, at = x[6:], 0
+        elif x.startswith("@@ "):
+            m = re.match(r"[^+]*\+(\d+)", x)
+            at = int(m[1]) if m else 0
+        elif x.startswith("--- "):
+            pass
+        elif x.startswith("+") and not x.startswith("+++"):
+            out.append((path, at, x[1:], sha, *who, date, " ".join(said)))
+            at += 1
+        elif x.startswith(" "):
+            at += 1
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 4096])
+def test_diff_blocks_equal_a_sequential_reader(spark, block):
+    """Patches of many commits, files and hunks, cut anywhere, also inside headers, messages and hunks."""
+    import random
+
+    r = random.Random(block)
+    shas = [f"{k:040d}" for k in range(6)]
+    kinds = [lambda: f"commit {r.choice(shas)}", lambda: "Author: A B <a@b.c>", lambda: "Author: C", lambda: "Date:   Mon", lambda: "", lambda: "    word", lambda: f"diff --git a/f{r.randrange(3)} b/f",
+             lambda: "--- a/x", lambda: f"+++ b/f{r.randrange(3)}", lambda: f"@@ -1,2 +{r.randrange(90)},3 @@", lambda: "@@ -1 @@", lambda: " same", lambda: "-old", *[lambda: f"+new{r.randrange(9)}"] * 12, *[lambda: "diff --git a/x b/x"] * 3, lambda: "+++odd", lambda: "\\ No newline"]
+    made = {f"p{p}": [r.choice(kinds)() for _ in range(r.choice([1, 5, 40, 90]))] for p in range(12)}
+    df = spark.createDataFrame([(p, k, x) for p, xs in made.items() for k, x in enumerate(xs)], "patch_id string, seq int, line string")
+    want = sorted(x for xs in made.values() for x in read_diff(xs))
+    got = sorted(tuple(x) for x in added_lines(df, block=block).collect())
+    assert got == want and len(got) > 50
+
+
+def test_diff_of_one_large_patch_is_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    n = 60_000
+    rows = spark.range(n).select(F.lit("p").alias("patch_id"), F.col("id").cast("int").alias("seq"), F.expr("CASE id WHEN 0 THEN 'diff --git a/x b/x' WHEN 1 THEN '+++ b/x' WHEN 2 THEN '@@ -0,0 +1 @@' ELSE concat('+', id) END").alias("line"))
+    out = added_lines(rows, block=1000)
+    got = out.agg(F.count("*"), F.sum("line_no"), F.max("line_no"), F.bool_and(F.col("line_no") == F.col("line").cast("int") - 2)).first()
+    assert tuple(got) == (n - 3, (n - 3) * (n - 2) // 2, n - 3, True)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert out.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_after_scan(spark):
     rs = RuleSet((TOKEN, Rule(id="num", regex="[0-9]{4}", description="N")))
     found = scan_lines(split_lines(texts(spark, [("b", "tok_aaaaaa\n1234"), ("a", "5678")])), rs)
