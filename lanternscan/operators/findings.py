@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternscan.functions.decode import decode_all
 from lanternscan.functions.text import redact_percent
 from lanternscan.operators.lines import match_rules
 from lanternscan.plans.ruleset import RuleSet, globally_allowed, rule_allowed
-from lanternscan.schema import ORDER
+from lanternscan.schema import ORDER, walk_key
+from lanternscan.sources.files import shared_folder
 
 
 def subtract(findings: DataFrame, known: DataFrame) -> DataFrame:
@@ -26,8 +29,29 @@ def redact(findings: DataFrame, level: int) -> DataFrame:
     ).drop("_r")
 
 
-def order_keys(findings: DataFrame) -> list[str]:
-    return [c for c in ORDER if c in findings.columns]
+def order_keys(findings: DataFrame) -> list[Column]:
+    """The order of discovery, as far as the findings have its columns."""
+    return [walk_key(c) if c == "file" else F.col(c) for c in ORDER if c in findings.columns]
+
+
+def in_order(df: DataFrame, group: str, inner: str, name: str = "nth") -> DataFrame:
+    """``name``: the number of each row from 1, when groups stand in the order of ``group`` and rows in a group have the numbers ``inner``.
+
+    Groups are counted, their counts summed in order by blocks of a range-partitioned sort, and joined back: no task sees all rows. The
+    counts are stored, so that all parts of the plan see the same blocks.
+    """
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = sizes.repartitionByRange(parts, group).withColumn("_part", F.spark_partition_id())
+    inside = Window.partitionBy("_part").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    at = f"{shared_folder(df.sparkSession)}/order-{uuid.uuid4().hex}"
+    placed.write.parquet(at)
+    placed = df.sparkSession.read.schema(placed.schema).parquet(at)
+    totals = placed.groupBy("_part").agg(F.sum("_size").alias("_total"))  # one row per partition of the sort
+    ahead = totals.withColumn("_ahead", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = placed.join(F.broadcast(ahead.select("_part", "_ahead")), "_part").select(group, (F.col("_before") + F.col("_ahead")).alias("_start"))
+    return df.join(starts, group).withColumn(name, (F.col("_start") + F.col(inner)).cast("long")).drop("_start")
 
 
 def limit_findings(findings: DataFrame, most: int) -> DataFrame:
@@ -72,7 +96,7 @@ def add_decoded_tags(findings: DataFrame, rs: RuleSet, max_depth: int) -> DataFr
 def rule_summary(findings: DataFrame) -> DataFrame:
     """Per rule, in order of first appearance: findings and their count."""
     keys = order_keys(findings)
-    order = F.struct(*keys) if keys else F.struct("fingerprint")
+    order = F.struct(*(k.alias(f"k{n}") for n, k in enumerate(keys))) if keys else F.struct("fingerprint")
     return (
         findings.groupBy("rule_id")
         .agg(F.count(F.lit(1)).alias("findings"), F.min_by("description", order).alias("description"), F.min(order).alias("first"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,23 @@ def match_rules(lines: DataFrame, rs: RuleSet) -> DataFrame:
 
     Lines without any keyword are cut off first; patterns run on candidates only. No shuffle.
     """
-    joined = candidate_rules(lines, "line", rs)
+    return _scored(candidate_rules(lines, "line", rs))
+
+
+def match_distinct(lines: DataFrame, rs: RuleSet) -> DataFrame:
+    """The same by content: a text that stands on many lines, in many commits, is matched once, and what matched is joined back to its lines.
+
+    Few texts match, so they are a small side of the join, which Spark broadcasts if it measures them so; a large one is shuffled.
+    """
+    anywhere = replace(rs, rules=tuple(replace(r, path="") for r in rs.rules))
+    texts = lines.select("line").distinct().withColumn("path", F.lit(""))
+    matched = match_rules(texts, anywhere).select(F.col("line").alias("text"), "rule_ord", "full_match", "secret", "entropy")
+    found = lines.join(matched, F.col("line") == F.col("text")).drop("text")
+    found = found.join(rs.table(lines.sparkSession), "rule_ord")
+    return found.filter(F.col("path_regex").isNull() | F.rlike(F.col("path"), F.col("path_regex")))
+
+
+def _scored(joined: DataFrame) -> DataFrame:
     full = F.expr("regexp_extract(line, regex, 0)")
     out = joined.withColumn("full_match", full).withColumn("secret", F.expr("regexp_extract(line, regex, grp)"))
     out = out.withColumn("entropy", shannon_entropy("secret"))
@@ -37,11 +55,14 @@ def commit_column(df: DataFrame) -> Column:
     return F.col("commit") if "commit" in df.columns else F.lit("")
 
 
-def scan_lines(lines: DataFrame, rs: RuleSet, marker: str = ALLOW_MARKER) -> DataFrame:
-    """Findings of lines (path, line_no, line, optional commit, author, email, date, message), plus rule_ord and place."""
+def scan_lines(lines: DataFrame, rs: RuleSet, marker: str = ALLOW_MARKER, by_content: bool = False) -> DataFrame:
+    """Findings of lines (path, line_no, line, optional commit, author, email, date, message), plus rule_ord and place.
+
+    ``by_content`` matches equal lines once, which pays where texts repeat, as in a history.
+    """
     commit, path, line = commit_column(lines), F.col("path"), F.col("line")
     usable = lines.filter(line.isNotNull() & ~has_allow_marker(line, marker))
-    m = match_rules(usable, rs)
+    m = match_distinct(usable, rs) if by_content else match_rules(usable, rs)
     secret, full = F.col("secret"), F.col("full_match")
     m = m.filter(~rule_allowed(secret, full, line, path, commit))
     m = m.filter(~globally_allowed(rs, secret, full, line, path, commit))

@@ -79,7 +79,7 @@ def scan(spark: SparkSession, options: ScanOptions) -> ScanResult:
         if options.staged or (has_git and not options.skip_history):
             patches = git.staged(spark, options.path) if options.staged else git.history(spark, options.path, options.branch)
             lines = added_lines(patches, config.exclude_paths, config.exclude_commits)
-            found = scan_lines(lines, rs, options.marker)
+            found = scan_lines(lines, rs, options.marker, by_content=not options.staged)
             if owner and repo and not options.staged:
                 found = found.withColumn("link", platform_link(options.platform, F.lit(owner), F.lit(repo), F.col("commit"), F.col("file"), F.col("start_line")))
             sources.append(found)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanternscan.functions import text as T
@@ -16,11 +16,12 @@ from lanternscan.functions.decode import decode_all, decode_tags
 from lanternscan.operators.buffers import STEP, WINDOW, first_hits, scan_buffers, window_hits, window_offsets, windows
 from lanternscan.operators.candidates import candidate_rules, with_candidates
 from lanternscan.operators.diffs import added_lines
-from lanternscan.operators.findings import add_decoded_tags, limit_findings, redact, rule_summary, subtract, union_sources
+from lanternscan.operators.findings import add_decoded_tags, in_order, limit_findings, redact, rule_summary, subtract, union_sources
 from lanternscan.operators.lines import match_rules, scan_lines, split_lines
 from lanternscan.plans.ruleset import RuleSet
 from lanternscan.rules.model import Allowlist, Required, Rule
 from lanternscan.rules.samples import samples
+from lanternscan.schema import walk_key
 from lanternscan.sinks import reports
 from lanternscan.sources.archives import archive_lines
 
@@ -394,15 +395,18 @@ def hunk_numbers(spark, d):
 # ---------------------------------------------------------------- diffs
 
 def patches(spark, d) -> DataFrame:
-    """Each spiked document as a patch of one commit that adds its lines in one hunk, one context line before each tenth."""
-    docs = spiked(spark, d)
+    return patches_of(spiked(spark, d), F.col("path"))
+
+
+def patches_of(docs: DataFrame, patch_id: Column) -> DataFrame:
+    """Each document as a patch of one commit that adds its lines in one hunk, one context line before each tenth."""
     head = F.array(
         F.concat(F.lit("commit "), F.substring("h", 1, 40)), F.concat(F.lit("Author: Dev "), F.col("doc_id").cast("string"), F.lit(" <dev@example.org>")),
         F.lit("Date:   Mon Jan 5 10:00:00 2026 +0000"), F.lit(""), F.lit("    Add a"), F.lit("    text"), F.lit(""),
         F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path"), F.lit("--- /dev/null"), F.concat(F.lit("+++ b/"), "path"), F.lit("@@ -0,0 +5,9 @@"),
     )
     body = F.flatten(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 10 == 9, F.array(F.lit(" context"), F.lit("-gone"), F.concat(F.lit("+"), x))).otherwise(F.array(F.concat(F.lit("+"), x)))))
-    return docs.select(F.col("path").alias("patch_id"), F.posexplode(F.concat(head, body)).alias("seq", "line"))
+    return docs.select(patch_id.alias("patch_id"), F.posexplode(F.concat(head, body)).alias("seq", "line"))
 
 
 _DIFF = f"WITH {SPIKED}, added AS (SELECT doc_id, path, h, ls[i] AS line, 4 + i + (i // 10) AS line_no FROM (SELECT doc_id, path, h, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM spiked) WHERE NOT starts_with(ls[i], '++'))"
@@ -416,6 +420,14 @@ def diff_parse(spark, d):
         F.count(F.lit(1)).alias("n_lines"), F.sum("line_no").alias("line_sum"), F.sum(F.length("line")).alias("chars"))
 
 
+@query("history_distinct", _DIFF + f", lines AS (SELECT * FROM added), {rules_cte(KEYED)}, {MATCHED}, {FOUND} SELECT substr(sha256(h || copy), 1, 40) || ':' || path || ':' || rule_id || ':' || line_no AS fingerprint FROM found, (VALUES ('1'), ('2'), ('3')) AS c(copy)")
+def history_distinct(spark, d):
+    """A history in which every document is added in three commits: equal lines are matched once, and their findings belong to each commit."""
+    docs = spiked(spark, d).withColumn("copy", F.explode(F.array(*map(F.lit, "123"))))
+    again = docs.withColumn("h", F.sha2(F.concat("h", "copy"), 256))
+    return scan_lines(added_lines(patches_of(again, F.concat("path", F.lit("@"), "copy"))), KEYED, by_content=True).select("fingerprint")
+
+
 @query("diff_scan", _DIFF + f", lines AS (SELECT * FROM added WHERE NOT starts_with(path, 'src1') AND NOT starts_with(h, '4b22777')), {rules_cte(KEYED)}, {MATCHED}, {FOUND} SELECT {_COMMIT} || ':' || path || ':' || rule_id || ':' || line_no AS fingerprint, 'Dev ' || doc_id AS author FROM found")
 def diff_scan(spark, d):
     return scan_lines(added_lines(patches(spark, d), ["src1"], ["4b22777"]), KEYED).select("fingerprint", "author")
@@ -500,10 +512,32 @@ def source_union(spark, d):
     return both.groupBy("src_ord", "rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("max_findings", with_rules(KEYED, "SELECT path AS file, CAST(line_no AS INTEGER) AS start_line, rule_id FROM found ORDER BY path, line_no, rule_ord LIMIT 25"))
+_NESTED = "CASE doc_id % 3 WHEN 0 THEN path WHEN 1 THEN concat('deep/', cast(doc_id % 7 AS {string}), '/', path) ELSE regexp_replace(path, '^.*/', '') END"
+#: At each depth files come first, by name, then folders, the last name first.
+_WALK = ", ".join(f"len(p) > {k}, CASE WHEN len(p) > {k} THEN p[{k}] END DESC, CASE WHEN len(p) = {k} THEN p[{k}] END" for k in range(1, 6))
+
+
+def nested_lines(spark, d) -> DataFrame:
+    """The spiked lines with some paths deeper and some without a folder."""
+    return split_lines(spiked(spark, d).withColumn("path", F.expr(_NESTED.format(string="STRING"))))
+
+
+def _nested(tail: str) -> str:
+    return with_rules(KEYED, tail).replace(LINES, LINES.replace("FROM spiked", f"FROM (SELECT doc_id, {_NESTED.format(string='VARCHAR')} AS path, h, text FROM spiked)"))
+
+
+@query("max_findings", _nested(f"SELECT path AS file, CAST(line_no AS INTEGER) AS start_line, rule_id FROM (SELECT *, string_split(path, '/') AS p FROM found) ORDER BY {_WALK}, line_no, rule_ord LIMIT 25"))
 def max_findings(spark, d):
-    """The first findings in order of discovery (the limit is the feature)."""
-    return limit_findings(scan_lines(spiked_lines(spark, d), KEYED), 25).select("file", "start_line", "rule_id")
+    """The first findings in the order of a walk through the folders (the limit is the feature)."""
+    return limit_findings(scan_lines(nested_lines(spark, d), KEYED), 25).select("file", "start_line", "rule_id")
+
+
+@query("walk_order", _nested(f"SELECT path AS file, CAST(line_no AS INTEGER) AS start_line, rule_id, row_number() OVER (ORDER BY {_WALK}, line_no, rule_ord) AS nth FROM (SELECT *, string_split(path, '/') AS p FROM found)"))
+def walk_order(spark, d):
+    """All findings, numbered as a walk discovers them: numbers within the files, and how many findings the files before have."""
+    found = scan_lines(nested_lines(spark, d), KEYED).withColumn("walk", walk_key("file"))
+    inner = F.row_number().over(Window.partitionBy("walk").orderBy("place", "rule_ord"))
+    return in_order(found.withColumn("inner", inner), "walk", "inner").select("file", "start_line", "rule_id", "nth")
 
 
 @query("scan_summary", with_rules(BUILTIN, "SELECT rule_id, count(*) AS findings, count(DISTINCT path) AS files FROM found GROUP BY rule_id"))

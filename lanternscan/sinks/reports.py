@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from lanternscan.operators.findings import order_keys, rule_summary
-from lanternscan.schema import NAMES, finding
+from lanternscan.schema import NAMES, ORDER, finding
 
 TOOL = "lanternscan"
 VERSION = "1.0.0"
@@ -46,7 +46,7 @@ def junit_rows(findings: DataFrame) -> DataFrame:
     text = F.format_string("Secret detected in %s at line %d: %s", "file", "start_line", "secret")
     return findings.select(
         F.col("rule_id").alias("suite"), F.concat_ws(":", "file", F.col("start_line").cast("string")).alias("name"),
-        F.col("description").alias("message"), text.alias("text"), *order_keys(findings),
+        F.col("description").alias("message"), text.alias("text"), *(c for c in ORDER if c in findings.columns),
     )
 
 

@@ -1,9 +1,11 @@
-"""Version control as patches. The driver lists commits only; each task asks for its own commits' patches."""
+"""Version control as patches. The driver lists commits only; each task asks for its own commits' patches, by one process, and reads them
+as they come."""
 
 from __future__ import annotations
 
 import re
 import subprocess
+import threading
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,15 +38,45 @@ def patch_rows(patch_id: str, text: str) -> Iterator[pa.RecordBatch]:
         )
 
 
+def log_rows(root: str, shas: list[str], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """(patch_id, seq, line) of the patches of some commits, from one process; a patch begins at its commit's line."""
+    made = subprocess.Popen(
+        ["git", "-C", root, "log", "-p", "--full-history", "--no-walk=unsorted", "--stdin"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE
+    )
+    said: list[bytes] = []
+    feed = threading.Thread(target=lambda: (made.stdin.write("".join(f"{s}\n" for s in shas).encode()), made.stdin.close()), daemon=True)
+    hear = threading.Thread(target=lambda: said.append(made.stderr.read()), daemon=True)
+    feed.start()
+    hear.start()
+    wanted, patch_id, seq = set(shas), "", 0
+    out: tuple[list, list, list] = ([], [], [])
+    flush = lambda: pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1], type=pa.int32()), pa.array(out[2])], names=["patch_id", "seq", "line"])
+    for raw in made.stdout:
+        line = raw.removesuffix(b"\n").decode("utf-8", "replace")
+        if line.startswith("commit ") and line[7:47] in wanted:  # lines of messages and diffs begin with a space or a sign
+            patch_id, seq = line[7:47], 0
+        for column, value in zip(out, (patch_id, seq, line)):
+            column.append(value)
+        seq += 1
+        if len(out[0]) >= rows:
+            yield flush()
+            out = ([], [], [])
+    if out[0]:
+        yield flush()
+    hear.join()
+    if made.wait():
+        raise RuntimeError(f"git log failed: {b''.join(said).decode('utf-8', 'replace').strip()}")
+
+
 def history(spark: SparkSession, root: str, branch: str = "") -> DataFrame:
     """(patch_id, seq, line) of every commit of a branch or of all; the folder must be reachable from the tasks."""
     shas = git(root, "rev-list", "--full-history", check_branch(branch) if branch else "--all").split()
     commits = spark.createDataFrame([(s,) for s in shas], "sha string").repartition(max(1, min(len(shas), 4 * spark.sparkContext.defaultParallelism)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for sha in batch.column(0).to_pylist():
-                yield from patch_rows(sha, git(root, "log", "-p", "-1", "--full-history", sha))
+        shas = [sha for batch in batches for sha in batch.column(0).to_pylist()]  # names only
+        if shas:
+            yield from log_rows(root, shas)
 
     return commits.mapInArrow(run, PATCHES)
 

@@ -287,6 +287,49 @@ def test_after_scan(spark):
     assert count_status(found, exit_code=42) == 42 and count_status(found.limit(0)) == 0 and count_status(found.limit(0), True) == 1
 
 
+def test_order_of_the_walk(spark):
+    """The limit keeps what a walk with a stack of folders finds first."""
+    import random
+
+    from lanternscan.operators.findings import in_order
+    from lanternscan.schema import walk_key
+
+    r = random.Random(8)
+    names = ["a", "b", "ab", "a.b", "é", "B", "z", "a-", "a b"]
+    paths = sorted({"/".join(r.choice(names) for _ in range(r.randint(0, 3))) + "/" + r.choice(names) + ".txt" for _ in range(150)})
+    paths = [p.lstrip("/") for p in paths]
+
+    def walk():
+        stack = [""]
+        while stack:
+            here = stack.pop()
+            inside = {p[len(here):].split("/")[0] + ("/" if "/" in p[len(here):] else "") for p in paths if p.startswith(here)}
+            for name in sorted(inside, key=lambda x: x.rstrip("/").encode()):
+                if name.endswith("/"):
+                    stack.append(here + name)
+                else:
+                    yield here + name
+
+    df = texts(spark, [(p, "tok_aaaaaa\ntok_bbbbbb") for p in r.sample(paths, len(paths))])
+    found = scan_lines(split_lines(df), RuleSet((TOKEN,)))
+    want = [(p, n) for p in walk() for n in (1, 2)]
+    assert [(x.file, x.start_line) for x in limit_findings(found, 2 * len(paths)).collect()] == want
+    assert [(x.file, x.start_line) for x in limit_findings(found, 7).collect()] == want[:7]
+    numbered = in_order(found.withColumn("walk", walk_key("file")), "walk", "start_line").collect()
+    assert [(x.file, x.start_line) for x in sorted(numbered, key=lambda x: x.nth)] == want and {x.nth for x in numbered} == set(range(1, len(want) + 1))
+    inner = texts(spark, [("d/x.zip!m/b.txt",), ("d/x.zip!m/a.txt",), ("d/y.txt",), ("d/w.txt",), ("d/e/f.txt",)], "file string")
+    assert [x.file for x in inner.orderBy(walk_key("file")).collect()] == ["d/w.txt", "d/x.zip!m/a.txt", "d/x.zip!m/b.txt", "d/y.txt", "d/e/f.txt"]
+
+
+def test_matching_by_content(spark):
+    """Equal lines are matched once; paths, commits and allowlists are judged for each."""
+    rows = [(f"d{k % 5}/f{k}.{'env' if k % 2 else 'txt'}", k, "x tok_aaaaaa" if k % 3 else f"tok_bbbbb{k}", f"{k % 4}" * 10) for k in range(60)]
+    df = texts(spark, rows, "path string, line_no int, line string, commit string")
+    rs = RuleSet((TOKEN, Rule(id="env", regex="tok_a+", path=r"\.env$")), (Allowlist(commits=("1" * 10,)), Allowlist(paths=("^d3/",))))
+    one, other = (sorted(map(str, scan_lines(df, rs, by_content=c).collect())) for c in (False, True))
+    assert one == other and len(one) > 30
+
+
 def test_decoded_tags(spark):
     hidden = base64.b64encode(b"a tok_aaaaaa b").decode()
     rs = RuleSet((TOKEN, Rule(id="b64", regex="[A-Za-z0-9+/=]{20,}", tags=("x",))))
