@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lanternscan.functions import sql
 from lanternscan.functions import text as T
 from lanternscan.functions.decode import decode_all, decode_tags
 from lanternscan.operators.buffers import STEP, WINDOW, first_hits, scan_buffers, window_hits, window_offsets, windows
@@ -596,6 +597,35 @@ def json_report(spark, d):
     return parsed.select("j.*")
 
 
+# ---------------------------------------------------------------- from SQL
+
+def spiked_view(spark, d) -> None:
+    """The spiked documents as a view, by SQL alone, and the functions of the rules KEYED."""
+    sql.register(spark, KEYED)
+    spike = _SPIKE.format(base64=f"base64(cast({_HIDDEN} AS BINARY))")
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY VIEW spiked_documents AS SELECT doc_id, path, h, concat(coalesce(text, ''), '\\n', {spike}) AS text"
+        f" FROM (SELECT doc_id, text, {_PATH.format(string='STRING')} AS path, sha2(cast(doc_id AS STRING), 256) AS h FROM parquet.`{d}/documents.parquet`)"
+    )
+
+
+@query("sql_functions", f"WITH {SPIKED} SELECT doc_id, round({ENTROPY.format('h')}, 6) AS bits, substr(h, 1, 19) || '...' AS shown, substr(h, 1, 2) || '...' || right(h, 2) AS ends, '0000000:' || path || ':r:' || doc_id AS fingerprint,"
+       f" 'https://gitlab.com/o/r/-/blob/' || {_COMMIT} || '/' || path || '#L7' AS link, 'Dev ' || doc_id AS author, CAST(doc_id AS INTEGER) AS start, {_HIDDEN} AS decoded, 'a b' || h AS unescaped FROM spiked")
+def sql_functions(spark, d):
+    spiked_view(spark, d)
+    return spark.sql(f"""SELECT doc_id, round(scan_entropy(h), 6) AS bits, scan_redact(h, 30) AS shown, scan_redact_ends(h) AS ends, scan_fingerprint('', path, 'r', doc_id) AS fingerprint,
+        scan_link('GitLab', 'o', 'r', substring(h, 1, 40), path, 7) AS link, scan_author(concat('Dev ', doc_id, ' <d@e.org>')).name AS author, scan_hunk_start(concat('@@ -1,2 +', doc_id, ',3 @@')) AS start,
+        scan_decode_base64(base64(cast({_HIDDEN} AS BINARY))) AS decoded, scan_decode_percent(concat('a%20b', h)) AS unescaped FROM spiked_documents""")
+
+
+@query("sql_match_explode", with_rules(KEYED, "SELECT rule_id, path AS file, CAST(line_no AS INTEGER) AS start_line, CAST(before + 1 AS INTEGER) AS start_column, secret, round(entropy, 6) AS entropy FROM found"))
+def sql_match_explode(spark, d):
+    """Lines and their matches as rows, by SQL alone."""
+    spiked_view(spark, d)
+    return spark.sql("""SELECT rule_id, path AS file, line_no AS start_line, start_column, secret, round(entropy, 6) AS entropy FROM (
+        SELECT path, line_no, inline(found) FROM (SELECT path, line_no, scan_match(line, path, '') AS found FROM (SELECT path, inline(lines) FROM (SELECT path, scan_lines(text) AS lines FROM spiked_documents))))""")
+
+
 # ---------------------------------------------------------------- other tables and streams
 
 PAGE_RULE = RuleSet((Rule(id="page-token", regex=r"token\s*=\s*&quot;([0-9a-f]{40})&quot;", secret_group=1, keywords=("token",)),))
