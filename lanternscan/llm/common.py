@@ -130,27 +130,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 FILTER_BITS = 1 << 24
 
 
-def _flagged(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """``df`` with ``_likely``: whether its long column may be among ``wanted(column)``.
-
-    The filter is a hashed bitmap of a fixed size, which is what makes it safe to broadcast. False hits only cost work.
-    """
+def _bitmap(wanted: DataFrame, column: str) -> tuple[DataFrame, Callable, Callable]:
+    """The filter as a table of words, and the expressions for a value's word and bit."""
     place = lambda c: f"pmod(xxhash64(`{c}`), {FILTER_BITS}L)"
     bit = lambda c: F.expr(f"shiftleft(1L, cast({place(c)} % 64 AS INT))")
     word = lambda c: F.expr(f"{place(c)} div 64")
-    bits = wanted.groupBy(word(column).alias("_word")).agg(F.bit_or(bit(column)).alias("_bits"))
-    joined = df.join(F.broadcast(bits), word(column) == F.col("_word"), "left")
-    return joined.withColumn("_likely", F.coalesce(F.col("_bits").bitwiseAND(bit(column)) != 0, F.lit(False))).drop("_word", "_bits")
+    return wanted.groupBy(word(column).alias("_word")).agg(F.bit_or(bit(column)).alias("_bits")), word, bit
 
 
 def only_likely(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose long column may be among ``wanted(column)``; a join behind it shuffles less."""
-    return _flagged(df, column, wanted).filter("_likely").drop("_likely")
+    """The rows of ``df`` whose long column may be among ``wanted(column)``; a join behind it shuffles less.
+
+    The filter is a hashed bitmap of a fixed size, which is what makes it safe to broadcast. False hits only cost work.
+    """
+    bits, word, bit = _bitmap(wanted, column)
+    kept = df.join(F.broadcast(bits), word(column) == F.col("_word"))
+    return kept.filter(F.col("_bits").bitwiseAND(bit(column)) != 0).drop("_word", "_bits")
 
 
 def split_likely(df: DataFrame, column: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of ``df`` that ``only_likely`` keeps, and the others."""
-    flagged = _flagged(df, column, wanted)
+    bits, word, bit = _bitmap(wanted, column)
+    flagged = df.join(F.broadcast(bits), word(column) == F.col("_word"), "left")
+    flagged = flagged.withColumn("_likely", F.coalesce(F.col("_bits").bitwiseAND(bit(column)) != 0, F.lit(False))).drop("_word", "_bits")
     return flagged.filter("_likely").drop("_likely"), flagged.filter("NOT _likely").drop("_likely")
 
 
