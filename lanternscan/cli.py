@@ -15,7 +15,7 @@ from lanternscan import __version__
 from lanternscan.operators.findings import redact
 from lanternscan.plans.config import safe_relative
 from lanternscan.plans.scan import ScanOptions, scan
-from lanternscan.sinks.reports import formats, render
+from lanternscan.sinks.reports import formats, render, write_document
 
 
 def _between(low: int, high: int):
@@ -75,11 +75,11 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             platform=a.platform, follow_symlinks=a.follow_symlinks,
         ))
         found = redact(result.findings, a.redact).persist()
-        text = render(found, a.format, Path(a.report_template).read_text() if a.report_template else "")
+        template = Path(a.report_template).read_text() if a.report_template else ""
         if report:
-            Path(report).write_text(text, encoding="utf-8")
+            write_document(found, a.format, Path(report).absolute().as_uri(), template)
         else:
-            sys.stdout.write(text)
+            sys.stdout.write(render(found, a.format, template))
         if a.verbose:
             print(*result.warnings, f"{found.count()} findings", sep="\n", file=sys.stderr)
         return a.exit_code if result.truncated or not found.isEmpty() else 0

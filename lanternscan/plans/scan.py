@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from lanternscan.plans.config import Config, load
 from lanternscan.plans.ruleset import RuleSet
 from lanternscan.sources import git
 from lanternscan.sources.archives import archive_lines
-from lanternscan.sources.files import read_baseline, read_files, read_ignore_list, read_lines, read_linked_files, read_pipe
+from lanternscan.sources.files import read_baseline, read_files, read_ignore_list, read_lines, read_linked_files, read_pipe, shared_folder
 
 IGNORE_FILE = ".scanignore"
 
@@ -55,7 +56,7 @@ def compile_rules(config: Config, enabled: list[str]) -> RuleSet:
 
 
 def scan(spark: SparkSession, options: ScanOptions) -> ScanResult:
-    """Findings in order of discovery keys; nothing runs on the data until they are used, but for a limit."""
+    """Findings with the keys of their discovery; nothing runs on the data until they are used, but for a limit."""
     config = load(options.config) if options.config else Config()
     check_globs(config.exclude_paths)
     check_commits(config.exclude_commits)
@@ -86,8 +87,12 @@ def scan(spark: SparkSession, options: ScanOptions) -> ScanResult:
     found = union_sources(sources)
     truncated = False
     if options.max_findings > 0 and not options.stdin:
-        truncated = found.limit(options.max_findings).count() >= options.max_findings
-        found = limit_findings(found, options.max_findings)
+        # the rows that stay are stored, so that nothing is scanned twice
+        at = f"{shared_folder(spark)}/limited-{uuid.uuid4().hex}"
+        limited = limit_findings(found, options.max_findings)
+        limited.write.parquet(at)
+        found = spark.read.schema(limited.schema).parquet(at)
+        truncated = found.count() >= options.max_findings
     ignore = options.ignore_file or os.path.join(options.path, IGNORE_FILE)
     if os.path.isfile(ignore):
         found = subtract(found, read_ignore_list(spark, ignore))

@@ -1,6 +1,7 @@
-"""Reports. Each format is first a projection that Spark can write at any size; a single document is put together from its rows.
+"""Reports. Each format is first a projection that Spark can write at any size; a single document is a header, ordered rows and a footer.
 
-Single documents stream rows to the driver partition by partition; for very many findings write the projections instead.
+``render`` gives a document as a string, for a terminal. ``write_document`` has the tasks render the rows in order into part files,
+which the file system's streams join behind the header, so that the driver holds no findings, however many there are.
 """
 
 from __future__ import annotations
@@ -9,15 +10,19 @@ import csv
 import io
 import json
 import re
-import string
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree as Xml
 
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternscan.operators.findings import order_keys, rule_summary
 from lanternscan.schema import NAMES, ORDER, finding
+from lanternscan.sinks import templates
+from lanternscan.sources.files import shared_folder
 
 TOOL = "lanternscan"
 VERSION = "1.0.0"
@@ -28,6 +33,8 @@ CSV_COLUMNS = {
     "RuleID": "rule_id", "Description": "description", "File": "file", "StartLine": "start_line", "Secret": "secret",
     "Commit": "commit", "Author": "author", "Fingerprint": "fingerprint",
 }
+#: Characters that XML cannot hold.
+NOT_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 
 
@@ -71,72 +78,190 @@ def _ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy(*order_keys(findings)) if order_keys(findings) else findings
 
 
-def to_json(findings: DataFrame) -> str:
-    """An indented array; ``null`` when there is nothing."""
-    rows = [json.loads(r.value) for r in json_rows(_ordered(findings)).toLocalIterator()]
-    return (json.dumps(rows, indent=2, ensure_ascii=False) if rows else "null") + "\n"
+@dataclass
+class Document:
+    """``header``, the strings of ``rows`` (value) with ``separator`` between them, and ``footer``; ``empty`` where there is no row."""
 
+    header: str
+    rows: DataFrame
+    separator: str
+    footer: str
+    empty: str
 
-def to_csv(findings: DataFrame) -> str:
-    out = io.StringIO()
-    w = csv.writer(out, lineterminator="\n")
-    w.writerow(CSV_COLUMNS)
-    w.writerows(csv_rows(_ordered(findings)).toLocalIterator())
-    return out.getvalue()
 
+def _mapped(rows: DataFrame, build: Callable[[], Callable[[dict], str]]) -> DataFrame:
+    """A string per row, in the rows' order, made in the tasks."""
 
-def to_junit(findings: DataFrame) -> str:
-    root, suites = Xml.Element("testsuites"), {}
-    for r in junit_rows(_ordered(findings)).toLocalIterator():
-        suite = suites.get(r.suite)
-        if suite is None:
-            suite = suites[r.suite] = Xml.SubElement(root, "testsuite", name=r.suite)
-        case = Xml.SubElement(suite, "testcase", name=r["name"], classname=r.suite)
-        Xml.SubElement(case, "failure", message=r.message or "", type=r.suite).text = r.text
-    for s in suites.values():
-        s.set("tests", str(len(s)))
-        s.set("failures", str(len(s)))
-    Xml.indent(root)
-    return '<?xml version="1.0" encoding="UTF-8"?>\n' + Xml.tostring(root, encoding="unicode") + "\n"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = build()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([make(r) for r in batch.to_pylist()], type=pa.string())], names=["value"])
 
+    return rows.mapInArrow(run, "value string")
 
-def _plain(x):
-    return {k: _plain(v) for k, v in x.asDict().items()} if isinstance(x, Row) else [_plain(v) for v in x] if isinstance(x, list) else x
 
+def _indented(depth: int) -> Callable[[], Callable[[dict], str]]:
+    pad = " " * depth
 
-def to_sarif(findings: DataFrame) -> str:
-    rules = [{"id": r.rule_id, "shortDescription": {"text": r.description}} for r in sarif_rules(findings).orderBy("first").toLocalIterator()]
-    driver = {"name": TOOL, "semanticVersion": VERSION, "rules": rules}
-    run = {"tool": {"driver": driver}, "results": [_plain(r) for r in sarif_results(_ordered(findings)).toLocalIterator()]}
-    return json.dumps({"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [run]}, indent=2, ensure_ascii=False) + "\n"
+    def build():
+        return lambda r: pad + json.dumps(json.loads(r["value"]), indent=2, ensure_ascii=False).replace("\n", "\n" + pad)
 
+    return build
 
-def to_template(findings: DataFrame, template: str) -> str:
-    """A text for the findings. Placeholders are ``$rule_id`` or ``{{.RuleID}}``, once per finding.
 
-    ``{{range .}}`` and ``{{end}}`` enclose what is repeated, ``{{len .}}`` outside is the number of findings; a dash inside the
-    braces trims white space. Other actions are not known and stay as they are.
-    """
-    t = re.sub(r"\{\{-\s", "{{", re.sub(r"\s*(?=\{\{-\s)", "", re.sub(r"\s-\}\}\s*", "}}", template)))
-    parts = re.fullmatch(r"(?s)(.*?)\{\{\s*range \.\s*\}\}(.*)\{\{\s*end\s*\}\}(.*)", t)
-    head, body, tail = parts.groups() if parts else ("", t, "")
-    snake = lambda name: re.sub(r"(?<=[a-z])(?=[A-Z])", "_", name).lower()
-    row = string.Template(re.sub(r"\{\{\s*\.(\w+)\s*\}\}", lambda m: "${" + snake(m[1]) + "}", body))
-    shown = lambda v: f"[{' '.join(v)}]" if isinstance(v, list) else v
-    count = re.compile(r"\{\{\s*len \.\s*\}\}")
-    if count.search(head + tail):
-        n = str(findings.count())
-        head, tail = count.sub(n, head), count.sub(n, tail)
-    rows = finding(_ordered(findings)).toLocalIterator()
-    return head + "".join(row.safe_substitute({k: shown(v) for k, v in r.asDict().items()}) for r in rows) + tail
+def json_document(findings: DataFrame) -> Document:
+    """An indented array; ``null`` when there is nothing."""
+    return Document("[\n", _mapped(json_rows(_ordered(findings)), _indented(2)), ",\n", "\n]\n", "null\n")
+
 
+def csv_document(findings: DataFrame) -> Document:
+    def line(cells: Iterable) -> str:
+        out = io.StringIO()
+        csv.writer(out, lineterminator="").writerow(cells)
+        return out.getvalue()
 
-FORMATS = {"json": to_json, "csv": to_csv, "junit": to_junit, "sarif": to_sarif}
+    head = line(CSV_COLUMNS)
+    return Document(head + "\n", _mapped(csv_rows(_ordered(findings)), lambda: lambda r: line(r.values())), "\n", "\n", head + "\n")
+
+
+def junit_document(findings: DataFrame) -> Document:
+    """A suite per rule, in order of appearance. A suite's tags are rows of their own, before and behind its cases."""
+    keys = [k.alias(f"k{n}") for n, k in enumerate(order_keys(findings))]
+    suites = rule_summary(findings).select(F.col("rule_id").alias("suite"), F.col("findings"), F.struct("first", "rule_id").alias("at"))
+    none = F.lit(None).cast("string")
+    order = F.struct(*keys) if keys else F.struct(F.lit(0).alias("k0"))
+    text = F.format_string("Secret detected in %s at line %d: %s", "file", "start_line", "secret")
+    cases = findings.select(F.col("rule_id").alias("suite"), F.concat_ws(":", "file", F.col("start_line").cast("string")).alias("name"), F.coalesce("description", F.lit("")).alias("message"), text.alias("text"), order.alias("order"))
+    cases = cases.join(F.broadcast(suites.select("suite", "at")), "suite").select("at", F.lit(1).alias("kind"), "order", "suite", "name", "message", "text", F.lit(None).cast("long").alias("n"))
+    kind = cases.schema["order"].dataType
+    tags = [suites.select("at", F.lit(k).alias("kind"), F.lit(None).cast(kind).alias("order"), "suite", none.alias("name"), none.alias("message"), none.alias("text"), F.col("findings").alias("n")) for k in (0, 2)]
+    rows = tags[0].unionByName(cases).unionByName(tags[1]).orderBy("at", "kind", "order").select("kind", "suite", "name", "message", "text", "n")
+
+    def build():
+        def make(r: dict) -> str:
+            r = {k: NOT_XML.sub("\ufffd", v) if isinstance(v, str) else v for k, v in r.items()}
+            if r["kind"] == 2:
+                return "  </testsuite>"
+            if r["kind"] == 0:
+                made = Xml.Element("testsuite", name=r["suite"], tests=str(r["n"]), failures=str(r["n"]))
+                return "  " + Xml.tostring(made, encoding="unicode").replace(" />", ">")
+            case = Xml.Element("testcase", name=r["name"], classname=r["suite"])
+            Xml.SubElement(case, "failure", message=r["message"], type=r["suite"]).text = r["text"]
+            Xml.indent(case, level=2)
+            return "    " + Xml.tostring(case, encoding="unicode")
+
+        return make
+
+    top = '<?xml version="1.0" encoding="UTF-8"?>\n'
+    return Document(f"{top}<testsuites>\n", _mapped(rows, build), "\n", "\n</testsuites>\n", f"{top}<testsuites />\n")
+
+
+def sarif_document(findings: DataFrame) -> Document:
+    """The rules, of which there are as many as a rule set has, stand in the header."""
+    rules = [{"id": r.rule_id, "shortDescription": {"text": r.description}} for r in sarif_rules(findings).orderBy("first").collect()]
+    driver = {"name": TOOL, "semanticVersion": VERSION, "rules": rules}
+    whole = lambda results: json.dumps({"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results}]}, indent=2, ensure_ascii=False) + "\n"
+    mark = '"\\u0000results"'
+    head, foot = whole(["\0results"]).split(mark)
+    rows = sarif_results(_ordered(findings)).select(F.to_json(F.struct("ruleId", "message", "locations", "fingerprints")).alias("value"))
+    pad = len(head) - len(head.rstrip(" "))
+    return Document(head.rstrip(" "), _mapped(rows, _indented(pad)), ",\n", foot, whole([]))
+
+
+def template_document(findings: DataFrame, template: str) -> Document:
+    """A text for the findings: see ``templates``. What a template has of ranges over all findings is rendered in the tasks; a
+    template of texts and fields only is repeated for each finding."""
+    tree = templates.parse(template)
+    loops = [n for n in tree if templates.lists_findings(n)]
+    if not loops and all(n.kind == "text" or re.fullmatch(r"\.\w+", n.text) for n in tree):
+        tree = loops = [templates.Node("range", ".", tree)]
+    if len(loops) > 1:
+        raise templates.TemplateError("a second range over the findings")
+    dot, names = templates.Findings(lambda: findings.count()), {}
+    names["$"] = dot
+    if not loops:
+        return Document(templates.render(tree, dot, names), findings.select(F.lit("").alias("value")).limit(0), "", "", templates.render(tree, dot, names))
+    at = next(k for k, n in enumerate(tree) if n is loops[0])
+    bound, _ = templates.loop_of(loops[0])
+    if len(bound) == 2:
+        raise templates.TemplateError("findings are not numbered in a range")
+    head, tail = templates.render(tree[:at], dot, names), templates.render(tree[at + 1 :], dot, names)
+    body, known = loops[0].body, {k: v for k, v in names.items() if k != "$"}
+    rows = _mapped(finding(_ordered(findings)), lambda: lambda r: templates.render(body, r, known | {n: r for n in bound}))
+    return Document(head, rows, "", tail, head + templates.render(loops[0].other, dot, dict(names)) + tail)
+
+
+DOCUMENTS = {"json": json_document, "csv": csv_document, "junit": junit_document, "sarif": sarif_document}
+
+
+def document(findings: DataFrame, form: str, template: str = "") -> Document:
+    """The document of a format; unknown formats give JSON."""
+    return template_document(findings, template) if form == "template" else DOCUMENTS.get(form, json_document)(findings)
 
 
 def render(findings: DataFrame, form: str, template: str = "") -> str:
-    """A whole report; unknown formats give JSON."""
-    return to_template(findings, template) if form == "template" else FORMATS.get(form, to_json)(findings)
+    """A whole report as a string. Rows stream to the driver partition by partition."""
+    d = document(findings, form, template)
+    rows = [r.value for r in d.rows.toLocalIterator()]
+    return d.header + d.separator.join(rows) + d.footer if rows else d.empty
+
+
+def write_document(findings: DataFrame, form: str, path: str, template: str = "") -> None:
+    """A whole report as one file at a path of any file system. Tasks write the rows; the driver only joins streams."""
+    d = document(findings, form, template)
+    spark = findings.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    file = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    target = file(path)
+    parts = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    # the writer ends each row with a separator; where a format has none, with a mark that no text holds, which is taken out again
+    end = d.separator or f"\x1e{uuid.uuid4().hex}\n"
+    d.rows.write.option("lineSep", end).text(parts)
+    source = file(parts)
+    files = source.getFileSystem(conf)
+    found = sorted((str(f.getPath().getName()), f.getLen()) for f in files.listStatus(source) if str(f.getPath().getName()).startswith("part-") and f.getLen())
+    out = target.getFileSystem(conf).create(target, True)
+    try:
+        put = lambda text: out.write(bytearray(text.encode()))
+        put(d.header if found else d.empty)
+        for k, (name, size) in enumerate(found):
+            part = files.open(file(f"{parts}/{name}"))
+            if d.separator:
+                keep = size - (len(end.encode()) if k == len(found) - 1 else 0)
+                jvm.org.apache.commons.io.IOUtils.copyLarge(part, out, 0, keep)
+            else:  # rows without anything between them, in blocks
+                mark, held = end.encode(), b""
+                while block := bytes(part.readNBytes(1 << 20)):
+                    held = (held + block).replace(mark, b"")
+                    out.write(bytearray(held[: -len(mark)]))
+                    held = held[-len(mark) :]
+                out.write(bytearray(held))
+            part.close()
+        if found:
+            put(d.footer)
+    finally:
+        out.close()
+        files.delete(source, True)
+
+
+def to_json(findings: DataFrame) -> str:
+    return render(findings, "json")
+
+
+def to_csv(findings: DataFrame) -> str:
+    return render(findings, "csv")
+
+
+def to_junit(findings: DataFrame) -> str:
+    return render(findings, "junit")
+
+
+def to_sarif(findings: DataFrame) -> str:
+    return render(findings, "sarif")
+
+
+def to_template(findings: DataFrame, template: str) -> str:
+    return render(findings, "template", template)
 
 
 def write_rows(findings: DataFrame, form: str, path: str) -> None:
@@ -148,4 +273,4 @@ def write_rows(findings: DataFrame, form: str, path: str) -> None:
 
 
 def formats() -> Iterable[str]:
-    return (*FORMATS, "template")
+    return (*DOCUMENTS, "template")

@@ -199,6 +199,41 @@ def test_reports(spark):
     assert reports.render(df, "other") == reports.to_json(df)
 
 
+def test_documents_equal_what_is_rendered(spark, tmp_path):
+    """The joined part files have the bytes of the rendered report, also with odd characters, many partitions and no findings."""
+    df = found(spark)
+    many = df.crossJoin(spark.range(300).withColumnRenamed("id", "n")).withColumn("start_line", F.col("n").cast("int")).withColumn("secret", F.concat(F.lit("<é\n\x1e&\"'>"), "n")).drop("n")
+    go = "{{len .}}{{range .}}<{{.RuleID}} {{.StartLine}}>{{else}}none{{end}}."
+    for rows in (many.repartition(7), df, df.limit(0)):
+        for form in ("json", "csv", "junit", "sarif", "template"):
+            target = tmp_path / f"report.{form}"
+            reports.write_document(rows, form, target.as_uri(), go)
+            assert target.read_text(newline="") == reports.render(rows, form, go), form
+    text = (tmp_path / "report.junit").read_text()
+    assert text.endswith("<testsuites />\n") and (tmp_path / "report.template").read_text() == "0none."
+    whole = reports.render(many, "junit")
+    want = Xml.ElementTree(Xml.fromstring(whole.split("\n", 1)[1]))
+    assert [(s.get("tests"), len(s)) for s in want.getroot()] == [("600", 600), ("300", 300)]
+    assert json.loads(reports.render(many, "sarif"))["runs"][0]["results"][0]["message"]["text"]
+    assert reports.render(df, "json").startswith('[\n  {\n    "rule_id"') and reports.render(df, "json").endswith("  }\n]\n")
+
+
+def test_template_actions(spark):
+    df = found(spark)
+    give = lambda t: reports.render(df, "template", t)
+    assert give('{{range .}}{{if eq .RuleID "private-key-rsa"}}K{{else if gt .StartLine 2}}late{{else}}{{.StartLine}}{{end}};{{end}}') == "1;K;late;"
+    assert give("{{range .}}{{range .Tags}}[{{.}}]{{else}}none{{end}}|{{end}}").split("|")[0] == "[aws][cloud][key]"
+    assert give('{{range $f := .}}{{range $i, $t := .Tags}}{{if $i}}, {{end}}{{$t}}{{end}}={{$f.StartLine}}\n{{end}}').splitlines()[0] == "aws, cloud, key=1"
+    assert give('{{range .}}{{printf "%-5s|%03d|%q|%5.2f" .RuleID .StartLine "a\\"b" .Entropy | html}} {{end}}').startswith("aws-access-key-id|001|&#34;a\\&#34;b&#34;|")
+    assert give("{{if .}}{{len .}} leaks{{else}}clean{{end}}{{/* a note */}}") == "3 leaks" and reports.render(df.limit(0), "template", "{{if .}}x{{else}}clean{{end}}") == "clean"
+    assert give("{{$n := len .}}{{range .}}{{.StartLine}}/{{$n}} {{end}}") == "1/3 2/3 3/3 "
+    assert give("{{range .}}{{with .Commit}}at {{.}}{{else}}-{{end}}{{if and (gt .StartLine 1) (not .Author)}}!{{end}} {{end}}") == "- -! -! "
+    assert give("{{range .}}\n  {{- .StartLine -}}  \n{{end}}") == "123"
+    for bad in ("{{if .}}", "{{end}}", "{{range .}}{{nope}}{{end}}", "{{range .}}{{.StartLine | nope}}{{end}}", "{{else}}", "{{ }}", "{{(len .}}"):
+        with pytest.raises(Exception):
+            give(bad)
+
+
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.chdir(tmp_path)
     (tmp_path / "src").mkdir()
