@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lanternscan.functions import sql
 from lanternscan.functions import text as T
 from lanternscan.functions.decode import decode_all, decode_tags
+from lanternscan.operators.blocks import scan_blocks
 from lanternscan.operators.buffers import STEP, WINDOW, first_hits, scan_buffers, window_hits, window_offsets, windows
 from lanternscan.operators.candidates import candidate_rules, with_candidates
 from lanternscan.operators.diffs import added_lines
@@ -25,6 +26,8 @@ from lanternscan.rules.samples import samples
 from lanternscan.schema import walk_key
 from lanternscan.sinks import reports
 from lanternscan.sources.archives import archive_lines
+from lanternscan.sources.blocks import BlockSource
+from lanternscan.sources.files import qualified, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -597,6 +600,21 @@ def json_report(spark, d):
     return parsed.select("j.*")
 
 
+_FILED = SPIKED.replace(_PATH.format(string="VARCHAR"), "'part-' || doc_id || '.txt'")
+
+
+@query("scan_file_blocks", f"WITH {_FILED}, {BYTES}, {WINDOWS_SQL}, {rules_cte(KEYED)}, {_BUF} SELECT rule_id, secret, count(*) AS n FROM firsts WHERE n = 1 GROUP BY rule_id, secret")
+def scan_file_blocks(spark, d):
+    """The spiked documents written as a few text files, which are read back as byte ranges and scanned block by block."""
+    import uuid
+
+    at = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    spiked(spark, d).select("text").write.text(at)
+    spark.dataSource.register(BlockSource)
+    blocks = spark.read.format("file_blocks").option("windows", 256).load(qualified(spark, at))
+    return scan_blocks(blocks, KEYED).groupBy("rule_id", "secret").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------- from SQL
 
 def spiked_view(spark, d) -> None:

@@ -61,6 +61,12 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, for tasks that do not know the cluster's default file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def read_pipe(spark: SparkSession, stream: BinaryIO, name: str, block_bytes: int = PIPE_BYTES) -> DataFrame:
     """The lines of a byte stream, numbered, under a fixed name. Blocks of whole lines are stored as they come, and scanned by the tasks."""
     from lanternscan.operators.lines import split_lines
