@@ -7,6 +7,7 @@ DuckDB runs the original patterns with its own engine of their dialect; Spark ru
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -693,6 +694,33 @@ def stream_scan(spark, d):
     return spark.read.parquet(f"{at}/out").groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings"))
 
 
+@query("stream_open_findings", """WITH e AS (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS prev FROM events),
+s AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nth FROM e),
+spans AS (SELECT user_id, event_type, nth, min(ts) AS a, max(ts) AS z FROM s GROUP BY user_id, event_type, nth)
+SELECT user_id, event_type, CASE nth WHEN 1 THEN 'seen' ELSE 'back' END AS kind, a AS at FROM spans UNION ALL SELECT user_id, event_type, 'gone', z + INTERVAL 6 HOUR FROM spans""")
+def stream_open_findings(spark, d):
+    """The events replayed in order of time, in a few batches that go on from one checkpoint: what is seen, gone and back."""
+    import uuid
+
+    from lanternscan.streaming.tracking import track
+
+    events = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    if first is None:
+        return spark.createDataFrame([], "user_id long, event_type string, kind string, at timestamp_ntz")
+    edges = [first + (last - first) * k / 3 for k in range(1, 3)]
+    bounds = list(zip([None, *edges], [*edges, None]))
+    # the clock goes on behind the last event, so that all that is open ends
+    clock = spark.createDataFrame([(None, None, last + 10 * (last - first) + timedelta(days=2))], events.schema)
+    for part in [*(events.filter((F.lit(True) if a is None else F.col("ts") >= a) & (F.lit(True) if z is None else F.col("ts") < z)) for a, z in bounds), clock, clock]:
+        part.write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{at}/in")
+        run = track(stream, ["user_id", "event_type"], gap="6 hours").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.parquet(f"{at}/out").filter("user_id IS NOT NULL").select("user_id", "event_type", "kind", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
