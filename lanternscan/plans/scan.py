@@ -18,8 +18,8 @@ from lanternscan.operators.lines import scan_lines
 from lanternscan.plans.config import Config, load
 from lanternscan.plans.ruleset import RuleSet
 from lanternscan.sources import git
-from lanternscan.sources.archives import archive_lines
-from lanternscan.sources.files import read_baseline, read_files, read_ignore_list, read_lines, read_linked_files, read_pipe, shared_folder
+from lanternscan.sources.archives import archive_lines, zip_lines
+from lanternscan.sources.files import qualified, read_baseline, read_files, read_ignore_list, read_lines, read_linked_files, read_pipe, shared_folder
 
 IGNORE_FILE = ".scanignore"
 
@@ -75,8 +75,11 @@ def scan(spark: SparkSession, options: ScanOptions) -> ScanResult:
         files = read(spark, options.path, options.max_file_mb, config.exclude_paths)
         sources.append(scan_buffers(files, rs, options.marker, platform=options.platform, owner=owner, repo=repo))
         if options.max_archive_depth > 0:
-            inner = scan_lines(archive_lines(files), rs, options.marker)
-            sources[0] = sources[0].unionByName(inner)
+            is_zip = F.lower("path").endswith(".zip")
+            top = qualified(spark, options.path).rstrip("/")
+            zips = files.filter(is_zip).select("path", F.concat_ws("/", F.lit(top), "path").alias("real"))
+            inner = archive_lines(files.filter(~is_zip)).unionByName(zip_lines(zips))
+            sources[0] = sources[0].unionByName(scan_lines(inner, rs, options.marker))
         if options.staged or (has_git and not options.skip_history):
             patches = git.staged(spark, options.path) if options.staged else git.history(spark, options.path, options.branch)
             lines = added_lines(patches, config.exclude_paths, config.exclude_commits)

@@ -26,8 +26,8 @@ from lanternscan.rules.model import Allowlist, Required, Rule
 from lanternscan.rules.samples import samples
 from lanternscan.schema import walk_key
 from lanternscan.sinks import reports
-from lanternscan.sources.archives import archive_lines
-from lanternscan.sources.blocks import BlockSource
+from lanternscan.sources.archives import archive_lines, zip_lines
+from lanternscan.sources.blocks import BlockSource, open_path
 from lanternscan.sources.files import qualified, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -510,6 +510,64 @@ def archive_scan(spark, d):
     return scan_lines(archive_lines(files), KEYED).select("file", "rule_id", "start_line")
 
 
+@query("archive_kinds", with_rules(KEYED, "SELECT path || CASE doc_id % 4 WHEN 0 THEN '.zip!in/a.txt' WHEN 1 THEN '.tar.gz!in/a.txt' WHEN 2 THEN '.bz2!' || regexp_extract(path, '[^/]*$') ELSE '.tar!in/a.txt' END AS file, rule_id, CAST(line_no AS INTEGER) AS start_line FROM found"))
+def archive_kinds(spark, d):
+    """Each spiked document packed as zip, tar, tar with gzip, or bzip2, beside a member whose name steps out of the archive."""
+    import bz2
+    import io
+    import tarfile
+    import zipfile
+
+    suffixes = (".zip", ".tar.gz", ".bz2", ".tar")
+
+    def pack(kind: int, data: bytes) -> bytes:
+        out = io.BytesIO()
+        if kind == 2:
+            return bz2.compress(data, 1)
+        if kind == 0:
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("../up.txt", data)
+                z.writestr("in/a.txt", data)
+        else:
+            with tarfile.open(fileobj=out, mode="w:gz" if kind == 1 else "w") as t:
+                for name in ("/abs.txt", "in/a.txt"):
+                    info = tarfile.TarInfo(name)
+                    info.size = len(data)
+                    t.addfile(info, io.BytesIO(data))
+        return out.getvalue()
+
+    packed = F.pandas_udf(lambda ids, texts: ids.combine(texts, lambda k, t: pack(k % 4, t.encode())), "binary")
+    path = F.concat("path", F.element_at(F.array(*map(F.lit, suffixes)), (F.col("doc_id") % 4 + 1).cast("int")))
+    files = spiked(spark, d).select(path.alias("path"), packed("doc_id", "text").alias("content"))
+    return scan_lines(archive_lines(files), KEYED).select("file", "rule_id", "start_line")
+
+
+@query("zip_members", with_rules(KEYED, "SELECT path AS member, rule_id, CAST(line_no AS INTEGER) AS start_line FROM found"))
+def zip_members_query(spark, d):
+    """The spiked documents written into a few zip files, whose members are read by their ranges, each by any task."""
+    import uuid
+    import zipfile
+
+    at = qualified(spark, f"{shared_folder(spark)}/zips-{uuid.uuid4().hex}")
+    system, inner = open_path(at)
+    system.create_dir(inner, recursive=True)
+
+    def write(batches):
+        import pyarrow as pa
+
+        name = f"part-{uuid.uuid4().hex}.zip"
+        system, inner = open_path(at)
+        with system.open_output_stream(f"{inner}/{name}") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+            for batch in batches:
+                for path, text in zip(*[c.to_pylist() for c in batch.columns]):
+                    z.writestr(path, text)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([f"{at}/{name}"])], names=["path", "real"])
+
+    spiked(spark, d).select("path", "text").mapInArrow(write, "path string, real string").write.parquet(f"{at}/list")
+    found = scan_lines(zip_lines(spark.read.parquet(f"{at}/list")), KEYED)
+    return found.select(F.regexp_extract("file", "!(.*)$", 1).alias("member"), "rule_id", "start_line")
+
+
 @query("source_union", with_rules(KEYED, "SELECT src_ord, rule_id, count(*) AS n FROM found, (VALUES (0), (1)) AS s(src_ord) WHERE src_ord = 0 OR rule_id <> 'github-pat' GROUP BY src_ord, rule_id"))
 def source_union(spark, d):
     found = scan_lines(spiked_lines(spark, d), KEYED)

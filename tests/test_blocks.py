@@ -50,6 +50,29 @@ def test_what_needs_whole_contents(source, tmp_path):
             scan_blocks(blocks, rs)
 
 
+def test_members_of_one_zip_are_many_tasks(source, tmp_path):
+    """A zip of a thousand members: read by their ranges, by every task, and as the archive's own reader gives them."""
+    import zipfile
+
+    from lanternscan.sources.archives import archive_lines, zip_lines, zip_members
+
+    with zipfile.ZipFile(tmp_path / "big.zip", "w") as z:
+        for k in range(1000):
+            z.writestr(zipfile.ZipInfo(f"d{k % 7}/é{k}.txt"), f"line {k}\r\n" + "x" * (k % 50) + "\n", (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2)[k % 3])
+        z.writestr("../out.txt", "no")
+        z.writestr("empty.txt", "")
+    (tmp_path / "bad.zip").write_bytes(b"PK not a zip")
+    (tmp_path / "cut.zip").write_bytes((tmp_path / "big.zip").read_bytes()[:-5000])
+    df = source.createDataFrame([(n, (tmp_path / n).as_uri()) for n in ("big.zip", "bad.zip", "cut.zip")], "path string, real string")
+    assert zip_members(df).count() == 1001
+    whole = source.createDataFrame([("big.zip", bytearray((tmp_path / "big.zip").read_bytes()))], "path string, content binary")
+    lines = zip_lines(df, tasks=8)
+    assert sorted(map(tuple, lines.collect())) == sorted(map(tuple, archive_lines(whole).collect())) and lines.count() == 2000
+    from pyspark.sql import functions as F
+
+    assert lines.select(F.spark_partition_id()).distinct().count() == 8
+
+
 def test_growing_file(source, tmp_path):
     """Batches hold whole lines, each once, cut into ranges of many tasks; the open last line waits for its end."""
     log, out, state = tmp_path / "in" / "app.log", tmp_path / "out", tmp_path / "state"
