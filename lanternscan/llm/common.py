@@ -211,11 +211,3 @@ class Scratch:
     def keep(self, *names: str) -> None:
         """Drop all other tables."""
         self.drop(*(self.names - set(names)))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_documents, table, text_bytes
+from .common import Scratch, map_documents, table, text_bytes
 
 CAPACITY = 2048
 GROUP_ITEMS = 8192
@@ -205,8 +205,8 @@ def pack_group(sizes: np.ndarray, capacity: int, near: int = 96) -> list[list[in
     return done
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, piece, length, row -> sequence_id and offset for items shorter than the capacity.
+def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, piece, length, row -> sequence_id and offset for items shorter than the capacity. Each round is a table in ``scratch``.
 
     Each round deals the pieces of bins that are still underfull into groups by a hash; ``part`` (the partition, then the last
     sequence) keeps equal rows apart.
@@ -239,7 +239,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
         groups = -(-n // group_items)
         last = r == rounds - 1 or groups <= 1
         salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "part", F.lit(r)), F.lit(max(1, groups)))
-        packed = cut(rest.withColumn("group", salt).groupBy("group").applyInArrow(of_round(r), schema))
+        packed = scratch.store(f"round-{r}", rest.withColumn("group", salt).groupBy("group").applyInArrow(of_round(r), schema))
         kept = packed if last else packed.filter(F.col("fill") >= full)
         done = kept if done is None else done.unionByName(kept)
         if last:
@@ -251,13 +251,16 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_IT
 def packed_documents(
     docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS
 ) -> DataFrame:
-    """Every piece with its sequence_id and offset."""
-    cuts = cut(pieces(docs, tokenizer, capacity))
+    """Every piece with its sequence_id and offset; the one table that stays of the job."""
+    scratch = Scratch(docs.sparkSession, "packing")
+    cuts = scratch.store("pieces", pieces(docs, tokenizer, capacity))
     whole = cuts.filter(F.col("length") == capacity).withColumns(
         {"sequence_id": (F.monotonically_increasing_id() + F.lit(1)) * F.lit(-1), "offset": F.lit(0).cast("long")}
     )
     rest = cuts.filter(F.col("length") < capacity).withColumn("part", F.spark_partition_id())
-    return whole.unionByName(pack(rest, capacity, group_items))
+    placed = scratch.store("placed", whole.unionByName(pack(rest, scratch, capacity, group_items)))
+    scratch.keep("placed")
+    return placed
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
