@@ -21,14 +21,16 @@ from lanternscan.operators.candidates import candidate_rules, with_candidates
 from lanternscan.operators.diffs import added_lines
 from lanternscan.operators.findings import add_decoded_tags, in_order, limit_findings, redact, rule_summary, subtract, union_sources
 from lanternscan.operators.lines import match_rules, scan_lines, split_lines
+from lanternscan.plans.config import parse as parse_config
 from lanternscan.plans.ruleset import RuleSet
+from lanternscan.plans.scan import compile_rules
 from lanternscan.rules.model import Allowlist, Required, Rule
 from lanternscan.rules.samples import samples
 from lanternscan.schema import walk_key
 from lanternscan.sinks import reports
 from lanternscan.sources.archives import archive_lines, zip_lines
 from lanternscan.sources.blocks import BlockSource, open_path
-from lanternscan.sources.files import qualified, shared_folder
+from lanternscan.sources.files import qualified, read_baseline, read_ignore_list, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -622,6 +624,71 @@ for _name, _rs in (("rules_enabled", ENABLED), ("rules_disabled", DISABLED), ("r
     query(_name, with_rules(_rs, _COUNT))(_counted(_rs))
 
 
+CONFIG = """
+# rules of a team
+extend:
+  use_default: true
+  disabled_rules: [generic-api-key, "github-pat"]
+exclude_paths:
+  - "src1"
+  - '*.json'
+exclude_commits: [6b86b273ff34fce19d6b804eff5a3f5747ada4ea]
+allowlists:
+  - description: no test values
+    stop_words:
+      - "00"
+      - 'ff'
+rules:
+  # one of our own
+  - id: corpus-token
+    description: "Token"
+    regex: 'token\\s*=\\s*"([0-9a-f]{40})"'
+    secret_group: 1
+    entropy: 3.0
+    keywords: [token]
+    tags:
+      - corpus
+  - id: heroku-api-key
+    description: replaced
+    regex: "heroku_api_key: [0-9a-f-]{36}"
+    path: '\\.(txt|yaml)$'
+    keywords: [heroku]
+""".replace("\\\\", "\\")
+_CONFIGURED = [TOKEN, Rule(id="heroku-api-key", description="replaced", regex="heroku_api_key: [0-9a-f-]{36}", path=r"\.(txt|yaml)$", keywords=("heroku",))]
+
+
+@query("config_scan", with_rules(RuleSet.compile(_CONFIGURED, disabled=["generic-api-key", "github-pat"]), rf"SELECT rule_id, description, {_COMMIT} || ':' || path || ':' || rule_id || ':' || line_no AS fingerprint FROM found WHERE NOT (starts_with(path, 'src1') OR regexp_matches(path, '\.json$') OR starts_with(h, '6b86b273ff34fce19d6b804eff5a3f5747ada4ea') OR contains(lower(secret), '00') OR contains(lower(secret), 'ff'))"))
+def config_scan(spark, d):
+    """A scan as a configuration text asks for it: own, replaced and disabled rules, excluded paths and commits, an allowlist for all."""
+    config = parse_config(CONFIG)
+    lines = spiked_lines(spark, d).withColumn("commit", F.substring("h", 1, 40))
+    lines = lines.filter(~T.excluded_path("path", config.exclude_paths) & ~T.excluded_commit("commit", config.exclude_commits))
+    return scan_lines(lines, compile_rules(config, [])).select("rule_id", "description", "fingerprint")
+
+
+@query("ignore_list", with_rules(KEYED, f"SELECT {_FP} AS fingerprint FROM found WHERE rule_id <> 'heroku-api-key'"))
+def ignore_list(spark, d):
+    """Findings without those of an ignore list, which is written as a text file with comments, blank and padded lines, and read as a source."""
+    import uuid
+
+    found = scan_lines(spiked_lines(spark, d), KEYED)
+    at = f"{shared_folder(spark)}/ignore-{uuid.uuid4().hex}"
+    listed = found.filter("rule_id = 'heroku-api-key'").select(F.explode(F.array(F.concat(F.lit("# "), "rule_id"), F.lit("  "), F.concat(F.lit("  "), "fingerprint", F.lit(" ")))).alias("value"))
+    listed.write.text(at)
+    return subtract(found, read_ignore_list(spark, at)).select("fingerprint")
+
+
+@query("baseline_file", with_rules(KEYED, f"SELECT {_FP} AS fingerprint FROM found WHERE rule_id NOT IN ('github-pat', 'generic-api-key')"))
+def baseline_file(spark, d):
+    """Findings that an earlier report does not have, which is written as one JSON document by the tasks and read as a baseline."""
+    import uuid
+
+    found = scan_lines(spiked_lines(spark, d), KEYED)
+    at = f"{shared_folder(spark)}/baseline-{uuid.uuid4().hex}.json"
+    reports.write_document(_known(found), "json", at)
+    return subtract(found, read_baseline(spark, at)).select("fingerprint")
+
+
 # ---------------------------------------------------------------- reports
 
 @query("rule_summary", with_rules(KEYED, "SELECT rule_id, description, count(*) AS findings FROM found GROUP BY rule_id, description"))
