@@ -31,6 +31,7 @@ def added_lines(patches: DataFrame, exclude_paths: Sequence[str] = (), exclude_c
     last_of = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("seq")))
 
     lines = patches.select("patch_id", F.col("seq").cast("long").alias("seq"), "line", F.expr(f"cast(seq AS BIGINT) div {block}").alias("block"))
+    lines = lines.repartition(*keys)  # the one shuffle of lines, which all folds and the last pass read again
     is_commit, is_diff = begins("commit ") & (F.octet_length(line) >= 47), begins("diff --git ")
     inside = F.when(is_commit, F.lit(False)).when(is_diff, F.lit(True))
     opened = F.when(is_commit, F.col("seq"))
