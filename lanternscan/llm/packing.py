@@ -31,9 +31,10 @@ ROUNDS = 3
 #: Bins at least this full are left as they are after a round.
 FULL_SHARE = 0.999
 #: Words whose ids a task remembers; about 150 bytes each.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 END = struct.pack("<I", 0)
-PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,]?)")
+#: A word and the marks behind it, which are a token of their own.
+PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def default_tokenizer() -> str:
@@ -58,15 +59,13 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        letters = byte_letters()
-        self.plain = {bytes([b]): letters[b] for b in range(256)}
-        self.letters = letters
+        self.letters = byte_letters()
         self.parts: dict[str, bytes] = {}
 
     def part(self, piece: str) -> bytes:
         out = self.parts.get(piece)
         if out is None:
-            tokens = self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))
+            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
             out = self.parts[piece] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
         return out
 

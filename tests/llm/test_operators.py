@@ -96,7 +96,7 @@ def test_quality_rules(spark):
 
 def test_encoder_equals_tokenizer():
     enc = packing.Encoder(packing.default_tokenizer())
-    odd = ["<|endoftext|> hi", "İstanbul ΟΔΟΣ it's we'll 12ab é́  x y\x1cz", "don't!!! ñandú", "ß ẞ Ÿ ª º µ", "à b", "ﬁ x²y 日本語 тест", "", "...,,,", "A.b,C"]
+    odd = ["<|endoftext|> hi", "İstanbul ΟΔΟΣ it's we'll 12ab é́  x y\x1cz", "don't!!! ñandú", "ß ẞ Ÿ ª º µ", "à b", "ﬁ x²y 日本語 тест", "", "...,,,", "A.b,C", "abc### x&&& (word) a-b it's, d'accord!? {q}[z] w\"' <|startoftext|>, end|> a_b c``", "ñ%%% Ü!! 1st, 2.5%"]
     for text in [*odd, *filter(None, corpus()[7:])]:
         ids = enc.tokenizer.encode(text, add_special_tokens=False).ids + [0]
         assert enc.encode(text.encode()) == struct.pack(f"<{len(ids)}I", *ids), text[:50]
