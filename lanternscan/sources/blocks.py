@@ -72,7 +72,44 @@ class BlockReader(DataSourceReader):
                 yield b.name, b.block, b.base, b.size, f.read_at(b.end - b.base, b.base)
 
 
-class GrowingReader(DataSourceStreamReader):
+class RangeOfLines:
+    """Reads the lines that begin in a range of bytes."""
+
+    def read(self, b: Block) -> Iterator[tuple]:
+        if b.end <= b.base:
+            return
+        system, inner = open_path(b.path)
+        with system.open_input_file(inner) as f:
+            first = b.base
+            if first and f.read_at(1, first - 1) != b"\n":
+                first = self.next_line(f, first, b.size)
+            last = b.end if b.end == b.size or f.read_at(1, b.end - 1) == b"\n" else self.next_line(f, b.end, b.size)
+            if last > first:
+                yield b.name, b.block, first, b.size, f.read_at(last - first, first)
+
+    @staticmethod
+    def next_line(f, at: int, size: int) -> int:
+        while at < size:
+            part = f.read_at(min(1 << 16, size - at), at)
+            k = part.find(b"\n")
+            if k >= 0:
+                return at + k + 1
+            at += len(part)
+        return size
+
+
+class LineReader(RangeOfLines, DataSourceReader):
+    """Files in ranges of about one block that begin and end at line breaks."""
+
+    def __init__(self, path: str, windows: int):
+        self.path, self.bytes = path, windows * STEP
+
+    def partitions(self) -> list[Block]:
+        out = [Block(name, path, k, at, min(size, at + self.bytes), size) for name, path, size in list_files(self.path) for k, at in enumerate(range(0, size, self.bytes))]
+        return out or [Block("", "", 0, 0, 0, 0)]
+
+
+class GrowingReader(RangeOfLines, DataSourceStreamReader):
     """Offsets are sizes by path; a batch is the ranges between two of them."""
 
     def __init__(self, path: str, windows: int):
@@ -104,32 +141,9 @@ class GrowingReader(DataSourceStreamReader):
             out += [Block(name, path, k, at + k * self.bytes, min(to, at + (k + 1) * self.bytes), to) for k in range(-(-max(0, to - at) // self.bytes))]
         return out or [Block("", "", 0, 0, 0, 0)]
 
-    def read(self, b: Block) -> Iterator[tuple]:
-        """Lines belong to the range in which they begin."""
-        if b.end <= b.base:
-            return
-        system, inner = open_path(b.path)
-        with system.open_input_file(inner) as f:
-            first = b.base
-            if first and f.read_at(1, first - 1) != b"\n":
-                first = self.next_line(f, first, b.size)
-            last = b.end if b.end == b.size or f.read_at(1, b.end - 1) == b"\n" else self.next_line(f, b.end, b.size)
-            if last > first:
-                yield b.name, b.block, first, b.size, f.read_at(last - first, first)
-
-    @staticmethod
-    def next_line(f, at: int, size: int) -> int:
-        while at < size:
-            part = f.read_at(min(1 << 16, size - at), at)
-            k = part.find(b"\n")
-            if k >= 0:
-                return at + k + 1
-            at += len(part)
-        return size
-
 
 class BlockSource(DataSource):
-    """Option ``windows``: windows of a block."""
+    """Options: ``windows``, the windows of a block; ``lines`` (true): blocks of whole lines, without what windows reach over."""
 
     @classmethod
     def name(cls) -> str:
@@ -138,8 +152,9 @@ class BlockSource(DataSource):
     def schema(self) -> str:
         return "path string, block int, base long, size long, data binary"
 
-    def reader(self, schema) -> BlockReader:
-        return BlockReader(self.options["path"], int(self.options.get("windows", BLOCK_WINDOWS)))
+    def reader(self, schema) -> DataSourceReader:
+        kind = LineReader if self.options.get("lines", "").lower() == "true" else BlockReader
+        return kind(self.options["path"], int(self.options.get("windows", BLOCK_WINDOWS)))
 
     def streamReader(self, schema) -> GrowingReader:
         return GrowingReader(self.options["path"], int(self.options.get("windows", BLOCK_WINDOWS)))

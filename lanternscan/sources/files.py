@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanternscan.functions.text import excluded_path
@@ -44,12 +44,20 @@ def from_table(df: DataFrame, text: str, path: Column | str) -> DataFrame:
     return df.select((F.col(path) if isinstance(path, str) else path).alias("path"), F.col(text).cast("binary").alias("content"))
 
 
-def read_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A text file as numbered lines under a fixed name, as a pipe would give them."""
-    whole = spark.read.text(path, wholetext=True).select(F.lit(name).alias("path"), F.col("value").alias("text"))
+def read_lines(spark: SparkSession, path: str, name: str, windows: int = 0) -> DataFrame:
+    """A text file as numbered lines under a fixed name, as a pipe would give them. Tasks read ranges of whole lines."""
     from lanternscan.operators.lines import split_lines
-
-    return split_lines(whole)
+    from lanternscan.sources.blocks import BLOCK_WINDOWS, BlockSource
+
+    spark.dataSource.register(BlockSource)
+    reader = spark.read.format("file_blocks").option("lines", "true").option("windows", windows or BLOCK_WINDOWS)
+    blocks = reader.load(qualified(spark, path)).select("block", F.col("data").cast("string").alias("text"))
+    # one row of numbers per block of some megabytes
+    breaks = blocks.select("block", (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))).alias("n"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    first = breaks.select(F.col("block").alias("nth"), F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("first"))
+    lines = split_lines(blocks.join(F.broadcast(first), F.col("block") == F.col("nth")).select(F.lit(name).alias("path"), "first", "text"))
+    return lines.withColumn("line_no", F.col("line_no") + F.col("first")).drop("first")
 
 
 #: Bytes of a pipe that the driver holds at a time.

@@ -73,6 +73,19 @@ def test_members_of_one_zip_are_many_tasks(source, tmp_path):
     assert lines.select(F.spark_partition_id()).distinct().count() == 8
 
 
+def test_lines_of_one_file_are_many_tasks(source, tmp_path):
+    from lanternscan.sources.files import read_lines
+
+    r = random.Random(3)
+    lines = [f"{k} " + "é" * r.choice([0, 1, 40, 5000]) + r.choice(["", "\r"]) for k in range(400)]
+    for end in ("\n", ""):
+        (tmp_path / "pipe.txt").write_bytes(("\n".join(lines) + end).encode())
+        got = read_lines(source, str(tmp_path / "pipe.txt"), "p", windows=1).collect()
+        assert sorted((x.line_no, x.line) for x in got) == [(k + 1, x.removesuffix("\r")) for k, x in enumerate(lines)] and {x.path for x in got} == {"p"}
+    (tmp_path / "none").write_bytes(b"")
+    assert read_lines(source, str(tmp_path / "none"), "p").count() == 0
+
+
 def test_growing_file(source, tmp_path):
     """Batches hold whole lines, each once, cut into ranges of many tasks; the open last line waits for its end."""
     log, out, state = tmp_path / "in" / "app.log", tmp_path / "out", tmp_path / "state"
