@@ -713,6 +713,33 @@ def sarif_results(spark, d):
     return rows.select(F.col("ruleId").alias("rule_id"), place.artifactLocation.uri.alias("uri"), place.region.startLine.alias("line"), F.col("fingerprints")["fingerprint/v1"].alias("fingerprint"))
 
 
+@query("sarif_document", with_rules(KEYED, f"SELECT rule_id, path AS uri, CAST(line_no AS BIGINT) AS line, {_FP} AS fingerprint FROM found"))
+def sarif_document(spark, d):
+    """A whole SARIF document, rendered by the tasks and joined to one file, read back as its results."""
+    import uuid
+
+    at = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}.sarif"
+    reports.write_document(scan_lines(spiked_lines(spark, d), KEYED), "sarif", at)
+    place = "struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: bigint>>>"
+    read = spark.read.schema(f"runs array<struct<results: array<struct<ruleId: string, locations: array<{place}>, fingerprints: map<string, string>>>>>").json(at, multiLine=True)
+    rows = read.select(F.explode(F.col("runs")[0].results).alias("r"))
+    where = F.col("r.locations")[0].physicalLocation
+    return rows.select(F.col("r.ruleId").alias("rule_id"), where.artifactLocation.uri.alias("uri"), where.region.startLine.alias("line"), F.col("r.fingerprints")["fingerprint/v1"].alias("fingerprint"))
+
+
+TEMPLATE = '{{len .}} findings\n{{range .}}{{if eq .RuleID "github-pat"}}PAT{{else}}{{.RuleID}}{{end}} {{printf "%s:%04d" .File .StartLine}}{{range $i, $t := .Tags}}{{if $i}},{{else}} {{end}}{{$t}}{{end}}\n{{end}}end\n'
+
+
+@query("template_report", with_rules(KEYED, "SELECT value FROM (SELECT CASE rule_id WHEN 'github-pat' THEN 'PAT' ELSE rule_id END || ' ' || path || ':' || lpad(CAST(line_no AS VARCHAR), 4, '0') || CASE WHEN len(tags) > 0 THEN ' ' || array_to_string(tags, ',') ELSE '' END AS value FROM found UNION ALL SELECT count(*) || ' findings' FROM found UNION ALL SELECT 'end')"))
+def template_report(spark, d):
+    """A report by a template with conditions, nested ranges and formats, applied in the tasks, line by line."""
+    import uuid
+
+    at = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}.txt"
+    reports.write_document(scan_lines(spiked_lines(spark, d), KEYED), "template", at, TEMPLATE)
+    return spark.read.text(at)
+
+
 @query("csv_projection", with_rules(KEYED, f'SELECT rule_id AS "RuleID", description AS "Description", path AS "File", CAST(line_no AS VARCHAR) AS "StartLine", secret AS "Secret", \'\' AS "Commit", \'\' AS "Author", {_FP} AS "Fingerprint" FROM found'))
 def csv_projection(spark, d):
     return reports.csv_rows(scan_lines(spiked_lines(spark, d), KEYED))
