@@ -67,29 +67,31 @@ def block_windows(blocks: DataFrame, rs: RuleSet, marker: str = ALLOW_MARKER) ->
     return blocks.select("path", "block", "base", "size", "data").mapInArrow(run, WINDOWS)
 
 
-def block_facts(blocks: DataFrame, marker: str = ALLOW_MARKER) -> DataFrame:
-    """A row per block: its line breaks, and whether the marker stands in its first line, its last, and the one at which the block before loses sight."""
+def facts_of(path: str, block: int, base: int, size: int, data: bytes, marker: str = ALLOW_MARKER) -> tuple:
+    """The row of ``block_facts`` of one block."""
     stop = marker.encode()
-    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.bool_())
-    names = [c.split()[0] for c in FACTS.split(", ")]
+    core = data if base + len(data) >= size else data[:-OVER]  # without what is the next one's as well
+    reach = min(len(data), len(core) + len(stop) - 1)  # a marker may reach over the end of the core
+
+    def marked(at: int) -> bool:
+        """The marker on the line of an offset, as far as the core has it."""
+        begin, end = core.rfind(b"\n", 0, at) + 1, core.find(b"\n", at)
+        return data.find(stop, begin, end if end >= 0 else reach) >= 0
 
-    def of_block(path, block, base, size, data):
-        core = data if base + len(data) >= size else data[:-OVER]  # without what is the next one's as well
-        reach = min(len(data), len(core) + len(stop) - 1)  # a marker may reach over the end of the core
+    last = core.rfind(b"\n")
+    over = min(OVER, len(core)) - 1
+    return path, block, core.count(b"\n"), base + last if last >= 0 else None, marked(0), marked(len(core)), core.count(b"\n", 0, over), marked(over)
 
-        def marked(at: int) -> bool:
-            """The marker on the line of an offset, as far as the core has it."""
-            begin, end = core.rfind(b"\n", 0, at) + 1, core.find(b"\n", at)
-            return data.find(stop, begin, end if end >= 0 else reach) >= 0
 
-        last = core.rfind(b"\n")
-        over = min(OVER, len(core)) - 1
-        return path, block, core.count(b"\n"), base + last if last >= 0 else None, marked(0), marked(len(core)), core.count(b"\n", 0, over), marked(over)
+def block_facts(blocks: DataFrame, marker: str = ALLOW_MARKER) -> DataFrame:
+    """A row per block: its line breaks, and whether the marker stands in its first line, its last, and the one at which the block before loses sight."""
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.bool_())
+    names = [c.split()[0] for c in FACTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = of_block(*(c[i].as_py() for c in batch.columns))
+                row = facts_of(*(c[i].as_py() for c in batch.columns), marker)
                 yield pa.RecordBatch.from_arrays([pa.array([x], type=k) for x, k in zip(row, kinds)], names=names)
 
     return blocks.select("path", "block", "base", "size", "data").mapInArrow(run, FACTS)
@@ -110,8 +112,11 @@ def hidden_lines(lines: DataFrame) -> DataFrame:
     return lines.select("path", F.explode(seen).alias("s")).filter("s.marked").select("path", F.col("s.line").cast("int").alias("start_line")).distinct()
 
 
-def scan_blocks(blocks: DataFrame, rs: RuleSet, marker: str = ALLOW_MARKER) -> DataFrame:
-    """Findings of ``scan_buffers`` for files that come as blocks. Rules with proximity conditions and allowlists that look at lines need whole contents."""
+def scan_blocks(blocks: DataFrame, rs: RuleSet, marker: str = ALLOW_MARKER, facts: DataFrame | None = None) -> DataFrame:
+    """Findings of ``scan_buffers`` for files that come as blocks. Rules with proximity conditions and allowlists that look at lines need whole contents.
+
+    ``facts`` of the blocks can come from their source, which then sends numbers instead of the bytes for a second time.
+    """
     if rs.radius or on_lines(rs):
         raise ValueError("proximity conditions and allowlists of lines need whole contents: use scan_buffers")
     hits = all_matches(matching_rules(block_windows(blocks, rs, marker), "body", rs)).withColumn("entropy", shannon_entropy("secret"))
@@ -124,7 +129,7 @@ def scan_blocks(blocks: DataFrame, rs: RuleSet, marker: str = ALLOW_MARKER) -> D
         k = index(F.col(name))
         hits = hits.withColumns({f"{name}_line": F.col("first_line") + k - 1, f"{name}_start": F.element_at("line_starts", k), f"{name}_marked": F.element_at("marked", k)})
     hits = hits.select("path", "block", "win", "rule_ord", "rule_id", "description", "tags", "entropy", "match", "secret", "at", "last", "at_line", "at_start", "at_marked", "last_line", "last_start")
-    lines = block_lines(block_facts(blocks, marker))
+    lines = block_lines(block_facts(blocks, marker) if facts is None else facts)
     hits = hits.filter(~F.col("at_marked")).join(lines.select("path", "block", "line0", "start0"), ["path", "block"])
     start = lambda n: F.when(F.col(f"{n}_line") == 1, F.col("start0")).otherwise(F.col(f"{n}_start"))
     line = lambda n: (F.col("line0") + F.col(f"{n}_line") - 1).cast("int")

@@ -764,8 +764,9 @@ def scan_file_blocks(spark, d):
     at = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
     spiked(spark, d).select("text").write.text(at)
     spark.dataSource.register(BlockSource)
-    blocks = spark.read.format("file_blocks").option("windows", 256).load(qualified(spark, at))
-    return scan_blocks(blocks, KEYED).groupBy("rule_id", "secret").agg(F.count(F.lit(1)).alias("n"))
+    source = spark.read.format("file_blocks").option("windows", 256)
+    blocks, facts = source.load(qualified(spark, at)), source.option("facts", MARKER).load(qualified(spark, at))
+    return scan_blocks(blocks, KEYED, facts=facts).groupBy("rule_id", "secret").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------- from SQL

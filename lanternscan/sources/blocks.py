@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from lanternscan.operators.blocks import FACTS, facts_of
 from lanternscan.operators.buffers import STEP, WINDOW
 
 #: Windows of a block: some six megabytes.
@@ -72,6 +73,18 @@ class BlockReader(DataSourceReader):
                 yield b.name, b.block, b.base, b.size, f.read_at(b.end - b.base, b.base)
 
 
+class FactsReader(BlockReader):
+    """Of each block only what its lines are known by."""
+
+    def __init__(self, path: str, windows: int, marker: str):
+        super().__init__(path, windows)
+        self.marker = marker
+
+    def read(self, b: Block) -> Iterator[tuple]:
+        for row in super().read(b):
+            yield facts_of(*row, self.marker)
+
+
 class RangeOfLines:
     """Reads the lines that begin in a range of bytes."""
 
@@ -143,16 +156,21 @@ class GrowingReader(RangeOfLines, DataSourceStreamReader):
 
 
 class BlockSource(DataSource):
-    """Options: ``windows``, the windows of a block; ``lines`` (true): blocks of whole lines, without what windows reach over."""
+    """Options: ``windows``, the windows of a block; ``lines`` (true): blocks of whole lines, without what windows reach over;
+    ``facts`` (the marker that hides lines): no bytes, but what ``scan_blocks`` needs to know of all blocks."""
 
     @classmethod
     def name(cls) -> str:
         return "file_blocks"
 
     def schema(self) -> str:
+        if self.options.get("facts"):
+            return FACTS
         return "path string, block int, base long, size long, data binary"
 
     def reader(self, schema) -> DataSourceReader:
+        if self.options.get("facts"):
+            return FactsReader(self.options["path"], int(self.options.get("windows", BLOCK_WINDOWS)), self.options["facts"])
         kind = LineReader if self.options.get("lines", "").lower() == "true" else BlockReader
         return kind(self.options["path"], int(self.options.get("windows", BLOCK_WINDOWS)))
 

@@ -33,6 +33,8 @@ def test_blocks_equal_whole_files(source, tmp_path, windows):
     whole = source.createDataFrame([(n, bytearray(t.encode())) for n, t in files.items() if n[0] != "."], "path string, content binary")
     columns = ["rule_id", "file", "start_line", "start_column", "end_line", "end_column", "match", "fingerprint", "place"]
     got, want = (sorted(map(tuple, df.select(columns).collect())) for df in (scan_blocks(blocks, RULES), scan_buffers(whole, RULES)))
+    facts = source.read.format("file_blocks").option("windows", windows).option("facts", "scan:allow").load(tmp_path.as_uri())
+    assert sorted(map(tuple, scan_blocks(blocks, RULES, facts=facts).select(columns).collect())) == want
     assert got == want and {g[1] for g in got} >= {"long.txt", "hid.txt"} and len(got) > 20
     if windows == 1:
         assert blocks.rdd.getNumPartitions() > 50  # one file is many tasks
