@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternscan.functions.text import ALLOW_MARKER, fingerprint, has_allow_marker, shannon_entropy
-from lanternscan.operators.candidates import candidate_rules
+from lanternscan.operators.candidates import candidate_rules, with_candidates
 from lanternscan.plans.ruleset import RuleSet, globally_allowed, rule_allowed
 from lanternscan.schema import finding
 
@@ -32,11 +32,13 @@ def match_rules(lines: DataFrame, rs: RuleSet) -> DataFrame:
 
 
 def match_distinct(lines: DataFrame, rs: RuleSet) -> DataFrame:
-    """The same by content: a text that stands on many lines, in many commits, is matched once, and what matched is joined back to its lines.
+    """The same by content: patterns run once on a text that stands on many lines, in many commits, and what matched is joined back to its lines.
 
-    Few texts match, so they are a small side of the join, which Spark broadcasts if it measures them so; a large one is shuffled.
+    The guard, which is cheap, runs on each line first, so that only lines which may match are shuffled. Few texts match; they are
+    the small side of the join, which Spark broadcasts if it measures them so.
     """
     anywhere = replace(rs, rules=tuple(replace(r, path="") for r in rs.rules))
+    lines = with_candidates(lines, "line", anywhere, by_factors=True).drop("rule_ords")
     texts = lines.select("line").distinct().withColumn("path", F.lit(""))
     matched = match_rules(texts, anywhere).select(F.col("line").alias("text"), "rule_ord", "full_match", "secret", "entropy")
     found = lines.join(matched, F.col("line") == F.col("text")).drop("text")
