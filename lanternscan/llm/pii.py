@@ -30,8 +30,6 @@ from .common import Scratch, split_likely, table
 
 #: The session setting with the key of the registered query and of the pipeline.
 KEY_SETTING = "spark.lanternscan.surrogate.key"
-#: Values longer than this are replaced by hash characters, not character by character.
-LONG = 512
 #: From this attempt on surrogates grow by two characters an attempt.
 GROW_AFTER = 4
 
@@ -194,22 +192,30 @@ def pick(words: list[str], n: Column) -> Column:
 
 
 def shaped(value: Column, stream: Column, hexadecimal: bool = False) -> Column:
-    """Digits for digits and letters for letters of the same case; other characters stay. Very long values become hash characters."""
-    digits = F.translate(stream, "abcdef", "012345")
-    letters = F.translate(stream, HEX, "abcdefabcdefabcd" if hexadecimal else "abcdefghijkmnprs")
-    at = lambda s, i: F.substr(s, (i % 128 + 1).cast("int"), F.lit(1))
-    each = F.array_join(
-        F.transform(
-            F.split(value, ""),
-            lambda c, i: F.when(c.rlike("[0-9]"), at(digits, i))
-            .when(c.rlike(r"\p{Lu}"), F.upper(at(letters, i)))
-            .when(c.rlike(r"\p{L}"), at(letters, i))
-            .otherwise(c),
-        ),
-        "",
-    )
+    """Digits for digits and letters for letters of the same case, whatever the length; other characters stay. A value without any
+    digit or letter becomes hash characters, as nothing of it would change."""
+    alphabet = "abcdefabcdefabcd" if hexadecimal else "abcdefghijkmnprs"
+
+    def drawn(piece: Column, s: Column) -> Column:
+        at = lambda i: F.substr(s, (i + 1).cast("int"), F.lit(1))
+        letter = lambda i: F.translate(at(i), HEX, alphabet)
+        return F.array_join(
+            F.transform(
+                F.split(piece, ""),
+                lambda c, i: F.when(c.rlike(r"\p{N}"), F.translate(at(i), "abcdef", "012345"))
+                .when(c.rlike(r"\p{Lu}"), F.upper(letter(i)))
+                .when(c.rlike(r"\p{L}"), letter(i))
+                .otherwise(c),
+            ),
+            "",
+        )
+
+    # The stream, whose hash reads the whole value, is computed once a value, not once a character; pieces are as long as the stream.
+    pieces = F.regexp_extract_all(value, F.lit("(?s).{1,128}"), F.lit(0))
+    each = F.element_at(F.transform(F.array(stream), lambda s: F.array_join(F.transform(pieces, lambda p: drawn(p, s)), "")), 1)
     size = F.length(value)
-    return F.when(size > LONG, F.substr(F.repeat(letters, (size / 128 + 1).cast("int")), F.lit(1), size)).otherwise(each)
+    plain = F.substr(F.repeat(F.translate(stream, HEX, alphabet), (size / 128 + 1).cast("int")), F.lit(1), size)
+    return F.when(value.rlike(r"[\p{N}\p{L}]"), each).otherwise(plain)
 
 
 def luhn(body: Column) -> Column:

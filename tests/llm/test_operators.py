@@ -644,6 +644,36 @@ def test_pii_leaves_no_part_of_a_secret(spark, text, gone, stays):
     assert not [x for x in gone if x.lower() in row.text.lower()] and re.fullmatch(stays, row.text), row.text
 
 
+def form(text):
+    """A text with 9 for digits, A and a for letters."""
+    import regex
+
+    return "".join("9" if regex.match(r"\p{N}", c) else "A" if regex.match(r"\p{Lu}", c) else "a" if regex.match(r"\p{L}", c) else c for c in text)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 40, 2000])
+def test_pii_one_rule_for_each_length(spark, n):
+    """Digits stay digits and letters letters of their case, in the same places, in values of 16 to 60,000 characters."""
+    shapes = ["Ab1-xY2!" * 4, "пАр\u2028\u00851😀" * 4, "x1.Y2_" * 5, "٣४-a9" * 5]
+    texts = [f'password = "{x * n}" end' for x in shapes]
+    texts += [f"see eyJ{'Ab1_' * 5 * n}.{'c2D-' * 6 * n}.{'9zQ' * 5 * n} end", f"use ghp_{'aB3' * 10 * n} end", f"token: {'0123456789ABCDEF' * 2 * n} end"]
+    new = {r.doc_id: r.text for r in pii.anonymize(frame(spark, texts), KEY).collect()}
+    for k, t in enumerate(texts):
+        if "ABCDEF" in t:  # stays hexadecimal
+            assert re.fullmatch("token: [0-9A-F]+ end", new[k]) and form(new[k]) == form(t) and new[k] != t
+        else:
+            assert form(new[k]) == form(t) and new[k] != t, new[k][:200]
+    assert "٣" not in new[3] and "४" not in new[3]
+
+
+@pytest.mark.parametrize("n", [1, 3, 100])
+def test_pii_values_without_letters_and_digits(spark, n):
+    """Nothing of such a credential stays, whatever its length."""
+    texts = [f'password = "{"!@#$%^&*" * n}" end', f'password = "{"😀👍🎉🚀⚡🔥" * n}" end']
+    new = {r.doc_id: r.text for r in pii.anonymize(frame(spark, texts), KEY).collect()}
+    assert re.fullmatch(rf'password = "[a-z]{{{8 * n}}}" end', new[0]) and re.fullmatch(rf'password = "[a-z]{{{6 * n}}}" end', new[1])
+
+
 def test_pii_random_key(spark):
     with pytest.warns(UserWarning):
         assert pii.key_of(spark) == pii.key_of(spark) and len(pii.key_of(spark)) == 64
