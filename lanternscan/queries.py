@@ -857,21 +857,25 @@ def stream_open_findings(spark, d):
 
     from lanternscan.streaming.tracking import track
 
-    events = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    events = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.lit(False).alias("clock"))
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     if first is None:
         return spark.createDataFrame([], "user_id long, event_type string, kind string, at timestamp_ntz")
     edges = [first + (last - first) * k / 3 for k in range(1, 3)]
     bounds = list(zip([None, *edges], [*edges, None]))
-    # the clock goes on behind the last event, so that all that is open ends
-    clock = spark.createDataFrame([(None, None, last + 10 * (last - first) + timedelta(days=2))], events.schema)
-    for part in [*(events.filter((F.lit(True) if a is None else F.col("ts") >= a) & (F.lit(True) if z is None else F.col("ts") < z)) for a, z in bounds), clock, clock]:
+    parts = [events.filter((F.lit(True) if a is None else F.col("ts") >= a) & (F.lit(True) if z is None else F.col("ts") < z)) for a, z in bounds]
+    # the clock goes on behind the last event, and a batch after that, with rows or without, ends all that is open
+    clock = spark.createDataFrame([(None, None, last + 10 * (last - first) + timedelta(days=2), True)], events.schema)
+    parts[-1] = parts[-1].union(clock)
+    if spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") != "true":
+        parts.append(clock)
+    for part in parts:
         part.write.mode("append").parquet(f"{at}/in")
         stream = spark.readStream.schema(events.schema).parquet(f"{at}/in")
-        run = track(stream, ["user_id", "event_type"], gap="6 hours").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        run = track(stream, ["user_id", "event_type", "clock"], gap="6 hours").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
         run.awaitTermination()
-    return spark.read.parquet(f"{at}/out").filter("user_id IS NOT NULL").select("user_id", "event_type", "kind", F.col("at").cast("timestamp_ntz").alias("at"))
+    return spark.read.parquet(f"{at}/out").filter("NOT clock").select("user_id", "event_type", "kind", F.col("at").cast("timestamp_ntz").alias("at"))
 
 
 def queries() -> dict[str, Query]:
